@@ -26,8 +26,8 @@ def with_severity_rank(findings: DataFrame) -> DataFrame:
 
 def _first(order: Column, value: Column, when: Column | None = None) -> Column:
     """Value of the first row in merge order (of those that qualify); equal order falls back to the value."""
-    pair = F.struct(order, value)
-    return F.min(pair if when is None else F.when(when, pair))["col2"]
+    pair = F.struct(order.alias("at"), value.alias("value"))
+    return F.min(pair if when is None else F.when(when, pair))["value"]
 
 
 def _first_struct(order: Column, columns: list[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import catalog
 from scanloom.functions.identity import file_path
+from scanloom.functions.once import computed_once
 from scanloom.functions.severity import normalize_severity
 from scanloom.functions.strict_json import allow_duplicate_keys, kind, strict_parse
 from scanloom.functions.text import count_newlines, trim_space
@@ -120,11 +121,8 @@ def extract_model_text(responses: DataFrame) -> DataFrame:
     allow_duplicate_keys(responses.sparkSession)
     envelope = F.get(F.col("_envelope"), F.lit(0))
     text = _by_provider(lambda provider: _variant_text(envelope, TEXT_PATHS[provider]))
-    return (
-        responses.withColumn("_envelope", strict_parse(F.col("body")))
-        .withColumn("text", F.when(F.col("status") == 200, text))
-        .drop("_envelope")
-    )
+    parsed = responses.withColumn("_envelope", strict_parse(F.col("body")))
+    return computed_once(parsed.withColumn("text", F.when(F.col("status") == 200, text)).drop("_envelope"), "text")
 
 
 def _drop_marks(text: Column) -> Column:
@@ -144,28 +142,30 @@ def strip_code_fence(texts: DataFrame) -> DataFrame:
     """Adds ``json_text``: the text itself when it is JSON, else the text inside its code fence."""
     allow_duplicate_keys(texts.sparkSession)
     bare = unfenced(F.col("provider"), F.col("text"))
-    return texts.withColumn("json_text", F.when(_items(F.col("text")).isNotNull(), F.col("text")).otherwise(bare))
-
-
-def _items(text: Column) -> Column:
-    """The items of a JSON array of findings; null unless every item has the right types."""
-    return F.get(F.transform(F.array(strict_parse(text)), _items_of_parsed), F.lit(0))
+    direct = _with_items(texts, F.col("text"))
+    return direct.withColumn("json_text", F.when(F.col("items").isNotNull(), F.col("text")).otherwise(bare)).drop(
+        "items"
+    )
 
 
-def _items_of_parsed(parsed: Column) -> Column:
-    top = F.get(parsed, F.lit(0))
-    top_kind = kind(top)
-    elements = F.when(F.startswith(top_kind, F.lit("ARRAY")), F.try_variant_get(top, "$", "array<variant>"))
-    pairs = F.transform(
-        elements,
-        lambda e: F.when(
-            kind(e) == "VOID", F.array().cast("array<struct<key:string,value:variant>>")
-        ).when(F.startswith(kind(e), F.lit("OBJECT")), F.map_entries(F.try_variant_get(e, "$", "map<string,variant>"))),
+def _with_items(table: DataFrame, text: Column) -> DataFrame:
+    """Adds ``items``, the findings in a JSON text; null unless every element has the right types."""
+    parsed = computed_once(table.withColumn("_json", strict_parse(text)), "_json")
+    top = F.get(F.col("_json"), F.lit(0))
+    listed = F.when(F.startswith(kind(top), F.lit("ARRAY")), F.try_variant_get(top, "$", "array<variant>"))
+    no_pairs = F.array().cast("array<struct<key:string,value:variant>>")
+    checked = F.transform(
+        listed,
+        lambda e: _item(
+            F.when(kind(e) == "VOID", no_pairs).when(
+                F.startswith(kind(e), F.lit("OBJECT")), F.map_entries(F.try_variant_get(e, "$", "map<string,variant>"))
+            )
+        ),
     )
-    checked = F.transform(pairs, _item)
-    good = F.forall(checked, lambda item: item.isNotNull())
-    empty = F.array().cast(f"array<{ITEM}>")
-    return F.when(parsed.isNull(), F.lit(None)).when(top_kind == "VOID", empty).when(good, checked)
+    is_null = F.col("_json").isNotNull() & (kind(top) == "VOID")
+    rows = parsed.withColumn("_checked", F.when(is_null, F.array().cast(f"array<{ITEM}>")).otherwise(checked))
+    good = F.forall("_checked", lambda item: item.isNotNull())
+    return computed_once(rows.withColumn("items", F.when(good, F.col("_checked"))).drop("_json", "_checked"), "items")
 
 
 def _item(pairs: Column) -> Column:
@@ -187,10 +187,11 @@ def _item(pairs: Column) -> Column:
 
 def with_model_items(responses: DataFrame) -> DataFrame:
     """Adds ``items`` to raw responses: the parsed findings, or null when the attempt failed in any way."""
-    texts = extract_model_text(responses)
-    direct = texts.withColumn("items", _items(F.col("text")))
-    fenced = _items(unfenced(F.col("provider"), F.col("text")))
-    return direct.withColumn("items", F.when(F.col("items").isNotNull(), F.col("items")).otherwise(fenced))
+    direct = _with_items(extract_model_text(responses), F.col("text")).withColumnRenamed("items", "_direct")
+    # Only a text that is no list of findings as it stands is looked at again without its fence.
+    again = F.when(F.col("_direct").isNull(), unfenced(F.col("provider"), F.col("text")))
+    both = _with_items(direct, again)
+    return both.withColumn("items", F.coalesce("_direct", "items")).drop("_direct")
 
 
 def first_successful_attempt(responses: DataFrame, max_retries: int = catalog.MAX_RETRIES) -> DataFrame:

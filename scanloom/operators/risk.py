@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import catalog
 from scanloom.functions.identity import file_path
+from scanloom.functions.once import computed_once
 from scanloom.functions.severity import severity_weight
 from scanloom.operators.files import has_risky_name, language_of, with_content_flags
 from scanloom.operators.scan import rule_value, with_static_hits
@@ -69,10 +70,11 @@ def scanned_files(
         .withColumn("severity_weight", weight)
     )
     kept = ["content"] if keep_content else []
-    return with_risk_score(profile).select(
-        "project", "path", *kept, "language", "loc", "has_crypto", "has_database", "has_auth", "risky_name",
-        "static_findings", "severity_weight", "risk_score", "hits",
-    )
+    computed = [
+        "language", "loc", "has_crypto", "has_database", "has_auth", "risky_name", "static_findings",
+        "severity_weight", "risk_score", "hits",
+    ]
+    return computed_once(with_risk_score(profile).select("project", "path", *kept, *computed), *computed)
 
 
 def select_high_risk(scanned: DataFrame) -> DataFrame:

@@ -129,10 +129,10 @@ def _mark_empty_password(code: Column) -> Column:
 def _mark_ignored_error(code: Column) -> Column:
     """An assignment whose last target is ``_``; the mark stands where the list of targets begins."""
     # Declarations are not assignments: take the "=" of `var a, _ = x` (also const and type) out first.
-    names = r"[\p{L}\p{Nd}_, ]*+(?:(?<=, )\n[\p{L}\p{Nd}_, \n]*+)*+"
-    declared = F.regexp_replace(code, rf"( (?:var|const|type) {names}(?<= _ ))= ", "$1? ")
+    name_list = r"[\p{L}\p{Nd}_, ]*+(?:(?<=, )\n[ \n]*+[\p{L}\p{Nd}_, ]*+)*+"
+    declared = F.regexp_replace(code, rf"( (?:var|const|type) {name_list}(?<= _ ))(?== )", "$1?")
     part = r"[^;\n{}:=(]*+"
-    targets = rf"(?<=[;\n{{}}:(]|\A){part}(?:(?<=, )\n++{part})*+"
+    targets = rf"(?<=[;\n{{}}:(]|\A){part}(?:(?<=, )\n[ \n]*+{part})*+"
     operator = r"(?<= _ (?:[-+*/%&|^]|<<|>>|&\^)?)(?=:?= (?![ \n]*range ))"
     return F.regexp_replace(declared, f"{targets}{operator}", f"{_IGNORED_ERROR}$0")
 
