@@ -11,6 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.sources.files import spread_small_table
+
 DIRS = [
     "src/app", "src/auth", "vendor/lib", "cmd/cabinet", "pkg/db", "test", "a/b", ".github", "core", "web/admin",
     "gen/x", "node_modules/p",
@@ -134,13 +136,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread_small_table(_table(spark, sf_dir, name), key)
+
+
 def _named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     path = F.concat(
         _pick(DIRS, n), F.lit("/"), _pick(NAMES, F.floor(n / 12)), F.lit("_"), n.cast("string"), F.lit("."),
         _pick(EXTENSIONS, F.floor(n / 5)),
     )
-    return _table(spark, sf_dir, "documents").select("*", F.col("source").alias("project"), path.alias("path"))
+    return _texts(spark, sf_dir, "documents", "doc_id").select("*", F.col("source").alias("project"), path.alias("path"))
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +160,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat(body, tail)
     content = F.when(n % 89 == 7, F.replace(whole, F.lit("\n"), F.lit("\r\n"))).otherwise(whole)
     documents = _named_documents(spark, sf_dir).select("project", "path", content.alias("content"))
-    pages = _table(spark, sf_dir, "pages").select(
+    pages = _texts(spark, sf_dir, "pages", "page_id").select(
         F.lit("web").alias("project"),
         F.concat(F.lit("site/page_"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"),
         F.concat("url", F.lit("\n"), "html").alias("content"),

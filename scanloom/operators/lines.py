@@ -45,6 +45,13 @@ def _may_match(rule_id: str, pattern: str, low: Column, content: Column) -> Colu
     return test & content.rlike(pattern)
 
 
+def matching(line: Column, tests: list) -> Column:
+    """Positions of the tests that a line passes."""
+    return F.filter(
+        F.array(*[F.when(test(line), F.lit(k)) for k, test in enumerate(tests)]), lambda k: k.isNotNull()
+    )
+
+
 def with_line_hits(files: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
     """Adds ``line_hits``: the matches of the line rules, by line and then by rule order.
 
@@ -61,16 +68,13 @@ def with_line_hits(files: DataFrame, rule_ids: list[str] | None = None) -> DataF
         "_maybe", F.array(*[_may_match(rule_id, pattern, low, content) for _, rule_id, pattern in rules])
     )
 
+    tests = [
+        lambda line, k=k, pattern=pattern: F.get(maybe, F.lit(k)) & line.rlike(pattern)
+        for k, (_, _, pattern) in enumerate(rules)
+    ]
+
     def on_line(line: Column, index: Column) -> Column:
-        matched = F.filter(
-            F.array(
-                *[
-                    F.when(F.get(maybe, F.lit(k)) & line.rlike(pattern), F.lit(k))
-                    for k, (_, _, pattern) in enumerate(rules)
-                ]
-            ),
-            lambda k: k.isNotNull(),
-        )
+        matched = matching(line, tests)
         line_no = (index + 1).cast("bigint")
         numbers, ids = (F.array(*[F.lit(r[i]) for r in rules]) for i in (0, 1))
         return F.transform(

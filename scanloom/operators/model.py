@@ -154,35 +154,39 @@ def _with_items(table: DataFrame, text: Column) -> DataFrame:
     top = F.get(F.col("_json"), F.lit(0))
     listed = F.when(F.startswith(kind(top), F.lit("ARRAY")), F.try_variant_get(top, "$", "array<variant>"))
     no_pairs = F.array().cast("array<struct<key:string,value:variant>>")
-    checked = F.transform(
+    pairs = F.transform(
         listed,
-        lambda e: _item(
-            F.when(kind(e) == "VOID", no_pairs).when(
-                F.startswith(kind(e), F.lit("OBJECT")), F.map_entries(F.try_variant_get(e, "$", "map<string,variant>"))
-            )
+        lambda e: F.when(kind(e) == "VOID", no_pairs).when(
+            F.startswith(kind(e), F.lit("OBJECT")), F.map_entries(F.try_variant_get(e, "$", "map<string,variant>"))
         ),
     )
+    checked = F.transform(F.transform(pairs, _fields), _typed)
     is_null = F.col("_json").isNotNull() & (kind(top) == "VOID")
     rows = parsed.withColumn("_checked", F.when(is_null, F.array().cast(f"array<{ITEM}>")).otherwise(checked))
     good = F.forall("_checked", lambda item: item.isNotNull())
     return computed_once(rows.withColumn("items", F.when(good, F.col("_checked"))).drop("_json", "_checked"), "items")
 
 
-def _item(pairs: Column) -> Column:
-    """Struct of one item from its key/value pairs; null on a wrong type. Keys match in any letter case."""
+def _fields(pairs: Column) -> Column:
+    """The known fields of an item, still untyped; null for an element that is no object. Any letter case."""
+    lowered = F.transform(
+        pairs, lambda p: F.struct(F.translate(F.lower(p["key"]), "ſ", "s").alias("name"), p["value"].alias("value"))
+    )
 
     def value(name: str) -> Column:
-        same = F.filter(pairs, lambda p: F.translate(F.lower(p["key"]), "ſ", "s") == name)
-        return F.try_element_at(same, F.lit(-1))["value"]
-
-    good = F.lit(True)
-    for name in ITEM_TEXTS:
-        good = good & kind(value(name)).isin("STRING", "VOID")
-    for name in ITEM_LINES:
-        good = good & kind(value(name)).isin("BIGINT", "VOID")
-    fields = [F.coalesce(F.try_variant_get(value(n), "$", "string"), F.lit("")).alias(n) for n in ITEM_TEXTS]
-    fields += [F.coalesce(F.try_variant_get(value(n), "$", "bigint"), F.lit(0)).alias(n) for n in ITEM_LINES]
-    return F.when(pairs.isNotNull() & good, F.struct(*fields))
+        return F.try_element_at(F.filter(lowered, lambda p: p["name"] == name), F.lit(-1))["value"]
+
+    return F.when(pairs.isNotNull(), F.struct(*[value(n).alias(n) for n in ITEM_TEXTS + ITEM_LINES]))
+
+
+def _typed(fields: Column) -> Column:
+    """The item with its types; null when a field has a wrong one."""
+    good = fields.isNotNull()
+    for names, wanted in ((ITEM_TEXTS, "STRING"), (ITEM_LINES, "BIGINT")):
+        good = good & F.forall(F.array(*[kind(fields[n]) for n in names]), lambda k: k.isin(wanted, "VOID"))
+    texts = [F.coalesce(F.try_variant_get(fields[n], "$", "string"), F.lit("")).alias(n) for n in ITEM_TEXTS]
+    lines = [F.coalesce(F.try_variant_get(fields[n], "$", "bigint"), F.lit(0)).alias(n) for n in ITEM_LINES]
+    return F.when(good, F.struct(*texts, *lines))
 
 
 def with_model_items(responses: DataFrame) -> DataFrame:

@@ -11,7 +11,11 @@ from scanloom import schemas
 from scanloom.functions import catalog
 from scanloom.functions.identity import file_path
 from scanloom.functions.patterns import java_line_pattern
-from scanloom.operators.lines import explode_lines, oversize_line_guard
+from scanloom.operators.lines import explode_lines, matching, oversize_line_guard
+
+# Up to this many rules become part of the expression, so each pattern is compiled once per task.
+MAX_LITERAL_RULES = 200
+MAX_LITERAL_BYTES = 1 << 20
 
 # A block of rules that is broadcast never holds more than this.
 MAX_BLOCK_RULES = 2_000
@@ -47,18 +51,38 @@ def _block_count(rules: DataFrame) -> int:
 def regex_scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of user-supplied rules; ``rules`` needs ``position`` and the catalog columns.
 
-    Every line has to meet every rule. The rules are measured first and sent to the executors in blocks of
-    bounded size, one pass over the lines per block, so any number of rules works without a cross join.
-    Texts other than the pattern are joined to the hits afterwards.
+    Every line has to meet every rule. The rules are measured first. A small set is written into the expression;
+    a larger one is sent to the executors in blocks of bounded size, one pass over the lines per block, so any
+    number of rules works without a cross join. Texts other than the pattern are joined to the hits afterwards.
     """
     lines = explode_lines(oversize_line_guard(files))
     slim = rules.select("position", _java_pattern("pattern").alias("pattern"))
+    n, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
+    if 0 < n <= MAX_LITERAL_RULES and size <= MAX_LITERAL_BYTES:
+        hits = _literal_hits(lines, [tuple(row) for row in slim.collect()])
+    else:
+        hits = _broadcast_hits(lines, slim)
+    return _as_findings(hits, rules)
+
+
+def _literal_hits(lines: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
+    tests = [lambda line, pattern=pattern: line.rlike(pattern) for _, pattern in rules]
+    positions = F.array(*[F.lit(position) for position, _ in rules])
+    found = lines.select("*", F.explode_outer(matching(F.col("line"), tests)).alias("k")).where(F.col("k").isNotNull())
+    return found.withColumn("position", F.get(positions, F.col("k"))).drop("k")
+
+
+def _broadcast_hits(lines: DataFrame, slim: DataFrame) -> DataFrame:
     blocks = _block_count(slim)
     hits = None
     for block in range(blocks):
         part = slim.where(F.pmod(F.col("position"), F.lit(blocks)) == block) if blocks > 1 else slim
         found = lines.join(F.broadcast(part), F.expr("line rlike pattern")).drop("pattern")
         hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
+def _as_findings(hits: DataFrame, rules: DataFrame) -> DataFrame:
     texts = rules.select("position", "title", "description", "severity", "owasp_id", "cwe", "recommendation")
     line_no = F.col("line_no")
     return hits.join(texts, "position").select(

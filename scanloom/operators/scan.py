@@ -34,8 +34,12 @@ def with_static_hits(
 def rule_value(rule_id: Column, column: str) -> Column:
     """A column of the built-in catalog, looked up by rule id inside the expression."""
     index = catalog.RULE_COLUMNS.index(column)
-    pairs = [F.lit(x) for rule in catalog.LINE_RULES + catalog.TOKEN_RULES for x in (rule[0], rule[index])]
-    return F.try_element_at(F.create_map(*pairs), rule_id)
+    pairs = [_literal(x) for rule in catalog.LINE_RULES + catalog.TOKEN_RULES for x in (rule[0], rule[index])]
+    return F.try_element_at(F.expr(f"map({', '.join(pairs)})"), rule_id)
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def findings_of(scanned: DataFrame) -> DataFrame:

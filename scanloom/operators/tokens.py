@@ -221,26 +221,43 @@ def with_token_hits(files: DataFrame, rule_ids: list[str] | None = None) -> Data
     )
     out = out.withColumn("_lines", F.when(found, F.filter(numbered, lambda l: l["code"].rlike(f"[{_MARKS}]"))))
 
-    def hits_of(number: int, rule_id: str, marker: str, quoted: bool) -> Column:
-        marked = F.filter(F.col("_lines"), lambda l: F.contains(l["code"], F.lit(marker)))
-        return F.flatten(
-            F.transform(
-                marked,
-                lambda l: F.transform(
-                    F.sequence(F.lit(1), F.length(l["code"]) - F.length(F.replace(l["code"], F.lit(marker), F.lit("")))),
-                    lambda k: F.struct(
-                        F.lit(catalog.SOURCE_STAGE["ast"]).alias("stage"),
-                        F.lit(number).cast("bigint").alias("a"),
-                        (l["line"].cast("bigint") * (1 << 31) + k).alias("b"),
-                        l["line"].cast("bigint").alias("line"),
-                        F.lit(rule_id).alias("rule_id"),
-                        (l["text"] if quoted else F.lit("")).alias("snippet"),
-                    ),
-                ),
+    kinds = F.array(
+        *[
+            F.struct(
+                F.lit(number).cast("bigint").alias("number"), F.lit(rule_id).alias("rule_id"),
+                F.lit(marker).alias("marker"), F.lit(quoted).alias("quoted"),
             )
+            for number, rule_id, marker, _, _, quoted in rules
+        ]
+    )
+
+    def on_line(rule: Column, line: Column) -> Column:
+        """One hit per mark of the rule on the line."""
+        marks = F.length(line["code"]) - F.length(F.replace(line["code"], rule["marker"], F.lit("")))
+        line_no = line["line"].cast("bigint")
+        return F.transform(
+            F.sequence(F.lit(1), marks),
+            lambda k: F.struct(
+                F.lit(catalog.SOURCE_STAGE["ast"]).alias("stage"),
+                rule["number"].alias("a"),
+                (line_no * (1 << 31) + k).alias("b"),
+                line_no.alias("line"),
+                rule["rule_id"].alias("rule_id"),
+                F.when(rule["quoted"], line["text"]).otherwise(F.lit("")).alias("snippet"),
+            ),
         )
 
-    hits = F.concat(*[hits_of(number, rule_id, marker, quoted) for number, rule_id, marker, _, _, quoted in rules])
+    hits = F.flatten(
+        F.transform(
+            kinds,
+            lambda rule: F.flatten(
+                F.transform(
+                    F.filter(F.col("_lines"), lambda line: F.contains(line["code"], rule["marker"])),
+                    lambda line: on_line(rule, line),
+                )
+            ),
+        )
+    )
     empty = F.array().cast(HITS)
     return out.withColumn("token_hits", F.when(F.col("_lines").isNotNull(), hits).otherwise(empty)).drop(
         "_code", "_lines"
