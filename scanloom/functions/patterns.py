@@ -31,7 +31,8 @@ def java_line_pattern(re2: str) -> str:
         plain = re.sub(r"\\.", "", inside)
         covers_s = re.search(r"s|a-z|A-Z", plain, re.I)
         covers_k = re.search(r"k|a-z|A-Z", plain, re.I)
-        inside = inside.replace(r"\s", _BLANK).replace("[", r"\[").replace("&", r"\&")
+        java = {r"\s": _BLANK, "[": r"\[", "&": r"\&"}
+        inside = "".join(java.get(piece, piece) for piece in re.findall(r"\\.|.", inside, re.S))
         if ignore_case:
             inside += ("\u017f" if covers_s else "") + ("\u212a" if covers_k else "")
         return f"[{'^' + chr(92) + 'n' if negated else ''}{inside}]"
