@@ -140,7 +140,7 @@ def _texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return spread_small_table(_table(spark, sf_dir, name), key)
 
 
-def _named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     path = F.concat(
         _pick(DIRS, n), F.lit("/"), _pick(NAMES, F.floor(n / 12)), F.lit("_"), n.cast("string"), F.lit("."),
@@ -159,7 +159,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     whole = F.concat(body, tail)
     content = F.when(n % 89 == 7, F.replace(whole, F.lit("\n"), F.lit("\r\n"))).otherwise(whole)
-    documents = _named_documents(spark, sf_dir).select("project", "path", content.alias("content"))
+    documents = named_documents(spark, sf_dir).select("project", "path", content.alias("content"))
     pages = _texts(spark, sf_dir, "pages", "page_id").select(
         F.lit("web").alias("project"),
         F.concat(F.lit("site/page_"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"),
@@ -171,18 +171,18 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents count as changed; one row per path, as a listing may come in pieces."""
     labels = _table(spark, sf_dir, "labels").select("doc_id")
-    named = _named_documents(spark, sf_dir).join(labels, "doc_id", "left_semi")
+    named = named_documents(spark, sf_dir).join(labels, "doc_id", "left_semi")
     return named.select("project", F.concat(F.lit("\n"), "path", F.lit("\n\ngone/"), "path", F.lit("\n")).alias("listing"))
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named_documents(spark, sf_dir).select("project", "path", _pick(DIFF_TEXTS, F.col("doc_id")).alias("diff"))
+    return named_documents(spark, sf_dir).select("project", "path", _pick(DIFF_TEXTS, F.col("doc_id")).alias("diff"))
 
 
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five attempts for every document; the provider depends on the document."""
     n, a = F.col("doc_id"), F.col("attempt")
-    tried = _named_documents(spark, sf_dir).withColumn("attempt", F.explode(F.array(*[F.lit(i) for i in range(5)])))
+    tried = named_documents(spark, sf_dir).withColumn("attempt", F.explode(F.array(*[F.lit(i) for i in range(5)])))
     body = F
     for k, provider in enumerate(PROVIDERS):
         body = body.when(n % 3 == k, _pick(BODIES[provider], n * 5 + a * a))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,8 +122,8 @@ def _(spark, sf):
     RESPONSES + " SELECT project, path, provider, attempt, status, md5(body) AS digest FROM responses",
 )
 def _(spark, sf):
-    target = f"{staging_root(spark)}/responses-{spark.sparkContext.applicationId}-{id(sf)}"
-    corpus.model_responses(spark, sf).write.mode("overwrite").json(target)
+    target = f"{staging_root(spark)}/responses-{uuid.uuid4().hex}"
+    corpus.model_responses(spark, sf).write.json(target)
     return read_model_responses(spark, target).select(
         "project", "path", "provider", "attempt", "status", F.md5("body").alias("digest")
     )
@@ -364,7 +365,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").select("doc_id")
-    wanted = corpus._named_documents(spark, sf).join(toxic, "doc_id", "left_semi").select(
+    wanted = corpus.named_documents(spark, sf).join(toxic, "doc_id", "left_semi").select(
         F.concat("project", F.lit("/"), "path").alias("file_path")
     )
     return no_ord(filters.filter_by_files(scan.static_scan(corpus.source_files(spark, sf)), wanted))

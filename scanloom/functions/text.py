@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space, which trimming and field splitting treat alike.
@@ -17,6 +17,14 @@ def simple_lower(text: Column) -> Column:
     return F.lower(F.replace(F.replace(text, F.lit("\u0130"), F.lit("i")), F.lit("\u03a3"), F.lit("\u03c3")))
 
 
+# Helper column with the content in lower case, shared by the steps that need it.
+LOW = "_low"
+
+
+def with_lower(files: DataFrame) -> DataFrame:
+    return files if LOW in files.columns else files.withColumn(LOW, simple_lower(F.col("content")))
+
+
 def trim_space(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{UNICODE_SPACE}++|{UNICODE_SPACE}++\z", "")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import catalog
 from scanloom.functions.patterns import glob_regex
-from scanloom.functions.text import contains_any, count_newlines, simple_lower
+from scanloom.functions.text import LOW, contains_any, count_newlines, simple_lower, with_lower
 
 
 def base_name(path: Column) -> Column:
@@ -74,14 +74,14 @@ def has_risky_name(path: Column) -> Column:
 
 def with_content_flags(files: DataFrame) -> DataFrame:
     """Adds ``loc``, ``has_crypto``, ``has_database``, ``has_auth``; the content is lower-cased once."""
-    return (
-        files.withColumn("_low", simple_lower(F.col("content")))
-        .withColumn("loc", lines_of_code(F.col("content")))
-        .withColumn("has_crypto", contains_any(F.col("_low"), catalog.CRYPTO_WORDS))
-        .withColumn("has_database", contains_any(F.col("_low"), catalog.DATABASE_WORDS))
-        .withColumn("has_auth", contains_any(F.col("_low"), catalog.AUTH_WORDS))
-        .drop("_low")
-    )
+    low = F.col(LOW)
+    flags = [
+        lines_of_code(F.col("content")).alias("loc"),
+        contains_any(low, catalog.CRYPTO_WORDS).alias("has_crypto"),
+        contains_any(low, catalog.DATABASE_WORDS).alias("has_database"),
+        contains_any(low, catalog.AUTH_WORDS).alias("has_auth"),
+    ]
+    return with_lower(files).select(*files.columns, *flags)
 
 
 def file_loc(files: DataFrame) -> DataFrame:

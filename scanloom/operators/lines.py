@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import catalog
 from scanloom.functions.patterns import java_line_pattern
-from scanloom.functions.text import contains_any, simple_lower, source_lines
+from scanloom.functions.text import LOW, contains_any, source_lines, with_lower
 
 ALL_RULES = [rule[0] for rule in catalog.LINE_RULES]
 
@@ -63,8 +63,8 @@ def with_line_hits(files: DataFrame, rule_ids: list[str] | None = None) -> DataF
         for number, rule in enumerate(catalog.LINE_RULES, start=1)
         if rule_ids is None or rule[0] in rule_ids
     ]
-    content, low, maybe = F.col("content"), F.col("_low"), F.col("_maybe")
-    tested = files.withColumn("_low", simple_lower(content)).withColumn(
+    content, low, maybe = F.col("content"), F.col(LOW), F.col("_maybe")
+    tested = with_lower(files).withColumn(
         "_maybe", F.array(*[_may_match(rule_id, pattern, low, content) for _, rule_id, pattern in rules])
     )
 
@@ -93,4 +93,4 @@ def with_line_hits(files: DataFrame, rule_ids: list[str] | None = None) -> DataF
     hits = F.when(
         any_rule & ~has_oversize_line(content), F.flatten(F.transform(source_lines(content), on_line))
     ).otherwise(F.array().cast(HITS))
-    return tested.withColumn("line_hits", hits).drop("_low", "_maybe")
+    return tested.withColumn("line_hits", hits).select(*files.columns, "line_hits")

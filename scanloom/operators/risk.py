@@ -9,6 +9,7 @@ from scanloom.functions import catalog
 from scanloom.functions.identity import file_path
 from scanloom.functions.once import computed_once
 from scanloom.functions.severity import severity_weight
+from scanloom.functions.text import with_lower
 from scanloom.operators.files import has_risky_name, language_of, with_content_flags
 from scanloom.operators.scan import rule_value, with_static_hits
 
@@ -57,7 +58,7 @@ def scanned_files(
 
     The static findings of a file come from its own row, so the score needs no join and no shuffle.
     """
-    hit_rows = with_content_flags(with_static_hits(files, regex_enabled, ast_enabled))
+    hit_rows = with_content_flags(with_static_hits(with_lower(files), regex_enabled, ast_enabled))
     weight = F.aggregate(
         "hits",
         F.lit(0).cast("bigint"),

@@ -131,10 +131,13 @@ def _mark_ignored_error(code: Column) -> Column:
     # Declarations are not assignments: take the "=" of `var a, _ = x` (also const and type) out first.
     name_list = r"[\p{L}\p{Nd}_, ]*+(?:(?<=, )\n[ \n]*+[\p{L}\p{Nd}_, ]*+)*+"
     declared = F.regexp_replace(code, rf"( (?:var|const|type) {name_list}(?<= _ ))(?== )", "$1?")
+    # A list of targets begins behind a bracket, ";", ":" or a run of newlines that does not follow a comma. Each
+    # run counts once, so a long list of lines is read from its first line only.
+    begin = r"(?<=[;{}:(]|\A|(?<![,\n] |\n)\n)([ \n]*+)"
     part = r"[^;\n{}:=(]*+"
-    targets = rf"(?<=[;\n{{}}:(]|\A){part}(?:(?<=, )\n[ \n]*+{part})*+"
+    targets = rf"({part}(?:(?<=, )\n[ \n]*+{part})*+)"
     operator = r"(?<= _ (?:[-+*/%&|^]|<<|>>|&\^)?)(?=:?= (?![ \n]*range ))"
-    return F.regexp_replace(declared, f"{targets}{operator}", f"{_IGNORED_ERROR}$0")
+    return F.regexp_replace(declared, begin + targets + operator, f"$1{_IGNORED_ERROR}$2")
 
 
 def _without_group_members(marked: Column) -> Column:

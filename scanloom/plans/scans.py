@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -81,6 +82,24 @@ def prompts_for(
     return build_prompts(chosen, max_tokens, temperature)
 
 
+def scan_with_model(
+    files: DataFrame,
+    ask: Callable[[DataFrame], DataFrame],
+    mode: str = "smart",
+    provider: str = "openai",
+    max_tokens: int = catalog.MAX_TOKENS,
+    temperature: float = catalog.TEMPERATURE,
+    **options,
+) -> Scan:
+    """Scan with a caller-supplied model step ``prompts -> responses``.
+
+    The responses are staged at once, so no file is asked about again when a later step is repeated.
+    """
+    chosen = {name: options[name] for name in ("languages", "ignore") if name in options}
+    prompts = prompts_for(files, mode, max_tokens=max_tokens, temperature=temperature, **chosen)
+    return scan(files, mode, stage(ask(prompts)), provider, **options)
+
+
 def scan_diff(
     files: DataFrame, listings: DataFrame, provider: str = "", regex_enabled: bool = True, ast_enabled: bool = True
 ) -> Scan:

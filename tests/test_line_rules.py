@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import catalog
 from scanloom.functions.patterns import java_line_pattern
+from scanloom.functions.text import simple_lower
 from scanloom.operators import lines, rules_table, scan
 
 CASES = {
@@ -111,6 +112,7 @@ def test_pattern_and_anchor_agree_with_the_original_pattern(spark, rule):
 
     collect()
     samples = list(dict.fromkeys(samples))
+    samples += [f"{a}{b}" for a, b in zip(samples, samples[1:])]
     con = duckdb.connect()
     wanted = [
         r[0]
@@ -121,7 +123,7 @@ def test_pattern_and_anchor_agree_with_the_original_pattern(spark, rule):
     ]
     table = spark.createDataFrame(list(enumerate(samples)), "i int, content string")
     pattern = java_line_pattern(rule[3])
-    low = lines.simple_lower(F.col("content"))
+    low = simple_lower(F.col("content"))
     rows = table.select(
         "i", F.col("content").rlike(pattern).alias("plain"),
         lines._may_match(rule[0], pattern, low, F.col("content")).alias("anchored"),
@@ -150,3 +152,10 @@ def test_custom_rule_patterns_keep_their_meaning(spark, files_of):
     table = files_of({"a": "TODO: [x\ntodo\u000b(\ntodo (\ntodo:("})
     rows = rules_table.regex_scan_rule_table(table, rules).orderBy("start_line").collect()
     assert [r.start_line for r in rows] == [1, 2, 4]
+
+
+def test_long_lines_cost_no_more_than_their_length(files_of):
+    part = "select + x; \"a\" - 'b'; "
+    line = part * (60_000 // len(part))
+    rows = scan.regex_scan(files_of({f"{i}.js": f"{line}\n{line}\n" for i in range(20)})).collect()
+    assert rows == []

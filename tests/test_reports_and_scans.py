@@ -74,6 +74,18 @@ def test_smart_asks_about_risky_files_and_deep_about_all(project, responses):
         scans.scan(project, "quick")
 
 
+def test_caller_supplied_model_step(project):
+    def ask(prompts):
+        body = F.lit('{"choices":[{"message":{"content":"[{\\"title\\":\\"Asked\\"}]"}}]}')
+        return prompts.select(
+            "project", "path", F.lit("openai").alias("provider"), F.lit(0).alias("attempt"), F.lit(200).alias("status"),
+            body.alias("body"),
+        )
+
+    done = scans.scan_with_model(project, ask)
+    assert titles(done) == sorted(STATIC + [("p/auth/login.go", "Asked"), ("p/keys.py", "Asked")])
+
+
 def test_engine_switches(project):
     assert titles(scans.scan_static_only(project, regex_enabled=False)) == STATIC[1:3]
     assert titles(scans.scan_static_only(project, ast_enabled=False)) == [STATIC[0], STATIC[3]]

@@ -113,3 +113,17 @@ def test_long_literals_and_long_lists_do_not_exhaust_the_stack(files_of):
     targets = ",\n".join(f"n{i}" for i in range(2_000)) + ",\n_ = f()\n"
     table = files_of({"a.go": long_text, "b.go": names, "c.go": targets, "d.go": "/*" + "x\n" * 200_000 + "*/\n_ = f()"})
     assert hits(table) == {("a.go", "A3"): [2], ("c.go", "A3"): [1], ("d.go", "A3"): [200_002]}
+
+
+def test_long_lists_cost_no_more_than_their_length(files_of):
+    rows = 60_000
+    table = files_of(
+        {
+            "a.go": "var x = []string{\n" + '"a",\n' * rows + "}\n_ = f()\n",
+            "b.go": "var x = []string{\n" + '"a",\n\n// c\n' * rows + "}\n\n\n/* c\n*/\n_ = f()\n",
+            "c.go": "\n" * rows + "x, _ := f()" + "\n" * rows,
+        }
+    )
+    assert hits(table) == {
+        ("a.go", "A3"): [rows + 3], ("b.go", "A3"): [3 * rows + 7], ("c.go", "A3"): [rows + 1]
+    }
