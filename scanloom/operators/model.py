@@ -109,6 +109,13 @@ def _variant_text(envelope: Column, path: str) -> Column:
     return F.when(kind(value) == "STRING", value.cast("string"))
 
 
+def _answer(envelope: Column, provider: str) -> Column:
+    """The answer of a provider; null also when a token count is no whole number."""
+    counts = [kind(F.try_variant_get(envelope, path, "variant")) for path in TOKEN_PATHS[provider]]
+    whole = F.forall(F.array(*counts), lambda k: k.isin("BIGINT", "VOID"))
+    return F.when(whole, _variant_text(envelope, TEXT_PATHS[provider]))
+
+
 def _by_provider(make) -> Column:
     out = F
     for provider in TEXT_PATHS:
@@ -120,7 +127,7 @@ def extract_model_text(responses: DataFrame) -> DataFrame:
     """Adds ``text``, the answer inside the envelope of the provider; null when the attempt failed."""
     allow_duplicate_keys(responses.sparkSession)
     envelope = F.get(F.col("_envelope"), F.lit(0))
-    text = _by_provider(lambda provider: _variant_text(envelope, TEXT_PATHS[provider]))
+    text = _by_provider(lambda provider: _answer(envelope, provider))
     parsed = responses.withColumn("_envelope", strict_parse(F.col("body")))
     return computed_once(parsed.withColumn("text", F.when(F.col("status") == 200, text)).drop("_envelope"), "text")
 

@@ -97,7 +97,8 @@ def test_fields_of_items(responses_of):
 
 def test_envelopes_without_an_answer_fail(responses_of):
     bad = ["{}", "oops", '{"choices":[]}', '{"choices":[{"message":{}}]}', '{"choices":[{"message":{"content":null}}]}',
-           '{"choices":[{"message":{"content":[]}}]}', body("openai", "[]") + " x", "", "[]", body("gemini", "[]")]
+           '{"choices":[{"message":{"content":[]}}]}', body("openai", "[]") + " x", "", "[]", body("gemini", "[]"),
+           body("openai", "[]").replace('"total_tokens": 7', '"total_tokens": "7"')]
     rows = [(f"{i}", "openai", 0, 200, text) for i, text in enumerate(bad)]
     rows += [("status", "openai", 0, 500, body("openai", "[]")), ("who", "someone", 0, 200, body("openai", "[]"))]
     table = responses_of(*rows)
