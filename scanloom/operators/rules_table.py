@@ -56,12 +56,12 @@ def regex_scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     number of rules works without a cross join. Texts other than the pattern are joined to the hits afterwards.
     """
     lines = explode_lines(oversize_line_guard(files))
-    slim = rules.select("position", _java_pattern("pattern").alias("pattern"))
+    slim = rules.select("position", "pattern")
     n, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
     if 0 < n <= MAX_LITERAL_RULES and size <= MAX_LITERAL_BYTES:
-        hits = _literal_hits(lines, [tuple(row) for row in slim.collect()])
+        hits = _literal_hits(lines, [(row.position, java_line_pattern(row.pattern)) for row in slim.collect()])
     else:
-        hits = _broadcast_hits(lines, slim)
+        hits = _broadcast_hits(lines, slim.withColumn("pattern", _java_pattern("pattern")))
     return _as_findings(hits, rules)
 
 
