@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -592,7 +593,7 @@ def _(spark, sf):
     return model.static_context(scan.with_static_hits(corpus.source_files(spark, sf)))
 
 
-_PARTS = [sql.quote(p) for p in catalog.USER_PROMPT_PARTS]
+_PARTS = [sql.quote(p) for p in re.split("{(?:file|language|lines|code|context)}", catalog.USER_PROMPT)]
 _USER = (
     f"{_PARTS[0]} || s.project || '/' || s.path || {_PARTS[1]} || language || {_PARTS[2]} || '1-' || loc || {_PARTS[3]}"
     f" || content || {_PARTS[4]} || coalesce(context, '') || {_PARTS[5]}"
@@ -799,7 +800,7 @@ _MD_TABLE = " || ".join(
         || '- **Total Findings:** ' || total_findings || chr(10) || '- **Analysis Type:** Static Only' || {_N2}
         || '### Findings by Severity' || {_N2} || '| Severity | Count |' || chr(10) || '|----------|-------|' || chr(10)
         || coalesce(rows, '') || chr(10) || CASE WHEN total_findings > 0 THEN '## Findings by File' || {_N2}
-        ELSE {sql.quote(report.no_issues_text())} END
+        ELSE {sql.quote(catalog.REPORT_NO_ISSUES)} END
       FROM summary LEFT JOIN tables USING (project)
       UNION ALL SELECT project, 2, '', CAST(0 AS BIGINT), '---' || {_N2}
         || '*Generated by Scanloom - Security Code Analysis Tool*' || chr(10) FROM summary""",
@@ -834,7 +835,7 @@ def _(spark, sf):
 @query(
     "report_empty",
     STATIC + f""", critical_auth AS (SELECT * FROM findings WHERE severity = 'critical' AND contains(file_path, 'auth'))
-      SELECT DISTINCT project, {sql.quote(report.no_issues_text())} AS text FROM source_files
+      SELECT DISTINCT project, {sql.quote(catalog.REPORT_NO_ISSUES)} AS text FROM source_files
       WHERE project NOT IN (SELECT project FROM critical_auth)""",
 )
 def _(spark, sf):

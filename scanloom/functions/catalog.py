@@ -200,14 +200,17 @@ Focus on detecting:
 
 Provide structured, actionable findings in JSON format."""
 
-# The user prompt is these five texts around file, language, "start-end", code and static context.
-USER_PROMPT_PARTS = [
-    "Analyze the following code for security vulnerabilities:\n\nFile: ",
-    "\nLanguage: ",
-    "\nLines: ",
-    "\n\nCode:\n",
-    "\n\n",
-    """
+# {file}, {language}, {lines}, {code} and {context} are filled in; other braces are part of the text.
+USER_PROMPT = """Analyze the following code for security vulnerabilities:
+
+File: {file}
+Language: {language}
+Lines: {lines}
+
+Code:
+{code}
+
+{context}
 
 Respond with a JSON array of findings. Each finding should have:
 {
@@ -223,7 +226,55 @@ Respond with a JSON array of findings. Each finding should have:
 
 If no security issues are found, return an empty array: []
 
-Only respond with valid JSON, no additional text.""",
-]
+Only respond with valid JSON, no additional text."""
 CONTEXT_HEADER = "Static analysis has already detected the following issues:\n"
 CONTEXT_TRAILER = "\nPlease provide additional security insights beyond these static findings."
+CONTEXT_LINE = "- {source} (Line {line}): {title}\n"
+
+# ---------------------------------------------------------------------------
+# Texts a merged finding gets.
+# ---------------------------------------------------------------------------
+STATIC_ANALYSIS_MARK = "\n\nStatic Analysis: "
+ALSO_DETECTED = "\n[Also detected by {source}]"
+
+# ---------------------------------------------------------------------------
+# Parts of the Markdown report, in document order.
+# ---------------------------------------------------------------------------
+REPORT_HEAD = """# Security Scan Report
+
+**Generated:** {generated}
+
+## Summary
+
+- **Project Path:** `{project}`
+- **Scan Mode:** {scan_mode}
+- **Scan Duration:** {duration}
+- **Files Scanned:** {files_scanned}
+- **Total Findings:** {total_findings}
+{kind}
+### Findings by Severity
+
+| Severity | Count |
+|----------|-------|
+{table}
+{next}"""
+REPORT_PROVIDER = "- **LLM Provider:** {provider}\n"
+REPORT_STATIC_ONLY = "- **Analysis Type:** Static Only\n"
+REPORT_SEVERITY_ROW = "| {emoji} {severity} | {n} |"
+REPORT_FILES = "## Findings by File\n\n"
+REPORT_FILE = "### {name}\n\n**Full Path:** `{file_path}`\n\n**Issues Found:** {n}\n\n"
+REPORT_FINDING = (
+    "#### {number}. {title}\n\n**Severity:** {emoji} {severity} | **Source:** {source} | {lines}\n\n{owasp}{cwe}\n\n"
+    "{description}{code}{recommendation}---\n\n"
+)
+REPORT_LINE = "**Line:** {start}"
+REPORT_LINES = "**Lines:** {start}-{end}"
+REPORT_OWASP = "**OWASP:** {value}"
+REPORT_CWE = " | **CWE:** {value}"
+REPORT_DESCRIPTION = "**Description:**\n\n{value}\n\n"
+REPORT_CODE = "**Code:**\n\n```\n{value}\n```\n\n"
+REPORT_RECOMMENDATION = "**Recommendation:**\n\n{value}\n\n"
+REPORT_NO_ISSUES = (
+    "## No Security Issues Found\n\nGreat! The scan did not detect any security vulnerabilities.\n\n"
+)
+REPORT_FOOT = "---\n\n*Generated by Scanloom - Security Code Analysis Tool*\n"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -45,3 +46,9 @@ def source_lines(content: Column) -> Column:
         kept.otherwise(parts),
         lambda line: F.when(F.endswith(line, F.lit("\r")), F.left(line, F.length(line) - 1)).otherwise(line),
     )
+
+
+def filled(template: str, **values: Column) -> Column:
+    """The template with each ``{name}`` replaced by the value of that name; other braces stay."""
+    pieces = re.split("{(" + "|".join(values) + ")}", template)
+    return F.concat(*[values[piece] if i % 2 else F.lit(piece) for i, piece in enumerate(pieces) if i % 2 or piece])

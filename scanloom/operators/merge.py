@@ -11,7 +11,6 @@ from scanloom.functions.identity import similarity_key
 from scanloom.functions.severity import severity_rank
 from scanloom.operators.scan import with_finding_id
 
-_JOIN_TEXT = "\n\nStatic Analysis: "
 _ROW = [c for c in schemas.FINDING_COLUMNS if c != "project"]
 
 
@@ -78,7 +77,7 @@ def merge_duplicates(findings: DataFrame, has_model_rows: bool = True) -> DataFr
     is_static = kept["source"] != "llm"
     also = F.concat(
         *[
-            F.when(kept["source"] != s, F.repeat(F.lit(f"\n[Also detected by {s}]"), F.col(f"n_{s}").cast("int")))
+            F.when(kept["source"] != s, F.repeat(F.lit(catalog.ALSO_DETECTED.format(source=s)), F.col(f"n_{s}").cast("int")))
             .otherwise(F.lit(""))
             for s in sources
         ]
@@ -90,7 +89,7 @@ def merge_duplicates(findings: DataFrame, has_model_rows: bool = True) -> DataFr
         texts = F.concat(F.array(kept["description"]), F.coalesce("model_texts", F.array().cast("array<string>")))
         first_text = F.array_position(F.transform(texts, lambda t: t != ""), True)
         stacked = F.array_join(
-            F.reverse(F.slice(texts, F.greatest(first_text, F.lit(1)).cast("int"), F.size(texts))), _JOIN_TEXT
+            F.reverse(F.slice(texts, F.greatest(first_text, F.lit(1)).cast("int"), F.size(texts))), catalog.STATIC_ANALYSIS_MARK
         )
         description = F.when(is_static & F.col("model_texts").isNotNull() & (first_text > 0), stacked).otherwise(
             kept["description"]

@@ -10,7 +10,7 @@ from scanloom.functions.identity import file_path
 from scanloom.functions.once import computed_once
 from scanloom.functions.severity import normalize_severity
 from scanloom.functions.strict_json import allow_duplicate_keys, kind, strict_parse
-from scanloom.functions.text import count_newlines, trim_space
+from scanloom.functions.text import count_newlines, filled, trim_space
 from scanloom.operators.filters import keep_matching
 from scanloom.operators.files import language_of
 from scanloom.operators.scan import rule_value
@@ -55,9 +55,8 @@ def _context_text(hits: Column) -> Column:
     source = lambda hit: F.when(hit["stage"] == catalog.SOURCE_STAGE["regex"], F.lit("regex")).otherwise(F.lit("ast"))
     lines = F.transform(
         hits,
-        lambda hit: F.concat(
-            F.lit("- "), source(hit), F.lit(" (Line "), hit["line"].cast("string"), F.lit("): "),
-            rule_value(hit["rule_id"], "title"), F.lit("\n"),
+        lambda hit: filled(
+            catalog.CONTEXT_LINE, source=source(hit), line=hit["line"], title=rule_value(hit["rule_id"], "title")
         ),
     )
     text = F.concat(F.lit(catalog.CONTEXT_HEADER), F.array_join(lines, ""), F.lit(catalog.CONTEXT_TRAILER))
@@ -74,14 +73,14 @@ def build_prompts(
 ) -> DataFrame:
     """Prompts for files that carry ``content`` and ``hits``. All from one row, so content is not shuffled."""
     chunk_end = count_newlines(F.col("content")) + 1
-    values = [
-        file_path(F.col("project"), F.col("path")),
-        F.col("language"),
-        F.concat(F.lit("1-"), chunk_end.cast("string")),
-        F.col("content"),
-        _context_text(F.col("hits")),
-    ]
-    pieces = [x for part, value in zip(catalog.USER_PROMPT_PARTS, values) for x in (F.lit(part), value)]
+    user = filled(
+        catalog.USER_PROMPT,
+        file=file_path(F.col("project"), F.col("path")),
+        language=F.col("language"),
+        lines=F.concat(F.lit("1-"), chunk_end),
+        code=F.col("content"),
+        context=_context_text(F.col("hits")),
+    )
     return scanned.select(
         "project",
         "path",
@@ -89,7 +88,7 @@ def build_prompts(
         F.lit(1).cast("bigint").alias("start_line"),
         chunk_end.cast("bigint").alias("end_line"),
         F.lit(catalog.SYSTEM_PROMPT).alias("system"),
-        F.concat(*pieces, F.lit(catalog.USER_PROMPT_PARTS[-1])).alias("user"),
+        user.alias("user"),
         F.lit(max_tokens).alias("max_tokens"),
         F.lit(temperature).alias("temperature"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scanloom import schemas
 from scanloom.functions import catalog
 from scanloom.functions.severity import severity_emoji, severity_rank
+from scanloom.functions.text import filled
 from scanloom.operators.files import base_name
 from scanloom.operators.grouping import group_by_file
 
@@ -99,51 +100,46 @@ def report_severity_table(findings: DataFrame) -> DataFrame:
             "severity",
             severity_rank(severity).alias("rank"),
             "n",
-            F.concat(F.lit("| "), severity_emoji(severity), F.lit(" "), severity, F.lit(" | "), F.col("n"), F.lit(" |"))
-            .alias("row"),
+            filled(catalog.REPORT_SEVERITY_ROW, emoji=severity_emoji(severity), severity=severity, n=F.col("n")).alias("row"),
         )
     )
 
 
-def _if_text(value: Column, *pieces) -> Column:
-    return F.when(value != "", F.concat(*pieces)).otherwise(F.lit(""))
+def _if_text(template: str, name: str) -> Column:
+    value = F.col(name)
+    return F.when(value != "", filled(template, value=value)).otherwise(F.lit(""))
 
 
 def finding_markdown(number: Column) -> Column:
     """One finding as Markdown; a CWE without an OWASP category keeps its leading separator."""
-    col, lit = F.col, F.lit
-    lines = F.when(
-        col("start_line") == col("end_line"), F.concat(lit(" | **Line:** "), col("start_line"), lit("\n\n"))
-    ).otherwise(F.concat(lit(" | **Lines:** "), col("start_line"), lit("-"), col("end_line"), lit("\n\n")))
-    return F.concat(
-        lit("#### "), number, lit(". "), col("title"), lit("\n\n"),
-        lit("**Severity:** "), severity_emoji(col("severity")), lit(" "), col("severity"),
-        lit(" | **Source:** "), col("source"), lines,
-        _if_text(col("owasp_id"), lit("**OWASP:** "), col("owasp_id")),
-        _if_text(col("cwe"), lit(" | **CWE:** "), col("cwe")),
-        lit("\n\n"),
-        _if_text(col("description"), lit("**Description:**\n\n"), col("description"), lit("\n\n")),
-        _if_text(col("code_snippet"), lit("**Code:**\n\n```\n"), col("code_snippet"), lit("\n```\n\n")),
-        _if_text(col("recommendation"), lit("**Recommendation:**\n\n"), col("recommendation"), lit("\n\n")),
-        lit("---\n\n"),
+    start, end, severity = F.col("start_line"), F.col("end_line"), F.col("severity")
+    lines = F.when(start == end, filled(catalog.REPORT_LINE, start=start)).otherwise(
+        filled(catalog.REPORT_LINES, start=start, end=end)
+    )
+    return filled(
+        catalog.REPORT_FINDING,
+        number=number,
+        title=F.col("title"),
+        emoji=severity_emoji(severity),
+        severity=severity,
+        source=F.col("source"),
+        lines=lines,
+        owasp=_if_text(catalog.REPORT_OWASP, "owasp_id"),
+        cwe=_if_text(catalog.REPORT_CWE, "cwe"),
+        description=_if_text(catalog.REPORT_DESCRIPTION, "description"),
+        code=_if_text(catalog.REPORT_CODE, "code_snippet"),
+        recommendation=_if_text(catalog.REPORT_RECOMMENDATION, "recommendation"),
     )
 
 
 def file_heading() -> Column:
     path = F.col("file_path")
-    return F.concat(
-        F.lit("### "), base_name(path), F.lit("\n\n**Full Path:** `"), path,
-        F.lit("`\n\n**Issues Found:** "), F.col("file_findings"), F.lit("\n\n"),
-    )
-
-
-def no_issues_text() -> str:
-    return "## No Security Issues Found\n\nGreat! The scan did not detect any security vulnerabilities.\n\n"
+    return filled(catalog.REPORT_FILE, name=base_name(path), file_path=path, n=F.col("file_findings"))
 
 
 def report_empty(summary: DataFrame) -> DataFrame:
     """The section that stands in for the findings, for projects without any."""
-    return summary.where(F.col("total_findings") == 0).select("project", F.lit(no_issues_text()).alias("text"))
+    return summary.where(F.col("total_findings") == 0).select("project", F.lit(catalog.REPORT_NO_ISSUES).alias("text"))
 
 
 def report_markdown(
@@ -163,30 +159,32 @@ def report_markdown(
         F.concat(F.when(number == 1, file_heading()).otherwise(F.lit("")), finding_markdown(number)).alias("text"),
     )
     counts = findings.groupBy("project").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in _SEVERITIES])
-    table = F.concat(
-        *[
-            F.when(
-                F.col(f"n_{s}") > 0,
-                F.concat(F.lit(f"| {catalog.SEVERITY_EMOJI[s]} {s} | "), F.col(f"n_{s}"), F.lit(" |\n")),
-            ).otherwise(F.lit(""))
-            for s in _SEVERITIES
-        ]
-    )
-    head = F.concat(
-        F.lit(f"# Security Scan Report\n\n**Generated:** {generated}\n\n## Summary\n\n- **Project Path:** `"),
-        F.col("project"),
-        F.lit("`\n- **Scan Mode:** "), F.col("scan_mode"),
-        F.lit(f"\n- **Scan Duration:** {duration}\n- **Files Scanned:** "), F.col("files_scanned"),
-        F.lit("\n- **Total Findings:** "), F.col("total_findings"), F.lit("\n"),
-        F.when(F.col("static_only"), F.lit("- **Analysis Type:** Static Only\n")).otherwise(
-            F.concat(F.lit("- **LLM Provider:** "), F.col("llm_provider"), F.lit("\n"))
+    rows = [
+        F.when(
+            F.col(f"n_{s}") > 0,
+            filled(
+                catalog.REPORT_SEVERITY_ROW + "\n",
+                emoji=F.lit(catalog.SEVERITY_EMOJI[s]), severity=F.lit(s), n=F.col(f"n_{s}"),
+            ),
+        ).otherwise(F.lit(""))
+        for s in _SEVERITIES
+    ]
+    total = F.col("total_findings")
+    head = filled(
+        catalog.REPORT_HEAD,
+        generated=F.lit(generated),
+        project=F.col("project"),
+        scan_mode=F.col("scan_mode"),
+        duration=F.lit(duration),
+        files_scanned=F.col("files_scanned"),
+        total_findings=total,
+        kind=F.when(F.col("static_only"), F.lit(catalog.REPORT_STATIC_ONLY)).otherwise(
+            filled(catalog.REPORT_PROVIDER, provider=F.col("llm_provider"))
         ),
-        F.lit("\n### Findings by Severity\n\n| Severity | Count |\n|----------|-------|\n"),
-        table,
-        F.lit("\n"),
-        F.when(F.col("total_findings") > 0, F.lit("## Findings by File\n\n")).otherwise(F.lit(no_issues_text())),
+        table=F.concat(*rows),
+        next=F.when(total > 0, F.lit(catalog.REPORT_FILES)).otherwise(F.lit(catalog.REPORT_NO_ISSUES)),
     )
-    foot = F.lit("---\n\n*Generated by Scanloom - Security Code Analysis Tool*\n")
+    foot = F.lit(catalog.REPORT_FOOT)
     counted = summary.join(counts, "project", "left").na.fill(0, [f"n_{s}" for s in _SEVERITIES])
 
     def edge(table_: DataFrame, part: int, text: Column) -> DataFrame:
