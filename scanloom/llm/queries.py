@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, fingerprint, html_text, sharding, toxicity, url_filter
+from scanloom.llm import decontaminate, fingerprint, html_text, pii, sharding, toxicity, url_filter
 from scanloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -37,7 +41,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     classifier = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, classifier).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score(docs, classifier)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_document_fingerprints": op3_document_fingerprints,
     "op5_html_extraction": op5_html_extraction,
     "op6_sampled_splitters": op6_sampled_splitters,
+    "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }

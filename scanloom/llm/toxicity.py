@@ -43,7 +43,7 @@ STANDS_FOR = {
 #: Letters of other scripts that look like a Latin one.
 LOOKS_LIKE = dict(zip("аеорсухіѕјԁһ", "aeopcyxisjdh", strict=True))
 #: Log costs: a sign for a letter, such a sign or another one for nothing, a repeated letter, a star for any vowel.
-SIGN, IDLE, GAP, REPEATED, ANY = -1.0, -8.0, -0.5, -0.7, -3.0
+SIGN, IDLE, GAP, REPEATED, ANY = -1.0, -10.0, -0.5, -0.7, -3.0
 
 PUNCTUATION = ".,;:?\"'()[]{}*%&#-_~^`´…«»“”„‘’/\\<>="
 EDGE_SIGNS = "$!|@+€£¡"
@@ -262,15 +262,26 @@ def train(
     return Classifier(weights, intercept, model)
 
 
-def score(
-    docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """``docs`` with ``held_out``, ``score`` and ``predicted``; all other columns stay."""
+def scorer(classifier: Classifier):
+    """The score of a text column."""
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(classifier.score(list(texts)), dtype="float64")
 
-    return docs.withColumns({
-        "held_out": F.coalesce(remainder(F.col(id_column)) == 2, F.lit(False)), "score": scored(F.col(text_column)),
-    }).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored
+
+
+def score(
+    docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """doc_id, ``held_out`` (not learned from), ``score`` and ``predicted`` of every row."""
+    return docs.select(
+        F.col(id_column).alias("doc_id"), F.coalesce(remainder(F.col(id_column)) == 2, F.lit(False)).alias("held_out"),
+        scorer(classifier)(F.col(text_column)).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_clean(docs: DataFrame, classifier: Classifier, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``."""
+    return docs.filter(scorer(classifier)(F.col(text_column)) < threshold)
