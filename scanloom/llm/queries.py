@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, fingerprint, html_text, pii, sharding, toxicity, url_filter
+from scanloom.llm import decontaminate, fingerprint, html_text, near_dup, pii, sharding, toxicity, url_filter
 from scanloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_dart_minhash": op4_dart_minhash,
     "op5_html_extraction": op5_html_extraction,
     "op6_sampled_splitters": op6_sampled_splitters,
     "op8_pii": op8_pii,
