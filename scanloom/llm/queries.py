@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, fingerprint, html_text, near_dup, pii, sharding, toxicity, url_filter
+from scanloom.llm import decontaminate, fingerprint, html_text, near_dup, pieces, pii, sharding, toxicity, url_filter
 from scanloom.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "n_chunks", "ids", "round_trip")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_dart_minhash": op4_dart_minhash,
     "op5_html_extraction": op5_html_extraction,
     "op6_sampled_splitters": op6_sampled_splitters,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
