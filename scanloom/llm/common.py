@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +44,34 @@ def stage(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(target)
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of ``docs`` with ``row_``, a number of the row that is the same each time the input is scanned."""
-    return docs.select(*columns).withColumn("row_", F.monotonically_increasing_id())
+def row_key(docs: DataFrame) -> F.Column:
+    """A number for each row of ``docs`` that is the same each time it is read, however the files are split into tasks.
+
+    It is a 64-bit hash of the file and the place in it. Rows that come from no file are numbered by partition: they must
+    come in the same partitions each time, as those of a local table do.
+    """
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
+def keyed(docs: DataFrame, **columns: F.Column | str) -> DataFrame:
+    """``columns`` of ``docs`` under new names with ``row_``, the row's key."""
+    named = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
+    return docs.select(*named, row_key(docs).alias("row_"))
+
+
+def hash_sample(rows: DataFrame, size: int, *columns: str) -> DataFrame:
+    """At most ``size`` of ``rows``, those whose ``columns`` have the smallest hash.
+
+    Only about twice as many rows can be among them and leave their tasks.
+    """
+    value = F.xxhash64(*columns)
+    share = min(1.0, 2.0 * size / max(1, rows.count()) + 1e-9)
+    low = rows if share == 1.0 else rows.filter(value <= int(-(1 << 63) + share * ((1 << 64) - 1)))
+    return low.orderBy(value, *columns).limit(size)
 
 
 def sql_words(text) -> F.Column:

@@ -30,7 +30,10 @@ LOWEST = -(1 << 63)
 def splitters(records: DataFrame, ranges: int, sample: int = SAMPLE) -> np.ndarray:
     """Boundaries between ``ranges`` ranges of ``key``: quantiles of a sample in which a row's chance follows its size."""
     unit = (F.xxhash64("row_", "key").bitwiseAND(F.lit((1 << 53) - 1)) + 1) / float((1 << 53) + 1)
-    taken = records.select("key", (-F.log(unit) / F.col("size")).alias("turn")).orderBy("turn", "key").limit(sample)
+    turns = records.select("key", (-F.log(unit) / F.col("size")).alias("turn"))
+    total = records.agg(F.sum("size")).first()[0] or 0
+    # about twice the sample takes its turn before this one, so that tasks send no more than is needed
+    taken = turns.filter(F.col("turn") <= 2.0 * sample / max(1, total)).orderBy("turn", "key").limit(sample)
     keys = np.sort(np.array([r["key"] for r in taken.select("key").collect()], np.int64))
     if not len(keys):
         return keys
@@ -42,14 +45,10 @@ def assign(
 ) -> DataFrame:
     """Shard and place in the shard of every row: doc_id, size, text_crc32, shard, slot."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    base = docs.select(
-        F.col(id_column).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-    )
-    records = stage(
-        keyed(base, "doc_id", "size", "text_crc32").withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))),
-        "records",
+    base = keyed(
+        docs, doc_id=id_column, size=F.octet_length(text).cast("long") + overhead, text_crc32=F.crc32(F.encode(text, "UTF-8"))
     )
+    records = stage(base.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))), "records")
     ranges = shards * RANGES_PER_SHARD
     bounds = splitters(records, ranges)
 
