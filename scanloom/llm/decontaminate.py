@@ -64,9 +64,7 @@ def read_items(items: DataFrame, id_column: str = "item_id", text_column: str =
 
 def build_index(docs: DataFrame, items: Items, id_column: str = "doc_id", text_column: str = "text") -> Index:
     """Writes the postings of the words that occur in the items, and one row per document, in one pass over the texts."""
-    words = keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text").select(
-        "row_", "doc_id", sql_words(F.col("text")).alias("words")
-    )
+    words = keyed(docs, doc_id=id_column, words=sql_words(F.col(text_column)))
     # the empty word, which no text has, carries what is known of the row
     marked = words.select(
         "row_", "doc_id", F.size("words").alias("n_words"),
@@ -183,3 +181,11 @@ def decontaminate(
     """Contamination report of ``docs`` against ``items``."""
     read = read_items(items)
     return report(build_index(docs, read, id_column, text_column), read, window)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of ``items`` occurs."""
+    found = decontaminate(docs, items, window, id_column, text_column).filter("contaminated").select("row_")
+    rows = keyed(docs, doc=F.struct(*docs.columns))
+    # Spark broadcasts the keys of the contaminated rows if the written table is small
+    return rows.join(stage(found, "contaminated"), "row_", "left_anti").select("doc.*")

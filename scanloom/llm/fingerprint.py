@@ -6,8 +6,8 @@ their quartile differences (the full span counts double) and of their length ste
 at ``bound``, to 0 to 1.
 
 Null is the empty text, whose digest is all zeros; two equal texts always have equal digests; texts under three bytes
-count their bytes as one triplet padded with zeros. Repeated rows and ids follow each other in the order of the input,
-null ids come first. Columns beside the id and the text are not read.
+count their bytes as one triplet padded with zeros. Repeated rows and ids follow each other in a fixed order, null
+ids come first. Columns beside the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     in a small join.
     """
     spark = docs.sparkSession
-    rows = keyed(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text")
+    rows = keyed(docs, doc_id=F.col(id_column).cast("long"), text=text_column)
     sorted_rows = rows.repartitionByRange("doc_id", "row_").sortWithinPartitions("doc_id", "row_")
     done = stage(sorted_rows.mapInArrow(in_order, STEP), "fingerprints")
     edges = done.filter(F.col("kind") != DONE).select("kind", "doc_id", "row_").collect()  # two rows a range

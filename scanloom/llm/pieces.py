@@ -334,7 +334,7 @@ def encode(
     """doc_id, n_chunks, ids and ``round_trip`` (whether decoding gives the text back) of every row."""
     with open(model_path, "rb") as f:  # the file goes to the tasks with their code
         model = f.read()
-    rows = keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text")
+    rows = keyed(docs, doc_id=id_column, text=text_column)
     kind = dict(rows.dtypes)["doc_id"]
     giant = F.coalesce(F.char_length("text"), F.lit(0)) > chunk
 

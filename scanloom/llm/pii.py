@@ -120,9 +120,9 @@ def mentions(text: str) -> list[dict]:
     return found
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_column: str | F.Column = "doc_id", text_column: str = "text") -> DataFrame:
     """Mentions of every row: row_, doc_id, mentions. The texts are read here once and not moved."""
-    rows = keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text")
+    rows = keyed(docs, doc_id=id_column, text=text_column)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())] + [(n, pa.string()) for n in ("value", "before", "after", "shape")]
@@ -169,7 +169,7 @@ def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int =
     return patterns.filter(F.col("score") >= confident)
 
 
-def extract(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def extract(docs: DataFrame, id_column: str | F.Column = "doc_id", text_column: str = "text") -> DataFrame:
     """Spans of each row: row_, doc_id, base and added, arrays of (begin, end, kind) in order."""
     scanned = scan(docs, id_column, text_column)
     patterns = confident_patterns(scanned)
@@ -214,15 +214,11 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs``, every row and column of them, with the spans of the fixed patterns and the added ones replaced.
-
-    ``docs`` must read the same rows in the same order each time, as a written table does.
-    """
-    number = F.monotonically_increasing_id()
-    found = extract(docs.select(number.alias("number"), F.col(text_column).alias("text")), "number", "text")
+    """``docs``, every row and column of them, with the spans of the fixed patterns and the added ones replaced."""
+    found = extract(docs, F.lit(0), text_column)
     added = stage(found.filter("size(added) > 0").select("row_", "added"), "added")
     # Spark broadcasts the added spans if the written table is small
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), number.alias("row_")).join(added, "row_", "left")
+    rows = keyed(docs, doc=F.struct(*docs.columns)).join(added, "row_", "left")
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series, more: pd.Series) -> pd.Series:

@@ -233,10 +233,8 @@ def repeated_passages(
 ) -> DataFrame:
     """Passages that documents share with another: doc_id, begin, end (words, end exclusive), and rep_doc_id, rep_begin,
     rep_end, the document that stands for all that share it. A copy of a text stands beside its first row.
-
-    ``docs`` must read the same rows in the same order each time, as a written table does.
     """
-    rows = keyed(docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")), "doc_id", "text")
+    rows = keyed(docs, doc_id=id_column, text=F.coalesce(F.col(text_column), F.lit("")))
     marks = stage(rows.select("row_", "doc_id", F.unhex(F.md5("text")).alias("digest")), "marks")
     firsts = marks.groupBy("digest").agg(F.min("row_").alias("node"), F.count("*").alias("n"))
     copies = stage(marks.join(firsts.filter("n > 1"), "digest").filter("row_ != node").select("row_", "doc_id", "node"), "copies")
