@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import STEP_BYTES, stage, steps
+from scanloom.llm.common import STEP_BYTES, hash_sample, stage, steps
 
 #: Labelled rows that the classifier is fitted on at most, its features at most, and documents a feature occurs in at least.
 SAMPLE, UNITS, LEAST_DOCS = 20_000, 4_000, 5
@@ -199,12 +199,13 @@ class Classifier:
         ]
 
 
-def fitted(held: list[list[str]], toxic: np.ndarray, rounds: int = 600, decay: float = 1e-5) -> tuple[dict[str, float], float]:
-    """Weights of the units and the intercept; gradient descent over all rows with step sizes by weight."""
-    names = sorted({u for units in held for u in units})
-    number = {u: i for i, u in enumerate(names)}
+def fitted(held: list[np.ndarray], toxic: np.ndarray, names: list[str], rounds: int = 600, decay: float = 1e-5) -> tuple[dict[str, float], float]:
+    """Weights of the units and the intercept; gradient descent over all rows with step sizes by weight.
+
+    ``held`` are the numbers, in ``names``, of the units of each row.
+    """
     rows = np.repeat(np.arange(len(held)), [len(u) for u in held])
-    cols = np.array([number[u] for units in held for u in units], np.int64)
+    cols = np.concatenate([np.zeros(0, np.int64), *held]).astype(np.int64)
     n = len(toxic)
     if not n or toxic.all() or not toxic.any():
         return {}, 30.0 if n and toxic.all() else -30.0
@@ -228,7 +229,7 @@ def train(
     known = labels.select(F.col(id_column).alias("label_id"), F.col(label_column).cast("int").alias("toxic")).filter(
         "toxic IS NOT NULL AND label_id IS NOT NULL"
     ).filter(remainder(F.col("label_id")) != 2).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    taken = F.broadcast(known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample))
+    taken = F.broadcast(hash_sample(known, sample, "label_id"))
     rows = docs.select(F.col(id_column).alias("label_id"), F.col(text_column).alias("text")).join(taken, "label_id")
     once = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies of a text say nothing more
 
@@ -241,7 +242,7 @@ def train(
     size = read.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, n_toxic = size["n"], size["toxic"] or 0
     if not n_toxic or n_toxic == n:
-        weights, intercept = fitted([], np.full(min(1, n), bool(n_toxic)))
+        weights, intercept = fitted([], np.full(min(1, n), bool(n_toxic)), [])
         return Classifier(weights, intercept, model)
     counts = read.select("toxic", F.explode("units").alias("unit")).groupBy("unit").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
@@ -250,15 +251,15 @@ def train(
     # how far the class tells: bits saved about toxic documents
     gain = F.col("bad") * F.log((bad / (n_toxic + 1)) / (good / (n - n_toxic + 1)))
     telling = counts.filter((F.col("bad") >= LEAST_DOCS) & (gain > 0)).orderBy(gain.desc(), "unit").limit(UNITS)
-    chosen = {r["unit"] for r in telling.select("unit").collect()}
-
+    names = sorted(r["unit"] for r in telling.select("unit").collect())
+    number = {u: i for i, u in enumerate(names)}
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<int>")
     def telling_units(units: pd.Series) -> pd.Series:
-        return pd.Series([sorted(chosen.intersection(u)) for u in units], dtype=object)
+        return pd.Series([sorted(number[u] for u in held if u in number) for held in units], dtype=object)
 
     fit = read.select("toxic", telling_units("units").alias("units")).toPandas()  # at most `sample` rows of at most UNITS units
-    weights, intercept = fitted([list(u) for u in fit["units"]], fit["toxic"].to_numpy(bool))
+    weights, intercept = fitted(list(fit["units"]), fit["toxic"].to_numpy(bool), names)
     return Classifier(weights, intercept, model)
 
 
