@@ -158,26 +158,25 @@ def enough(pairs: DataFrame, needed: int) -> DataFrame:
     return sides.mapInArrow(overlapping, "a long, b long")
 
 
-def segments(match: np.ndarray, similarity: float, width: int) -> list[tuple[int, int]]:
-    """Longest stretches, from match to match, of which a share of ``similarity`` matches, ``width`` places at least."""
-    if not match.any():
-        return []
-    gain = np.where(match, 1 - similarity, -similarity)
+def segments(match: np.ndarray, share: float, width: int) -> list[tuple[int, int]]:
+    """Stretches, from match to match, of ``width`` places at least of which ``share`` match; what holds less is divided
+    at its widest gap."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], match, [False]]).astype(np.int8)))
     begin, end = edges[::2], edges[1::2]
-    out, at = [], 0
-    sums = np.concatenate([[0.0], np.cumsum(gain)])
-    while at < len(begin):
-        start, best, last, low = begin[at], end[at], at, sums[begin[at]]
-        for k in range(at + 1, len(begin)):
-            if sums[begin[k]] < low - 1e-9:
-                break
-            if sums[end[k]] >= low - 1e-9:
-                best, last = end[k], k
-        if best - start >= width:
-            out.append((int(start), int(best)))
-        at = last + 1
-    return out
+    held = np.concatenate([[0], np.cumsum(end - begin)])
+    gaps = begin[1:] - end[:-1]
+    out, todo = [], [(0, len(begin))] if len(begin) else []
+    while todo:
+        low, high = todo.pop()
+        length = end[high - 1] - begin[low]
+        if length < width:
+            continue
+        if held[high] - held[low] >= share * length - 1e-9:
+            out.append((int(begin[low]), int(end[high - 1])))
+        else:
+            at = low + int(gaps[low : high - 1].argmax()) + 1
+            todo += [(low, at), (at, high)]
+    return sorted(out)
 
 
 def shared_passages(va: np.ndarray, vb: np.ndarray, similarity: float, width: int) -> list[tuple[int, int, int, int]]:
