@@ -30,6 +30,8 @@ from scanloom.llm.common import STEP_BYTES, hash_sample, stage, steps
 #: Labelled rows that the classifier is fitted on at most, its features at most, and documents a feature occurs in at least.
 SAMPLE, UNITS, LEAST_DOCS = 20_000, 4_000, 5
 THRESHOLD = 0.3
+#: Bytes of text whose units are held at once.
+UNITS_STEP = 1 << 20
 #: Letters of the model: none (0), a to z, the letters U+00DF to U+00FF, any other letter.
 LETTERS = {chr(c): i + 1 for i, c in enumerate([*range(97, 123), *range(0xDF, 0x100)])}
 OTHER = len(LETTERS) + 1
@@ -109,8 +111,13 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         if sign == "*":
             options += [(x, ANY) for x in "aeiou"]
         if not sign.isalpha():
-            at_end, at_start = run.end() == len(token), run.start() == 0
-            share = 1.0 if not (at_start or at_end) else 0.75 if sign.isdigit() and at_start else 0.25 if sign.isdigit() or sign in "@$€£" else 0.0
+            at_start, at_end = run.start() == 0, run.end() == len(token)
+            if not (at_start or at_end):
+                share = 1.0
+            elif sign.isdigit():
+                share = 0.75 if at_start else 0.25
+            else:
+                share = 0.0 if sign not in "@$€£" else 0.5 if at_start else 0.25
             options.append(("", share * IDLE if share and sign in STANDS_FOR else GAP))
         out.append(options)
     return out
@@ -233,12 +240,14 @@ def train(
     rows = docs.select(F.col(id_column).alias("label_id"), F.col(text_column).alias("text")).join(taken, "label_id")
     once = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies of a text say nothing more
 
-    @F.pandas_udf("array<string>")
-    def units(texts: pd.Series) -> pd.Series:
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        return pd.Series([sorted(restorer.units(t)) for t in texts], dtype=object)
+        for batch in batches:
+            for part in steps(batch, "text", UNITS_STEP):
+                held = [sorted(restorer.units(t)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(held, pa.list_(pa.string()))], ["toxic", "units"])
 
-    read = stage(once.select("toxic", units("text").alias("units")), "units")
+    read = stage(once.mapInArrow(units, "toxic int, units array<string>"), "units")
     size = read.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, n_toxic = size["n"], size["toxic"] or 0
     if not n_toxic or n_toxic == n:
