@@ -17,10 +17,10 @@ from scanloom.functions.identity import line_label
 from scanloom.operators import files as file_ops
 from scanloom.operators import filters, grouping, lines, merge, model, risk, rules_table, scan, tokens
 from scanloom.plans import scans
-from scanloom.plans.staging import stage, staging_root
+from scanloom.plans.staging import staging
 from scanloom.sinks import report
 from scanloom.sources.diffs import diff_hunk_ranges, read_changed_files
-from scanloom.sources.files import source_files_from_table
+from scanloom.sources.files import scan_source_files
 from scanloom.sources.responses import read_model_responses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,11 @@ FINDING_COLUMNS = schemas.FINDING_COLUMNS
 
 def query(name: str, sql_text: str | None = None):
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            corpus.use_own_folder(spark)
+            return function(spark, sf)
+
+        QUERIES[name] = run
         if sql_text is not None:
             SQL[name] = sql_text
         return function
@@ -64,13 +68,18 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "scan_source_files",
-    BASE + " SELECT project, path, CAST(strlen(content) AS BIGINT) AS bytes, md5(content) AS digest FROM source_files",
-)
-def _(spark, sf):
-    table = source_files_from_table(
-        corpus.source_files(spark, sf), F.col("project"), F.col("path"), F.make_valid_utf8(F.col("content"))
-    )
-    return table.select(
+    BASE + """ SELECT project, path, CAST(strlen(content) AS BIGINT) AS bytes, md5(content) AS digest FROM source_files
+      WHERE regexp_matches(path, '(?i)[.](go|py|js|ts|java)$') AND NOT regexp_matches(path, '(^|/)[._]')""",
+)
+def _(spark, sf):
+    """The reader over files: the corpus is written as one file per source file, with others beside that it must skip.
+    The listing leaves out hidden names, those that begin with a dot or an underscore."""
+    root = f"{staging(spark).root}/source-files-{uuid.uuid4().hex}"
+    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(
+        spark.sparkContext._jsc.hadoopConfiguration()
+    ).mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root))
+    corpus.write_files(corpus.source_files(spark, sf), root)
+    return scan_source_files(spark, root, ["go", "python", "javascript", "typescript", "java"]).select(
         "project", "path", F.octet_length("content").cast("bigint").alias("bytes"), F.md5("content").alias("digest")
     )
 
@@ -123,7 +132,7 @@ def _(spark, sf):
     RESPONSES + " SELECT project, path, provider, attempt, status, md5(body) AS digest FROM responses",
 )
 def _(spark, sf):
-    target = f"{staging_root(spark)}/responses-{uuid.uuid4().hex}"
+    target = f"{staging(spark).root}/responses-{uuid.uuid4().hex}"
     corpus.model_responses(spark, sf).write.json(target)
     return read_model_responses(spark, target).select(
         "project", "path", "provider", "attempt", "status", F.md5("body").alias("digest")
@@ -239,6 +248,19 @@ def _(spark, sf):
     return no_ord(rules_table.regex_scan_rule_table(corpus.source_files(spark, sf), rules))
 
 
+@query(
+    "regex_scan_user_rules",
+    BASE + ", " + sql.regex_sql("source_files", rules=corpus.USER_RULES)
+    + " SELECT title, count(*) AS n, count(DISTINCT file_path) AS files, sum(start_line)::BIGINT AS lines FROM regex_findings GROUP BY title",
+)
+def _(spark, sf):
+    rules = spark.createDataFrame(corpus.USER_RULES, schemas.RULES)
+    found = rules_table.regex_scan_rule_table(corpus.source_files(spark, sf), rules)
+    return found.groupBy("title").agg(
+        F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.sum("start_line").alias("lines")
+    )
+
+
 # ---- token rules -----------------------------------------------------------
 
 
@@ -270,7 +292,8 @@ def _(spark, sf):
 
 @query(
     "engine_error_isolation",
-    STATIC + f""" SELECT {FILE_PATH} AS file_path, count(source) FILTER (source = 'regex') AS regex_findings,
+    BASE + ", " + sql.static_sql("source_files", limited=True)
+    + f""" SELECT {FILE_PATH} AS file_path, count(source) FILTER (source = 'regex') AS regex_findings,
       count(source) FILTER (source = 'ast') AS ast_findings FROM source_files s
       LEFT JOIN (SELECT file_path, source FROM findings) f ON f.file_path = s.project || '/' || s.path
       WHERE len(list_filter(string_split(content, chr(10)), lambda x: strlen(x) >= 65536)) > 0 GROUP BY 1""",
@@ -278,7 +301,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Files the line rules give up on: no line findings, token findings still there."""
     oversize = corpus.source_files(spark, sf).where(lines.has_oversize_line(F.col("content")))
-    hit = scan.with_static_hits(oversize).select("project", "path", F.explode_outer("hits").alias("hit"))
+    hit = scan.with_static_hits(oversize, line_byte_limit=catalog.LINE_BYTE_LIMIT).select("project", "path", F.explode_outer("hits").alias("hit"))
     stages = catalog.SOURCE_STAGE
     return hit.groupBy(F.concat("project", F.lit("/"), "path").alias("file_path")).agg(
         F.count_if(F.col("hit.stage") == stages["regex"]).alias("regex_findings"),
@@ -348,6 +371,30 @@ def _(spark, sf):
     return risk.scanned_files(corpus.source_files(spark, sf)).drop("hits")
 
 
+_HOUSE_RULES = corpus.USER_RULES[:12]
+
+
+@query(
+    "risk_score_user_rules",
+    BASE + ", " + sql.static_sql("source_files", rules=catalog.LINE_RULES + _HOUSE_RULES) + ", " + sql.risk_sql("source_files")
+    + f" SELECT {_SCORED} FROM scored",
+)
+def _(spark, sf):
+    return risk.scanned_files(corpus.source_files(spark, sf), rules=_HOUSE_RULES).drop("hits")
+
+
+@query(
+    "scan_user_rules",
+    CHOSEN + ", " + sql.static_sql("chosen", rules=catalog.LINE_RULES + _HOUSE_RULES) + ", " + sql.merge_sql()
+    + " SELECT file_path, title, severity, start_line FROM merged",
+)
+def _(spark, sf):
+    done = scans.scan_static_only(
+        corpus.source_files(spark, sf), "deep", ignore=catalog.STARTER_IGNORE, rules=_HOUSE_RULES
+    )
+    return done.findings.select("file_path", "title", "severity", "start_line")
+
+
 @query(
     "select_high_risk",
     CHOSEN_STATIC + ", " + sql.risk_sql("chosen") + f" SELECT {_SCORED} FROM scored WHERE risk_score > 50",
@@ -431,8 +478,8 @@ _CHOSEN_MERGED = CHOSEN_STATIC + ", " + sql.merge_sql()
 
 @query("scan_summary", _CHOSEN_MERGED + " " + _summary_sql("deep", "", "chosen", "merged"))
 def _(spark, sf):
-    table = stage(starter_selection(spark, sf))
-    found = merge.merge_findings(scan.static_scan(table), has_model_rows=False)
+    table = staging(spark).stage(risk.scanned_files(starter_selection(spark, sf)))
+    found = merge.merge_findings(scan.findings_of(table), has_model_rows=False)
     return grouping.scan_summary(table, found, "deep")
 
 
@@ -485,7 +532,7 @@ def _(spark, sf):
     _BOTH + ", " + sql.merge_sql("findings_all") + f" SELECT {FINDING} FROM merged",
 )
 def _(spark, sf):
-    return no_ord(merge.merge_findings(stage(both(spark, sf))))
+    return no_ord(merge.merge_findings(staging(spark).stage(both(spark, sf))))
 
 
 @query("severity_rank", STATIC + f" SELECT file_path, start_line, severity, {rank('severity')} AS sev_rank FROM findings")
@@ -710,7 +757,7 @@ def _(spark, sf):
     + " SELECT source, severity, raw_output <> '' AS confirmed, count(*) AS n FROM merged GROUP BY ALL",
 )
 def _(spark, sf):
-    found = merge.merge_findings(stage(both(spark, sf)))
+    found = merge.merge_findings(staging(spark).stage(both(spark, sf)))
     return found.groupBy("source", "severity", (F.col("raw_output") != "").alias("confirmed")).agg(
         F.count("*").alias("n")
     )
@@ -807,7 +854,7 @@ _MD_TABLE = " || ".join(
 )
 def _(spark, sf):
     done = _smart_static(spark, sf)
-    return report.report_markdown(stage(done.findings), done.summary)
+    return report.report_markdown(done.findings, done.summary)
 
 
 @query(

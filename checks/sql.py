@@ -91,17 +91,23 @@ def _finding_select(rule: tuple, source: str, line: str, snippet: str, order: st
   FROM {table} WHERE {where}"""
 
 
-def regex_sql(source: str, rule_ids: list[str] | None = None, name: str = "regex_findings") -> str:
+def regex_sql(
+    source: str, rule_ids: list[str] | None = None, name: str = "regex_findings", limited: bool = False,
+    rules: list[tuple] = catalog.LINE_RULES,
+) -> str:
+    """``limited`` leaves out the files with an oversize line."""
     parts = [
         _finding_select(
             rule, "regex", "line_no", "line", f"1 AS stage, line_no AS a, CAST({n} AS BIGINT) AS b", "lines",
             f"regexp_matches(line, {quote(rule[3])})",
         )
-        for n, rule in enumerate(catalog.LINE_RULES, start=1)
+        for n, rule in enumerate(rules, start=1)
         if rule_ids is None or rule[0] in rule_ids
     ]
     union = "\n  UNION ALL ".join(parts)
-    return f"{readable_sql(source)}, {lines_sql('readable')}, {name} AS ({union})"
+    if limited:
+        return f"{readable_sql(source)}, {lines_sql('readable')}, {name} AS ({union})"
+    return f"{lines_sql(source)}, {name} AS ({union})"
 
 
 def tokens_sql(source: str) -> str:
@@ -169,8 +175,8 @@ def ast_sql(source: str, rule_ids: list[str] | None = None, name: str = "ast_fin
   WHERE d.tok = '_' OR d.tok = 'rand' OR contains(lower(d.tok), 'passw')), {name} AS ({union})"""
 
 
-def static_sql(source: str) -> str:
-    return f"""{regex_sql(source)}, {ast_sql(source)}, findings AS (
+def static_sql(source: str, limited: bool = False, rules: list[tuple] = catalog.LINE_RULES) -> str:
+    return f"""{regex_sql(source, limited=limited, rules=rules)}, {ast_sql(source)}, findings AS (
   SELECT * FROM regex_findings UNION ALL SELECT * FROM ast_findings)"""
 
 

@@ -161,7 +161,7 @@ OTHER_EMOJI = "⚫"
 CRYPTO_WEIGHT, DATABASE_WEIGHT, AUTH_WEIGHT, RISKY_NAME_WEIGHT = 15, 20, 25, 10
 MAX_RISK, HIGH_RISK = 100.0, 50.0
 
-# Accepted spellings of a severity in model output; every other text counts as info.
+# Accepted spellings of a severity in model output; every other text counts as info.
 MODEL_SEVERITIES = {
     "critical": ["critical", "Critical", "CRITICAL"],
     "high": ["high", "High", "HIGH"],
@@ -169,10 +169,10 @@ MODEL_SEVERITIES = {
     "low": ["low", "Low", "LOW"],
 }
 
-# A line of this many bytes or more makes the line rules give up on the whole file.
+# Fixed value: the line length from which a scan with that limit gives up on the whole file.
 LINE_BYTE_LIMIT = 65536
 
-# Order in which findings of one file are merged.
+# Order in which findings of one file are merged.
 SOURCE_STAGE = {"gosec": 0, "regex": 1, "ast": 2, "llm": 3}
 
 MAX_TOKENS, TEMPERATURE, MAX_RETRIES = 4096, 0.2, 3

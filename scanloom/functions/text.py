@@ -31,11 +31,13 @@ def trim_space(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+    # a word that holds another one finds nothing more
+    needed = [w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)]
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in needed])
 
 
 def count_newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def source_lines(content: Column) -> Column:

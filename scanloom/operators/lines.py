@@ -24,25 +24,26 @@ def explode_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def has_oversize_line(content: Column) -> Column:
+def has_oversize_line(content: Column, limit: int = catalog.LINE_BYTE_LIMIT) -> Column:
     """Whether a line (with its CR, without its newline) reaches the byte limit."""
-    limit = catalog.LINE_BYTE_LIMIT
     return (F.octet_length(content) >= limit) & F.exists(
         F.split(content, "\n", -1), lambda line: F.octet_length(line) >= limit
     )
 
 
-def oversize_line_guard(files: DataFrame) -> DataFrame:
-    """Files the line rules can read; one oversize line takes all line findings of its file away."""
-    return files.where(~has_oversize_line(F.col("content")))
+def oversize_line_guard(files: DataFrame, limit: int = catalog.LINE_BYTE_LIMIT) -> DataFrame:
+    """Files without a line that reaches the byte limit."""
+    return files.where(~has_oversize_line(F.col("content"), limit))
 
 
-def _may_match(rule_id: str, pattern: str, low: Column, content: Column) -> Column:
+def _may_match(rule: tuple, pattern: str, low: Column, content: Column) -> Column:
     """Exact test that some line of the file matches: plain substring search first, the pattern only after it."""
-    test = contains_any(low, catalog.LINE_RULE_ANCHORS[rule_id])
-    if rule_id in catalog.LINE_RULE_SECOND_ANCHOR:
-        test = F.contains(content, F.lit(catalog.LINE_RULE_SECOND_ANCHOR[rule_id])) & test
-    return test & content.rlike(pattern)
+    test = content.rlike(pattern)
+    if rule not in catalog.LINE_RULES:
+        return test
+    if rule[0] in catalog.LINE_RULE_SECOND_ANCHOR:
+        test = F.contains(content, F.lit(catalog.LINE_RULE_SECOND_ANCHOR[rule[0]])) & test
+    return contains_any(low, catalog.LINE_RULE_ANCHORS[rule[0]]) & test
 
 
 def matching(line: Column, tests: list) -> Column:
@@ -52,25 +53,35 @@ def matching(line: Column, tests: list) -> Column:
     )
 
 
-def with_line_hits(files: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
+def with_line_hits(
+    files: DataFrame,
+    rule_ids: list[str] | None = None,
+    line_byte_limit: int | None = None,
+    rules: list[tuple] | None = None,
+    built_in: bool = True,
+) -> DataFrame:
     """Adds ``line_hits``: the matches of the line rules, by line and then by rule order.
 
     The file is first tested as a whole, which for most files settles every rule without cutting lines.
-    Only files and rules that do match are tried line by line.
+    Only files and rules that do match are tried line by line. ``rules`` come after the built-in ones and have the
+    columns of the catalog. With ``line_byte_limit`` one line of that length takes all line findings of its file away.
     """
+    named = (catalog.LINE_RULES if built_in else []) + list(rules or [])
     rules = [
-        (number, rule[0], java_line_pattern(rule[3]))
-        for number, rule in enumerate(catalog.LINE_RULES, start=1)
+        (number, rule[0], java_line_pattern(rule[3], rule[0]), rule)
+        for number, rule in enumerate(named, start=1)
         if rule_ids is None or rule[0] in rule_ids
     ]
+    if not rules:
+        return files.withColumn("line_hits", F.array().cast(HITS))
     content, low, maybe = F.col("content"), F.col(LOW), F.col("_maybe")
     tested = with_lower(files).withColumn(
-        "_maybe", F.array(*[_may_match(rule_id, pattern, low, content) for _, rule_id, pattern in rules])
+        "_maybe", F.array(*[_may_match(rule, pattern, low, content) for _, _, pattern, rule in rules])
     )
 
     tests = [
         lambda line, k=k, pattern=pattern: F.get(maybe, F.lit(k)) & line.rlike(pattern)
-        for k, (_, _, pattern) in enumerate(rules)
+        for k, (_, _, pattern, _) in enumerate(rules)
     ]
 
     def on_line(line: Column, index: Column) -> Column:
@@ -90,7 +101,7 @@ def with_line_hits(files: DataFrame, rule_ids: list[str] | None = None) -> DataF
         )
 
     any_rule = reduce(or_, [F.get(maybe, F.lit(k)) for k in range(len(rules))])
-    hits = F.when(
-        any_rule & ~has_oversize_line(content), F.flatten(F.transform(source_lines(content), on_line))
-    ).otherwise(F.array().cast(HITS))
+    if line_byte_limit is not None:
+        any_rule = any_rule & ~has_oversize_line(content, line_byte_limit)
+    hits = F.when(any_rule, F.flatten(F.transform(source_lines(content), on_line))).otherwise(F.array().cast(HITS))
     return tested.withColumn("line_hits", hits).select(*files.columns, "line_hits")

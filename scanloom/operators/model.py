@@ -50,26 +50,27 @@ def code_chunks(files: DataFrame) -> DataFrame:
     )
 
 
-def _context_text(hits: Column) -> Column:
+def _context_text(hits: Column, rules: list[tuple] | None = None) -> Column:
     """Context for the model from the static hits of a file; empty without hits."""
     source = lambda hit: F.when(hit["stage"] == catalog.SOURCE_STAGE["regex"], F.lit("regex")).otherwise(F.lit("ast"))
     lines = F.transform(
         hits,
         lambda hit: filled(
-            catalog.CONTEXT_LINE, source=source(hit), line=hit["line"], title=rule_value(hit["rule_id"], "title")
+            catalog.CONTEXT_LINE, source=source(hit), line=hit["line"], title=rule_value(hit["rule_id"], "title", rules)
         ),
     )
     text = F.concat(F.lit(catalog.CONTEXT_HEADER), F.array_join(lines, ""), F.lit(catalog.CONTEXT_TRAILER))
     return F.when(F.size(hits) > 0, text).otherwise(F.lit(""))
 
 
-def static_context(scanned: DataFrame) -> DataFrame:
+def static_context(scanned: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """``(project, path, context)``: the un-merged static findings of each file as text for the prompt."""
-    return scanned.select("project", "path", _context_text(F.col("hits")).alias("context"))
+    return scanned.select("project", "path", _context_text(F.col("hits"), rules).alias("context"))
 
 
 def build_prompts(
-    scanned: DataFrame, max_tokens: int = catalog.MAX_TOKENS, temperature: float = catalog.TEMPERATURE
+    scanned: DataFrame, max_tokens: int = catalog.MAX_TOKENS, temperature: float = catalog.TEMPERATURE,
+    rules: list[tuple] | None = None,
 ) -> DataFrame:
     """Prompts for files that carry ``content`` and ``hits``. All from one row, so content is not shuffled."""
     chunk_end = count_newlines(F.col("content")) + 1
@@ -79,7 +80,7 @@ def build_prompts(
         language=F.col("language"),
         lines=F.concat(F.lit("1-"), chunk_end),
         code=F.col("content"),
-        context=_context_text(F.col("hits")),
+        context=_context_text(F.col("hits"), rules),
     )
     return scanned.select(
         "project",

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from scanloom import schemas
 from scanloom.functions import catalog
-from scanloom.functions.identity import file_path
 from scanloom.functions.patterns import java_line_pattern
-from scanloom.operators.lines import explode_lines, matching, oversize_line_guard
+from scanloom.operators.lines import with_line_hits
+from scanloom.operators.scan import findings_of, union_finding_groups
 
-# Up to this many rules become part of the expression, so each pattern is compiled once per task.
-MAX_LITERAL_RULES = 200
-MAX_LITERAL_BYTES = 1 << 20
-
-# A block of rules that is broadcast never holds more than this.
-MAX_BLOCK_RULES = 2_000
-MAX_BLOCK_BYTES = 4 << 20
-
-
-@F.pandas_udf(StringType())
-def _java_pattern(patterns: pd.Series) -> pd.Series:
-    return patterns.map(java_line_pattern)
+# Rules that one pass over the files tries.
+BLOCK_RULES = 100
 
 
 def rule_catalog(spark: SparkSession) -> DataFrame:
@@ -33,77 +21,46 @@ def rule_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"position int, {schemas.RULES}")
 
 
-def _block_count(rules: DataFrame) -> int:
-    """Number of blocks in which every block keeps the bounds; doubled until the largest one does."""
-    blocks = 1
-    while True:
-        n, size = (
-            rules.groupBy(F.pmod("position", F.lit(blocks)).alias("block"))
-            .agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern")).alias("size"))
-            .agg(F.max("n"), F.max("size"))
-            .first()
-        )
-        if not n or n == 1 or (n <= MAX_BLOCK_RULES and size <= MAX_BLOCK_BYTES):
-            return blocks
-        blocks *= 2
-
-
-def regex_scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings of user-supplied rules; ``rules`` needs ``position`` and the catalog columns.
+def read_rules(rules: DataFrame) -> tuple[list[tuple], dict[str, str]]:
+    """Rules of a table in the form the scans take, and what is wrong with the others, by rule id.
 
-    Every line has to meet every rule. The rules are measured first. A small set is written into the expression;
-    a larger one is sent to the executors in blocks of bounded size, one pass over the lines per block, so any
-    number of rules works without a cross join. Texts other than the pattern are joined to the hits afterwards.
+    They are ordered by ``position`` if there is such a column, else by rule id. Missing texts are empty. A rule without
+    a pattern, with one that can't be read, or with an id that an earlier or a built-in one of other content has, is left
+    out of the first and named in the second.
     """
-    lines = explode_lines(oversize_line_guard(files))
-    slim = rules.select("position", "pattern")
-    n, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
-    if 0 < n <= MAX_LITERAL_RULES and size <= MAX_LITERAL_BYTES:
-        hits = _literal_hits(lines, [(row.position, java_line_pattern(row.pattern)) for row in slim.collect()])
-    else:
-        hits = _broadcast_hits(lines, slim.withColumn("pattern", _java_pattern("pattern")))
-    return _as_findings(hits, rules)
+    compile_pattern = rules.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
+    order = [c for c in ("position", "rule_id") if c in rules.columns]
+    good: list[tuple] = []
+    wrong: dict[str, str] = {}
+    for row in rules.orderBy(*order, "pattern").select(*catalog.RULE_COLUMNS).collect():
+        rule = tuple(value or "" for value in row)
+        try:
+            if not rule[3]:
+                raise ValueError("no pattern")
+            if any(rule[0] == other[0] for other in good) or (
+                rule not in catalog.LINE_RULES and any(rule[0] == other[0] for other in catalog.LINE_RULES + catalog.TOKEN_RULES)
+            ):
+                raise ValueError("the rule id is taken")
+            compile_pattern(java_line_pattern(rule[3], rule[0]))
+            good.append(rule)
+        except Exception as error:  # the reader's own errors and those of the pattern compiler
+            wrong[rule[0]] = str(getattr(error, "java_exception", error)).splitlines()[0]
+    return good, wrong
 
 
-def _literal_hits(lines: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
-    tests = [lambda line, pattern=pattern: line.rlike(pattern) for _, pattern in rules]
-    positions = F.array(*[F.lit(position) for position, _ in rules])
-    found = lines.select("*", F.explode_outer(matching(F.col("line"), tests)).alias("k")).where(F.col("k").isNotNull())
-    return found.withColumn("position", F.get(positions, F.col("k"))).drop("k")
-
-
-def _broadcast_hits(lines: DataFrame, slim: DataFrame) -> DataFrame:
-    blocks = _block_count(slim)
-    hits = None
-    for block in range(blocks):
-        part = slim.where(F.pmod(F.col("position"), F.lit(blocks)) == block) if blocks > 1 else slim
-        found = lines.join(F.broadcast(part), F.expr("line rlike pattern")).drop("pattern")
-        hits = found if hits is None else hits.unionByName(found)
-    return hits
-
+def regex_scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings of user-supplied rules; ``rules`` needs the catalog columns, and ``position`` if order matters.
 
-def _as_findings(hits: DataFrame, rules: DataFrame) -> DataFrame:
-    texts = rules.select("position", "title", "description", "severity", "owasp_id", "cwe", "recommendation")
-    line_no = F.col("line_no")
-    return hits.join(texts, "position").select(
-        "project",
-        F.lit("").alias("id"),
-        "title",
-        "description",
-        file_path(F.col("project"), F.col("path")).alias("file_path"),
-        line_no.alias("start_line"),
-        line_no.alias("end_line"),
-        "severity",
-        F.lit("").alias("confidence"),
-        "owasp_id",
-        "cwe",
-        F.lit("regex").alias("source"),
-        F.col("line").alias("code_snippet"),
-        "recommendation",
-        F.lit("").alias("raw_output"),
-        F.struct(
-            F.lit(catalog.SOURCE_STAGE["regex"]).alias("stage"),
-            line_no.alias("a"),
-            F.col("position").cast("bigint").alias("b"),
-        ).alias("ord"),
-    )
+    The rules become part of the expression, in blocks: each is one pass over the files, in which a file is tested as
+    a whole first and nothing is joined or shuffled. Rules that can't be read are left out; ``read_rules`` names them.
+    """
+    good, _ = read_rules(rules)
+    groups = []
+    for start in range(0, max(1, len(good)), BLOCK_RULES):
+        block = good[start : start + BLOCK_RULES]
+        own = [rule for rule in block if rule not in catalog.LINE_RULES]
+        hits = with_line_hits(files, rules=block, built_in=False).withColumnRenamed("line_hits", "hits")
+        found = findings_of(hits, own)
+        place = F.struct(F.col("ord.stage").alias("stage"), F.col("ord.a").alias("a"), (F.col("ord.b") + start).alias("b"))
+        groups.append(found.withColumn("ord", place))
+    return union_finding_groups(*groups)

@@ -13,16 +13,19 @@ from scanloom.operators.tokens import with_token_hits
 
 
 def with_static_hits(
-    files: DataFrame, regex_enabled: bool = True, ast_enabled: bool = True, rule_ids: list[str] | None = None
+    files: DataFrame, regex_enabled: bool = True, ast_enabled: bool = True, rule_ids: list[str] | None = None,
+    line_byte_limit: int | None = None, rules: list[tuple] | None = None,
 ) -> DataFrame:
     """Adds ``hits``, all static matches of a file in merge order. One narrow pass over the content.
 
-    The two engines fail apart from each other: a file the line rules cannot read keeps its token hits.
+    The two engines fail apart from each other: a file the line rules give up on keeps its token hits. ``rules`` are
+    line rules beside the built-in ones.
     """
+    line_ids = {rule[0] for rule in catalog.LINE_RULES} | {rule[0] for rule in rules or []}
     parts = []
     out = files
-    if regex_enabled and (rule_ids is None or any(r.startswith("REGEX") for r in rule_ids)):
-        out = with_line_hits(out, rule_ids)
+    if regex_enabled and (rule_ids is None or line_ids & set(rule_ids)):
+        out = with_line_hits(out, rule_ids, line_byte_limit, rules)
         parts.append("line_hits")
     if ast_enabled and (rule_ids is None or any(r.startswith("AST") for r in rule_ids)):
         out = with_token_hits(out, rule_ids)
@@ -31,10 +34,14 @@ def with_static_hits(
     return out.withColumn("hits", hits).drop(*parts)
 
 
-def rule_value(rule_id: Column, column: str) -> Column:
-    """A column of the built-in catalog, looked up by rule id inside the expression."""
+def rule_value(rule_id: Column, column: str, rules: list[tuple] | None = None) -> Column:
+    """A column of the built-in catalog and of ``rules``, looked up by rule id inside the expression."""
     index = catalog.RULE_COLUMNS.index(column)
-    pairs = [_literal(x) for rule in catalog.LINE_RULES + catalog.TOKEN_RULES for x in (rule[0], rule[index])]
+    known = catalog.LINE_RULES + catalog.TOKEN_RULES + list(rules or [])
+    twice = {r[0] for i, r in enumerate(known) if r[0] in {q[0] for q in known[:i]}}
+    if twice:
+        raise ValueError(f"rule ids must be unique: {sorted(twice)}")
+    pairs = [_literal(x) for rule in known for x in (rule[0], rule[index])]
     return F.try_element_at(F.expr(f"map({', '.join(pairs)})"), rule_id)
 
 
@@ -42,7 +49,7 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def findings_of(scanned: DataFrame) -> DataFrame:
+def findings_of(scanned: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """One finding per static hit. The outer explode keeps the optimizer from testing ``hits`` twice."""
     hit = F.col("hit")
     exploded = scanned.select("project", "path", F.explode_outer("hits").alias("hit")).where(hit.isNotNull())
@@ -52,31 +59,37 @@ def findings_of(scanned: DataFrame) -> DataFrame:
     return exploded.select(
         "project",
         empty.alias("id"),
-        rule_value(hit["rule_id"], "title").alias("title"),
-        rule_value(hit["rule_id"], "description").alias("description"),
+        rule_value(hit["rule_id"], "title", rules).alias("title"),
+        rule_value(hit["rule_id"], "description", rules).alias("description"),
         path.alias("file_path"),
         hit["line"].alias("start_line"),
         hit["line"].alias("end_line"),
-        rule_value(hit["rule_id"], "severity").alias("severity"),
+        rule_value(hit["rule_id"], "severity", rules).alias("severity"),
         empty.alias("confidence"),
-        rule_value(hit["rule_id"], "owasp_id").alias("owasp_id"),
-        rule_value(hit["rule_id"], "cwe").alias("cwe"),
+        rule_value(hit["rule_id"], "owasp_id", rules).alias("owasp_id"),
+        rule_value(hit["rule_id"], "cwe", rules).alias("cwe"),
         source.alias("source"),
         hit["snippet"].alias("code_snippet"),
-        rule_value(hit["rule_id"], "recommendation").alias("recommendation"),
+        rule_value(hit["rule_id"], "recommendation", rules).alias("recommendation"),
         empty.alias("raw_output"),
         F.struct(hit["stage"].alias("stage"), hit["a"].alias("a"), hit["b"].alias("b")).alias("ord"),
     )
 
 
-def static_scan(files: DataFrame, regex_enabled: bool = True, ast_enabled: bool = True) -> DataFrame:
-    """Findings of all enabled rules."""
-    return findings_of(with_static_hits(files, regex_enabled, ast_enabled))
+def static_scan(
+    files: DataFrame, regex_enabled: bool = True, ast_enabled: bool = True, line_byte_limit: int | None = None,
+    rules: list[tuple] | None = None,
+) -> DataFrame:
+    """Findings of all enabled rules, and of ``rules``, line rules with the columns of the catalog."""
+    hits = with_static_hits(files, regex_enabled, ast_enabled, line_byte_limit=line_byte_limit, rules=rules)
+    return findings_of(hits, rules)
 
 
-def regex_scan(files: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
+def regex_scan(
+    files: DataFrame, rule_ids: list[str] | None = None, line_byte_limit: int | None = None, rules: list[tuple] | None = None
+) -> DataFrame:
     """Findings of the line rules, or of some of them."""
-    return findings_of(with_line_hits(files, rule_ids).withColumnRenamed("line_hits", "hits"))
+    return findings_of(with_line_hits(files, rule_ids, line_byte_limit, rules).withColumnRenamed("line_hits", "hits"), rules)
 
 
 def token_scan(files: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:

@@ -1,36 +1,38 @@
-"""Intermediate tables that are used more than once, written to the shared folder of the cluster."""
+"""Intermediate tables that are used more than once, written to a folder that all executors share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def staging_root(spark: SparkSession) -> str | None:
-    """Folder named in ``spark.checkpoint.dir``; in local mode a new temporary one when that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="scanloom-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", named)
-        return named
-    return None
-
-
-def stage(table: DataFrame) -> DataFrame:
-    """Writes the table once and reads it back, so later steps neither repeat nor depend on the work before.
-
-    Being Parquet, it is read by column. A cluster without a shared folder gets the table unstaged: slower,
-    with the same result.
-    """
-    spark = table.sparkSession
-    root = staging_root(spark)
-    if root is None:
-        return table
-    target = f"{root.rstrip('/')}/scanloom/{uuid.uuid4().hex}"
-    table.write.parquet(target)
-    return spark.read.schema(table.schema).parquet(target)
+@dataclass
+class Staging:
+    """Tables written below ``root``; ``remove`` deletes them when nothing that reads them is needed any more."""
+
+    spark: SparkSession
+    root: str
+    written: list[str] = field(default_factory=list)
+
+    def stage(self, table: DataFrame) -> DataFrame:
+        """Writes the table once and reads it back, so later steps neither repeat nor depend on the work before."""
+        target = f"{self.root}/scanloom/{uuid.uuid4().hex}"
+        table.write.parquet(target)
+        self.written.append(target)
+        return self.spark.read.schema(table.schema).parquet(target)
+
+    def remove(self) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        while self.written:
+            path = hadoop.Path(self.written.pop())
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staging(spark: SparkSession, folder: str | None = None) -> Staging:
+    """Staging below ``folder``, or below the one in ``spark.checkpoint.dir``. Without either there is none to use."""
+    root = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("name a folder that all executors share, as an argument or in spark.checkpoint.dir")
+    return Staging(spark, root.rstrip("/"))

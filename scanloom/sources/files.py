@@ -18,7 +18,8 @@ def extension_glob(languages: list[str]) -> str:
 def scan_source_files(spark: SparkSession, root: str, languages: list[str] | None = None) -> DataFrame:
     """Every file below ``root``, which holds one directory per project.
 
-    With ``languages`` the file listing keeps only matching names, so other files are never opened.
+    With ``languages`` the file listing keeps only matching names, so other files are never opened. Spark's listing leaves
+    out files and folders whose names begin with a dot or an underscore.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if languages:
@@ -37,17 +38,6 @@ def source_files_from_table(table: DataFrame, project: Column, path: Column, con
     return table.select(project.alias("project"), path.alias("path"), content.alias("content"))
 
 
-def spread_small_table(table: DataFrame, *keys: str) -> DataFrame:
-    """Deals a table out over the cores when it is read in fewer pieces than half of them.
-
-    A single small Parquet file comes as one piece and would keep all but one core idle through the costly
-    work on its texts. A large table has pieces enough and is left where it is: its texts are never shuffled.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    pieces = table.rdd.getNumPartitions()
-    return table.repartition(4 * cores, *keys) if 2 * pieces <= cores else table
-
-
 def _quote(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
 

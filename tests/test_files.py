@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators import files as file_ops
 from scanloom.operators import risk
-from scanloom.sources.files import extension_glob, scan_source_files, source_files_from_table, spread_small_table
+from scanloom.sources.files import extension_glob, scan_source_files, source_files_from_table
 
 PATTERNS = ["vendor/", "test/", "*_test.go", "**/*.min.js", "s?c"]
 
@@ -95,11 +95,8 @@ def test_files_are_read_from_directories(spark, tmp_path):
     assert extension_glob(["go", "c"]) == "*.{[gG][oO],[cC]}"
 
 
-def test_small_tables_are_spread_and_large_ones_stay(spark):
+def test_any_table_serves_as_files(spark):
     one = spark.range(0, 100, 1, 1)
-    assert spread_small_table(one, "id").rdd.getNumPartitions() > 1
-    many = spark.range(0, 100, 1, 8)
-    assert spread_small_table(many, "id") is many
     named = source_files_from_table(
         one, F.lit("p"), F.col("id").cast("string"), F.lit("x")
     )

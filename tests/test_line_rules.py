@@ -6,6 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from checks import corpus
+from scanloom import schemas
 from scanloom.functions import catalog
 from scanloom.functions.patterns import java_line_pattern
 from scanloom.functions.text import simple_lower
@@ -87,7 +89,9 @@ def test_one_oversize_line_takes_all_line_findings_but_no_token_findings(files_o
             "wide.go": code + "é" * 32768,
         }
     )
-    found = {(r.file_path, r.source) for r in scan.static_scan(table).collect()}
+    whole = {(r.file_path, r.source) for r in scan.static_scan(table).collect()}
+    assert whole == {(f"p/{name}.go", source) for name in ("over", "fits", "cr", "wide") for source in ("ast", "regex")}
+    found = {(r.file_path, r.source) for r in scan.static_scan(table, line_byte_limit=catalog.LINE_BYTE_LIMIT).collect()}
     assert found == {
         ("p/over.go", "ast"), ("p/fits.go", "ast"), ("p/fits.go", "regex"), ("p/cr.go", "ast"), ("p/wide.go", "ast")
     }
@@ -122,27 +126,65 @@ def test_pattern_and_anchor_agree_with_the_original_pattern(spark, rule):
         ).fetchall()
     ]
     table = spark.createDataFrame(list(enumerate(samples)), "i int, content string")
-    pattern = java_line_pattern(rule[3])
+    pattern = java_line_pattern(rule[3], rule[0])
     low = simple_lower(F.col("content"))
     rows = table.select(
         "i", F.col("content").rlike(pattern).alias("plain"),
-        lines._may_match(rule[0], pattern, low, F.col("content")).alias("anchored"),
+        lines._may_match(rule, pattern, low, F.col("content")).alias("anchored"),
     ).orderBy("i").collect()
     for row, line, want in zip(rows, samples, wanted):
         assert row.plain == want and row.anchored == want, repr(line)
 
 
-def test_rule_table_gives_the_same_findings_in_both_ways(spark, files_of, monkeypatch):
+def test_rule_table_gives_the_same_findings_in_blocks(spark, files_of, monkeypatch):
     table = files_of({f"{i}.txt": line for i, line in enumerate(CASES)})
     rules = rules_table.rule_catalog(spark).where("pattern != ''")
     wanted = sorted(map(str, scan.regex_scan(table).collect()))
     assert sorted(map(str, rules_table.regex_scan_rule_table(table, rules).collect())) == wanted
-    monkeypatch.setattr(rules_table, "MAX_LITERAL_RULES", 0)
-    monkeypatch.setattr(rules_table, "MAX_BLOCK_RULES", 3)
-    assert rules_table._block_count(rules) >= 4
+    monkeypatch.setattr(rules_table, "BLOCK_RULES", 3)
     assert sorted(map(str, rules_table.regex_scan_rule_table(table, rules).collect())) == wanted
 
 
+def test_rule_table_has_no_join_and_no_python(spark, files_of):
+    rules = spark.createDataFrame(corpus.USER_RULES, schemas.RULES)
+    found = rules_table.regex_scan_rule_table(files_of({"a": "x"}), rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Join", "Python", "Arrow", "Exchange"))
+
+
+USER_PATTERNS = [
+    r"(?i)пароль\s*=", r"(?i)\p{Greek}+x", "[[:alpha:]]+[[:^digit:]]z", "a(?i:bS)k", r"\x{416}b", r"(?i)strasse|ßK", r"[[:punct:]]{2}", r"\PL[[:upper:]é]q",
+    r"(?i)[à-ÿ]+!", r"k(?i)iK$",
+]
+USER_LINES = ["ПАРОЛЬ = 1", "ΑΒΓX", "αβγx", "ab9z", "abéz", "ABSk", "abſk", "aBsk", "Жb", "STRAßE", "ẞk", "ß\u212a", "!?", "?-a", " Aq", "1éq", "aéq", "ÀÿÉ!", "kIk", "kIK", "k\u0130k", "k\u0131k"]
+
+
+def test_user_patterns_mean_what_they_mean_in_the_other_family(spark, files_of):
+    rules = spark.createDataFrame([(f"U{k}", f"T{k}", "", p, "low", "", "", "") for k, p in enumerate(USER_PATTERNS)], schemas.RULES)
+    good, wrong = rules_table.read_rules(rules)
+    assert wrong == {}
+    table = files_of({f"{k}.txt": line for k, line in enumerate(USER_LINES)})
+    got = {(r.file_path, r.title) for r in rules_table.regex_scan_rule_table(table, rules).collect()}
+    want = {
+        (f"p/{k}.txt", f"T{n}")
+        for k, line in enumerate(USER_LINES) for n, p in enumerate(USER_PATTERNS)
+        if duckdb.execute("SELECT regexp_matches(?, ?)", [line, p]).fetchone()[0]
+    }
+    assert got == want
+
+
+def test_bad_rules_are_named_and_the_others_run(spark, files_of):
+    rules = spark.createDataFrame(
+        [("B1", "T", "", "(", "low", "", "", ""), ("B2", "T", "", "[[:nope:]]", "low", "", "", ""), ("B3", "T", "", "", "low", "", "", ""),
+         ("REGEX001", "T", "", "x", "low", "", "", ""), ("G1", "Good", None, "x+", "low", "", "", ""), ("G1", "Twice", "", "y", "low", "", "", "")],
+        schemas.RULES,
+    )
+    good, wrong = rules_table.read_rules(rules)
+    assert [r[1] for r in good] == ["Good"] and set(wrong) == {"B1", "B2", "B3", "REGEX001", "G1"}
+    assert [r.title for r in rules_table.regex_scan_rule_table(files_of({"a": "xx"}), rules).collect()] == ["Good"]
+    assert rules_table.regex_scan_rule_table(files_of({"a": "xx"}), rules.where("rule_id = 'B1'")).count() == 0
+
+
 def test_custom_rule_patterns_keep_their_meaning(spark, files_of):
     rules = spark.createDataFrame(
         [(1, "X1", "T", "D", r"(?i)todo[^\s]\s?[(\[]", "low", "", "", "")],

@@ -1,6 +1,7 @@
 """Whole scans, their reports, the streaming form and the shape of the plans."""
 
 import json
+import os
 import re
 
 import pytest
@@ -11,7 +12,7 @@ from scanloom.operators import merge, scan
 from scanloom.operators.files import select_files
 from scanloom.operators.risk import scanned_files, select_high_risk
 from scanloom.plans import scans
-from scanloom.plans.staging import stage, staging_root
+from scanloom.plans.staging import staging
 from scanloom.sinks import report
 from scanloom.streaming import stream_findings
 
@@ -187,9 +188,68 @@ def test_a_stream_of_files_gives_the_same_findings(spark, project, tmp_path):
 
 
 def test_staging_uses_the_named_folder(spark, project):
-    assert staging_root(spark) == spark.conf.get("spark.checkpoint.dir")
-    assert sorted(stage(project).collect()) == sorted(project.collect())
-    assert any(staging_root(spark) in f for f in stage(project).inputFiles())
+    own = staging(spark)
+    assert own.root == spark.conf.get("spark.checkpoint.dir")
+    staged = own.stage(project)
+    assert sorted(staged.collect()) == sorted(project.collect())
+    assert all(own.root in f for f in staged.inputFiles())
+    folder = own.written[0]
+    own.remove()
+    assert not os.path.exists(folder)
+
+
+def test_without_a_shared_folder_nothing_is_asked(spark, project, tmp_path, monkeypatch):
+    read = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *rest: None if key == "spark.checkpoint.dir" else read(self, key, *rest))
+    asked = []
+    with pytest.raises(ValueError, match="folder"):
+        scans.scan_with_model(project, asked.append)
+    assert asked == []
+    assert titles(scans.scan_static_only(project, folder=str(tmp_path))) == STATIC
+
+
+@pytest.mark.parametrize("options", [
+    {}, {"mode": "deep"}, {"regex_enabled": False}, {"ast_enabled": False}, {"languages": ["python"]}, {"ignore": []},
+    {"rules": [("H1", "House rule", "", "quie|^x$", "critical", "", "", "")] * 1 + [("H2", "Other", "", r"package", "critical", "", "", "")]},
+])
+def test_the_model_is_asked_once_about_the_selected_files(spark, project, options):
+    """Rows that reach the model step are counted over findings, summary and selection."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def ask(prompts):
+        def answer(batches):
+            for batch in batches:
+                rows.add(len(batch))
+                yield batch.assign(provider="openai", attempt=0, status=200, body="{}")[
+                    ["project", "path", "provider", "attempt", "status", "body"]
+                ]
+
+        return prompts.select("project", "path").mapInPandas(answer, schemas.MODEL_RESPONSES)
+
+    done = scans.scan_with_model(project, ask, **options)
+    chosen = sorted(r.path for r in done.selected.collect())
+    done.findings.collect(), done.summary.collect()
+    assert rows.value == len(chosen)
+    plain = {k: v for k, v in options.items()}
+    assert sorted(r.path for r in scans.prompts_for(project, **plain).collect()) == chosen
+    assert titles(done) == titles(scans.scan_static_only(project, **plain))
+
+
+def test_diff_mode_needs_listings(project):
+    for run in (scans.scan, scans.scan_static_only, scans.prompts_for):
+        with pytest.raises(ValueError, match="scan_diff"):
+            run(project, mode="diff")
+
+
+def test_user_rules_count_everywhere(spark, project):
+    rules = [("H1", "House rule", "Ours", "^x$", "critical", "", "", "")] * 1
+    done = scans.scan_static_only(project, "deep", rules=rules)
+    assert ("p/quiet.js", "House rule") in titles(done)
+    assert {r.path: r.risk_score for r in scanned_files(project, rules=rules).collect()}["quiet.js"] == 30
+    prompts = {r.path: r.user for r in scans.prompts_for(project, "deep", rules=rules).collect()}
+    assert "House rule" in prompts["quiet.js"]
+    with pytest.raises(ValueError, match="unique"):
+        scans.scan_static_only(project, rules=[("REGEX001", "x", "", "y", "low", "", "", "")])
 
 
 # ---- plans -----------------------------------------------------------------
