@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions.severity import severity_rank
+from scanloom.operators.salted import join_groups
 
 # Lines per numbering block.
 _BLOCK_LINES = 1000
@@ -54,7 +55,8 @@ def group_by_file(findings: DataFrame) -> DataFrame:
 def group_by_severity(findings: DataFrame) -> DataFrame:
     """Findings with the number of findings of their severity."""
     sizes = findings.groupBy("severity").agg(F.count("*").alias("severity_findings"))
-    return findings.join(sizes, "severity")
+    place = F.struct("file_path", "start_line", "id")
+    return join_groups(findings, sizes, "severity", place).select("severity", *[c for c in findings.columns if c != "severity"], "severity_findings")
 
 
 def scan_summary(selected: DataFrame, findings: DataFrame, mode: str, provider: str = "") -> DataFrame:

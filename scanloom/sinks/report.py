@@ -16,6 +16,7 @@ from scanloom.functions.severity import severity_emoji, severity_rank
 from scanloom.functions.text import filled
 from scanloom.operators.files import base_name
 from scanloom.operators.grouping import group_by_file
+from scanloom.operators.salted import join_groups
 
 _OPTIONAL = ["confidence", "owasp_id", "cwe", "code_snippet", "recommendation", "raw_output"]
 _SEVERITIES = list(catalog.SEVERITY_RANK)
@@ -42,7 +43,7 @@ def report_json(
     rows = finding_json(findings).select("project", "json", order.alias("place"))
     first = rows.groupBy("project").agg(F.min("place").alias("first"))
     place = F.col("place")
-    body = rows.join(first, "project").select(
+    body = join_groups(rows, first, "project", place).select(
         "project",
         F.lit(BODY).alias("part"),
         place["rank"].alias("rank"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom import schemas
-from scanloom.operators import merge, scan
+from scanloom.operators import grouping, merge, scan
 from scanloom.operators.files import select_files
 from scanloom.operators.risk import scanned_files, select_high_risk
 from scanloom.plans import scans
@@ -289,3 +289,14 @@ def test_ignored_and_foreign_files_are_dropped_before_content_is_touched(spark,
     text = plan(table)
     assert text.rindex("Filter") > text.rindex("_low#")
     assert "ReadSchema: struct<project:string,path:string,content:string>" in text
+
+
+def test_no_exchange_of_findings_by_severity_or_project_alone(project):
+    done = scans.scan_static_only(project)
+    for table, key in ((grouping.group_by_severity(done.findings), "severity"), (report.report_json(done.findings, done.summary), "project")):
+        text = table._jdf.queryExecution().executedPlan().toString()
+        for line in text.splitlines():
+            if re.search(rf"hashpartitioning\({key}#\d+, \d+\)", line):
+                # what is exchanged by the key alone is summed up before
+                below = text.splitlines()[text.splitlines().index(line) + 1]
+                assert "Aggregate" in below, line
