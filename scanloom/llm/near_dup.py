@@ -6,8 +6,9 @@ coordinates, which keeps the dart of the lowest rank; two sets keep the same dar
 Jaccard similarity. Only darts up to a rank that is expected to fill all coordinates are thrown, and further ones where
 a coordinate stayed empty.
 
-Documents that agree on all rows of a band meet in a bucket. In each bucket all are compared with the one that most
-others of all its buckets agree with; buckets that still hold more than one component are then compared in blocks by
+Documents that agree on all rows of a band meet in a bucket. In each bucket all are led by the one that most others
+of all its buckets agree with; each document is compared with its foremost leader, then with those leaders that it is
+not connected with yet. Buckets that still hold more than one component are then compared in blocks by
 their signatures, pairs of different components only. Links are verified on the shingles of both texts. Exact copies
 take part once. Classes are the connected components.
 
@@ -99,7 +100,7 @@ def weighted_shingles(words: Words, shingle: int, counted: bool) -> tuple[np.nda
 
 def sign(docs: DataFrame, bands: int, rows: int, shingle: int, counted: bool, id_column: str, text_column: str) -> DataFrame:
     """Per row: row_, doc_id, digest of the text, weight, bands (a key each) and a byte of each coordinate."""
-    read = keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text")
+    read = keyed(docs, doc_id=id_column, text=text_column)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,8 +129,10 @@ def sign(docs: DataFrame, bands: int, rows: int, shingle: int, counted: bool, id
 
 def agreement(a: pa.Array, b: pa.Array, size: int) -> np.ndarray:
     """Share of coordinates on which the signatures of two columns agree."""
+    if not len(a):
+        return np.zeros(0)
     x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, size) for c in (a, b))
-    return (x == y).mean(axis=1) if len(x) else np.zeros(0)
+    return (x == y).mean(axis=1)
 
 
 def similar_by_signature(pairs: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
@@ -173,14 +176,15 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 def across_components(members: DataFrame, size: int, least: float) -> DataFrame:
     """Pairs (a, b) of members of a bucket with different components whose signatures agree on ``least``.
 
-    ``members``: key, node, component, count (members of the bucket), signature. A bucket is cut into blocks of about
+    A pair that shares several buckets comes from the first of them alone.
+    ``members``: key, node, component, count (members of the bucket), signature, keys. A bucket is cut into blocks of about
     ``BLOCK`` members and each pair of blocks is compared at one place, so that no group is larger than two blocks.
     """
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature", "keys"
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +196,15 @@ def across_components(members: DataFrame, size: int, least: float) -> DataFrame:
             if (comp == comp[0]).all():
                 return node[:0], node[:0]
             sig = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(-1, size)
+            keys = np.stack([g[5] for g in group])
+            band = keys[0] == group[0][0][0]
             out_a, out_b = [], []
             for x in range(len(group)):
                 later = np.arange(x + 1, len(group))
                 fit = later[(comp[later] != comp[x]) & ((own[later] != own[x]) if i != j else True)]
                 if len(fit):
                     fit = fit[(sig[fit] == sig[x]).mean(axis=1) >= least]
+                    fit = fit[band[(keys[fit] == keys[x]).argmax(axis=1)]]
                     out_a.append(np.full(len(fit), node[x]))
                     out_b.append(node[fit])
             return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (node[:0], node[:0])
@@ -208,7 +215,9 @@ def across_components(members: DataFrame, size: int, least: float) -> DataFrame:
 
         for batch in batches:
             found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "node", "component", "signature")), strict=True):
+            keys = np.asarray(batch.column("keys").flatten()).reshape(batch.num_rows, -1) if batch.num_rows else []
+            plain = (batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "node", "component", "signature"))
+            for row in zip(*plain, keys, strict=True):
                 place = row[:3]
                 if held and held[0][0] != place:
                     found.append(pairs(held))
@@ -227,34 +236,49 @@ def classes(
 ) -> DataFrame:
     """The class of each row of ``docs``: row_, doc_id, class_row (the first row of the class).
 
-    ``counted`` weighs a shingle by how often it occurs in a text, else each counts once. ``docs`` must read the same
-    rows in the same order each time, as a written table does.
+    ``counted`` weighs a shingle by how often it occurs in a text, else each counts once.
     """
     size = bands * rows
     least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / size)
     signed = sign(docs, bands, rows, shingle, counted, id_column, text_column)
     copies = stage(signed.groupBy("digest").agg(F.min("row_").alias("node")), "copies")
     nodes = signed.join(copies.select(F.col("node").alias("row_")), "row_", "left_semi")
-    in_bands = nodes.select(F.explode("keys").alias("key"), F.col("row_").alias("node"), "weight")
+    # moved once; a bucket is never held, its members pass by its count
+    in_bands = nodes.select(F.explode("keys").alias("key"), F.col("row_").alias("node"), "weight").repartition("key")
     counts = in_bands.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1")
-    members = stage(in_bands.join(counts, "key"), "members")
+    members = stage(in_bands.join(counts.hint("shuffle_hash"), "key"), "members")
     # the member that shares most with others stands for the bucket
     standing = members.groupBy("node").agg(F.sum(F.log("count")).alias("standing"))
     leaders = members.join(standing, "node").groupBy("key").agg(F.max(F.struct("standing", -F.col("node"), "node", "weight")).alias("leader"))
-    pairs = members.join(leaders, "key").select(
-        F.col("node").alias("a"), F.col("leader.node").alias("b"), F.col("weight").alias("wa"), F.col("leader.weight").alias("wb")
-    ).filter("a != b").filter(F.least("wa", "wb") >= similarity * F.greatest("wa", "wb")).select("a", "b").distinct()
+    led = stage(
+        members.join(leaders, "key").filter(F.col("node") != F.col("leader.node")).filter(
+            F.least("weight", "leader.weight") >= similarity * F.greatest("weight", "leader.weight")
+        ).groupBy(F.col("node").alias("a"), F.col("leader.node").alias("b")).agg(F.max("leader.standing").alias("standing")),
+        "led",
+    )
     ids = stage(members.select(F.col("node").alias("row_")).distinct(), "ids")
-    text = docs.select(F.monotonically_increasing_id().alias("row_"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    texts = stage(text.join(ids, "row_"), "texts")
-    held = stage(nodes.select("row_", "signature").join(ids, "row_"), "held")
-    links = stage(verified(stage(similar_by_signature(pairs, held, size, least), "pairs"), texts, shingle, similarity, counted), "links")
+    held = stage(nodes.select("row_", "signature", "keys").join(ids, "row_"), "held")
+    close = stage(similar_by_signature(led.select("a", "b"), held, size, least).join(led, ["a", "b"]), "close")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        # Spark broadcasts the keys if the written table is small
+        wanted = stage(pairs.select(F.col("a").alias("row_")).union(pairs.select(F.col("b").alias("row_"))).distinct(), "wanted")
+        return stage(keyed(docs, text=F.coalesce(F.col(text_column), F.lit(""))).join(wanted, "row_"), "texts")
+
+    texts = texts_of(close)
+    # each document beside the foremost of its leaders first, then beside those that are not yet in its component
+    foremost = close.groupBy("a").agg(F.max(F.struct("standing", -F.col("b"), "b")).alias("best")).select("a", "best.b")
+    links = stage(verified(foremost, texts, shingle, similarity, counted), "links")
+    labels = components(links)
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    apart = close.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+    links = stage(links.union(verified(apart, texts, shingle, similarity, counted)), "links")
     labels = components(links)
     placed = members.join(labels, "node", "left").select("key", "node", "count", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
     open_rows = placed.join(open_keys, "key").join(held.withColumnRenamed("row_", "node"), "node")
     more = stage(across_components(open_rows, size, least), "more")
-    links = stage(links.union(verified(more, texts, shingle, similarity, counted)), "links")
+    links = stage(links.union(verified(more, texts_of(more), shingle, similarity, counted)), "links")
     labels = components(links)
     by_copy = copies.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class_row"))
     return signed.select("row_", "doc_id", "digest").join(by_copy, "digest").select("row_", "doc_id", "class_row")
@@ -268,8 +292,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``docs`` with the first row (smallest id, then order of the input) of each class and all columns."""
+    """``docs`` with the first row (smallest id, then key) of each class and all columns."""
     found = stage(classes(docs, id_column=id_column, text_column=text_column, **options), "classes")
     kept = found.groupBy("class_row").agg(F.min(F.struct("doc_id", "row_")).alias("first")).select(F.col("first.row_").alias("row_"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_"))
+    rows = keyed(docs, doc=F.struct(*docs.columns))
     return rows.join(stage(kept, "kept"), "row_", "left_semi").select("doc.*")

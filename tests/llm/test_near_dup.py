@@ -81,8 +81,9 @@ def test_blocks_find_pairs_across_components(spark, monkeypatch):
     signatures = rng.integers(0, 255, (30, 20), dtype=np.uint8)
     signatures[17] = signatures[3]
     signatures[29] = signatures[28]
-    rows = [(1, k, k if k != 29 else 28, 30, signatures[k].tobytes()) for k in range(30)]
-    table = spark.createDataFrame(rows, "key long, node long, component long, count long, signature binary")
+    # all share both buckets, 5 and 9
+    rows = [(b, k, k if k != 29 else 28, 30, signatures[k].tobytes(), [5, 9]) for k in range(30) for b in (5, 9)]
+    table = spark.createDataFrame(rows, "key long, node long, component long, count long, signature binary, keys array<long>")
     assert [tuple(r) for r in n.across_components(table, 20, 0.9).collect()] == [(3, 17)]
 
 
