@@ -198,8 +198,8 @@ class Classifier:
     intercept: float
     model: np.ndarray
 
-    def score(self, texts: list[str | None]) -> list[float]:
-        restorer, weights = Restorer(self.model), self.weights
+    def score(self, texts: list[str | None], restorer: Restorer | None = None) -> list[float]:
+        restorer, weights = restorer or Restorer(self.model), self.weights
         return [
             1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + sum(sorted(weights[u] for u in restorer.units(t) if u in weights))))))
             for t in texts
@@ -275,9 +275,11 @@ def train(
 def scorer(classifier: Classifier):
     """The score of a text column."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(classifier.score(list(texts)), dtype="float64")
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        restorer = Restorer(classifier.model)
+        held = (classifier.score(texts.slice(k, 200).to_pylist(), restorer) for k in range(0, len(texts), 200))
+        return pa.array([x for scores in held for x in scores], pa.float64())
 
     return scored
 
