@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import LOWER, UPPER, mix
+from scanloom.llm.common import LOWER, UPPER, hash_sample, mix
 
 #: (host and path prefix, verdict)
 RULES = (
@@ -110,8 +110,7 @@ def train(hosts: pd.Series, paths: pd.Series, allow: np.ndarray, rounds: int = 2
 
 def labelled_sample(labelled: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
     """At most ``sample`` distinct labelled URLs (host, path, allow), those of the smallest hash."""
-    rows = labelled.select("host", "path", "allow").distinct()
-    return rows.orderBy(F.xxhash64("host", "path"), "host", "path", "allow").limit(sample).toPandas()
+    return hash_sample(labelled.select("host", "path", "allow").distinct(), sample, "host", "path", "allow").toPandas()
 
 
 def judge(
