@@ -26,7 +26,8 @@ from scanloom.llm.common import Words, keyed, mix, stage, steps, text_bytes
 #: Words of a shingle and of the shortest passage, similarity of passages, hash functions and how many must agree.
 SHINGLE, WORDS, SIMILARITY, HASHES, ENOUGH = 5, 50, 0.8, 4, 2
 STEP = 2 << 20
-WINDOW = "key long, fn int, node long, standing long, c int, l int, r int"
+#: ``place``: number of the function, first shingle and further shingles of a window, in 4, 30 and 30 bits.
+WINDOW = "key long, node long, standing long, place long"
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,13 +89,17 @@ def hashed(values: np.ndarray, fn: int) -> np.ndarray:
         return mix(values ^ mix(np.full(1, fn + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def windows_of(docs: DataFrame, hashes: int, shingle: int, words: int, halves: bool) -> DataFrame:
-    """Compact windows of ``docs`` (node, text). ``halves`` adds minima of half a passage left and right of the place.
+def standing_of(node: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A number for each document that is smaller for one with fewer words."""
+    return (np.minimum(words, (1 << 22) - 1).astype(np.int64) << 40) | (mix(node.astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
+
+
+def windows_of(docs: DataFrame, hashes: int, shingle: int, words: int) -> DataFrame:
+    """Compact windows of ``docs`` (node, text).
 
     ``standing`` orders the members of a group: the one with the fewest words comes first.
     """
     width = words - shingle + 1
-    half = width // 2
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,59 +108,110 @@ def windows_of(docs: DataFrame, hashes: int, shingle: int, words: int, halves: b
                 values, first = split.shingles(shingle)
                 count = np.diff(split.first)
                 node = part.column("node").to_numpy(zero_copy_only=False).astype(np.int64)
-                standing = (np.minimum(count, (1 << 22) - 1).astype(np.int64) << 40) | (mix(node.astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
+                standing = standing_of(node, count)
                 for fn in range(hashes):
                     own = hashed(values, fn)
                     text, c, l, r = compact_windows(own, first, width)
+                    most = (1 << 30) - 1
                     columns = {
-                        "key": mix(own[c] + np.uint64(fn)).view(np.int64), "fn": np.full(len(c), fn, np.int32), "node": node[text],
-                        "standing": standing[text], "c": (c - first[text]).astype(np.int32), "l": (l - first[text]).astype(np.int32),
-                        "r": (r - first[text]).astype(np.int32),
+                        "key": mix(own[c] + np.uint64(fn)).view(np.int64), "node": node[text], "standing": standing[text],
+                        "place": np.minimum(l - first[text], most) << 30 | np.minimum(r - l, most) | np.int64(fn) << 60,
                     }
-                    if halves:
-                        other = hashed(values, fn + hashes)
-                        low = sliding_minimum(other, half)
-                        for name, start, inside in (("left", c - half, c - half >= l), ("right", c + 1, c + half <= r)):
-                            side = low[np.clip(start, 0, max(0, len(low) - 1))] if len(low) else np.zeros(len(c), np.uint64)
-                            columns[name] = pa.array(mix(side ^ own[c]).view(np.int64), mask=~inside)
-                    yield pa.RecordBatch.from_pydict({k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
-    return docs.mapInArrow(found, WINDOW + (", left long, right long" if halves else ""))
+    return docs.mapInArrow(found, WINDOW)
+
+
+def divided(docs: DataFrame, open_windows: DataFrame, hashes: int, shingle: int, words: int) -> DataFrame:
+    """``open_windows`` (key, node, place) under new keys: with the minimum of half a passage to the left of the shingle in
+    common, and with that to its right."""
+    half = (words - shingle + 1) // 2
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", STEP):
+                split = Words(*text_bytes(part.column("text")))
+                values, first = split.shingles(shingle)
+                node = part.column("node").to_numpy(zero_copy_only=False).astype(np.int64)
+                standing = standing_of(node, np.diff(split.first))
+                own = [hashed(values, fn) >> np.uint64(24) for fn in range(hashes)]
+                low = [sliding_minimum(hashed(values, fn + hashes), half) for fn in range(hashes)]
+                lists = part.column("open")
+                keys, places = (np.asarray(lists.flatten().field(k)) for k in (0, 1))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
+                fn, l, r = parts_of(places)
+                l, r = l + first[owner], r + first[owner]
+                rows = ([], [], [])
+                for i, (f, a, b) in enumerate(zip(fn.tolist(), l.tolist(), r.tolist(), strict=True)):
+                    c = a + int(own[f][a : b + 1].argmin())
+                    for side, (at, inside) in enumerate(((c - half, c - half >= a), (c + 1, c + half <= b))):
+                        if inside:
+                            rows[0].append(i)
+                            rows[1].append(side)
+                            rows[2].append(low[f][at])
+                at = np.array(rows[0], np.int64)
+                new = mix(mix(np.array(rows[2], np.uint64) ^ keys[at].view(np.uint64)) + np.array(rows[1], np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(new.view(np.int64)), pa.array(node[owner[at]]), pa.array(standing[owner[at]]), pa.array(places[at])],
+                    ["key", "node", "standing", "place"],
+                )
+
+    lists = open_windows.groupBy("node").agg(F.collect_set(F.struct("key", "place")).alias("open"))
+    return docs.join(lists, "node").select("node", "text", "open").mapInArrow(found, WINDOW)
 
 
 def led_pairs(windows: DataFrame) -> DataFrame:
-    """Windows of the groups with more than one document beside the window of the group's first document."""
-    groups = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("standing").alias("lead")).filter("n > 1").select("key", "lead")
-    held = stage(windows.join(groups, "key"), "windows")
-    lead = held.filter("standing = lead").select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "c", "l", "r")])
-    lead = lead.groupBy("key").agg(F.min(F.struct("node_b", "c_b", "l_b", "r_b")).alias("first")).select("key", "first.*")
-    return held.join(lead, "key").filter("node != node_b")
+    """Windows of the groups with more than one document beside the window of the group's first document: key, node,
+    place, node_b, place_b. Windows are moved once; a group is never held, its members pass by its first."""
+    dealt = windows.filter("key IS NOT NULL").repartition("key")
+    # the counts of the other columns keep both uses of the dealt rows alike, so that Spark deals them once
+    groups = dealt.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("standing").alias("lead"), F.count("node").alias("nodes"), F.count("place").alias("places")
+    ).filter("n > 1 AND nodes > 0 AND places > 0").select("key", "lead")
+    held = stage(dealt.join(groups.hint("shuffle_hash"), "key"), "windows")
+    first = held.filter("standing = lead").groupBy("key").agg(F.min(F.struct("node", "place")).alias("first"))
+    first = first.select("key", F.col("first.node").alias("node_b"), F.col("first.place").alias("place_b"))
+    return held.join(first, "key").filter("node != node_b").select("key", "node", "place", "node_b", "place_b")
+
+
+def parts_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Function, first and last shingle of windows."""
+    begin = place >> 30 & (1 << 30) - 1
+    return place >> 60 & 15, begin, begin + (place & (1 << 30) - 1)
+
+
+def overlap(a: np.ndarray, b: np.ndarray, needed: int) -> bool:
+    """Whether windows of ``needed`` functions overlap one of them in both documents; ``a`` and ``b`` are places."""
+    fn, la, ra = parts_of(a)
+    _, lb, rb = parts_of(b)
+    for start in range(0, len(a), 256):
+        k = slice(start, start + 256)
+        met = (la[k, None] <= ra) & (la <= ra[k, None]) & (lb[k, None] <= rb) & (lb <= rb[k, None])
+        functions = sum((met & (fn == f)).any(axis=1).astype(int) for f in np.unique(fn))
+        if (functions >= needed).any():
+            return True
+    return False
 
 
 def enough(pairs: DataFrame, needed: int) -> DataFrame:
     """Pairs of documents (a, b) of which windows of ``needed`` functions overlap in both: an interval join within the pair."""
-    sides = pairs.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(
-        F.collect_set(F.struct("fn", "l", "r", "l_b", "r_b")).alias("windows")
-    )
+    sides = pairs.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    if needed <= 1:
+        return sides.agg(F.count("*").alias("n")).select("a", "b")
+    function = F.shiftrightunsigned("place", 60)
+    gathered = sides.agg(
+        F.min(function).alias("low"), F.max(function).alias("high"), F.collect_list(F.struct("place", "place_b")).alias("windows")
+    ).filter("low != high")
 
     def overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for windows in batch.column("windows").to_pylist():
-                order = sorted(windows, key=lambda w: w["l"])
-                open_now: list[dict] = []
-                ok = needed <= 1
-                for w in order:
-                    open_now = [o for o in open_now if o["r"] >= w["l"]]
-                    met = {o["fn"] for o in open_now if o["l_b"] <= w["r_b"] and w["l_b"] <= o["r_b"]} | {w["fn"]}
-                    if len(met) >= needed:
-                        ok = True
-                        break
-                    open_now.append(w)
-                keep.append(ok)
+            lists = batch.column("windows")
+            a, b = (np.asarray(lists.flatten().field(k)) for k in (0, 1))
+            first = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            keep = [overlap(a[i:j], b[i:j], needed) for i, j in zip(first, first[1:], strict=False)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sides.mapInArrow(overlapping, "a long, b long")
+    return gathered.select("a", "b", "windows").mapInArrow(overlapping, "a long, b long")
 
 
 def segments(match: np.ndarray, share: float, width: int) -> list[tuple[int, int]]:
@@ -239,7 +295,7 @@ def repeated_passages(
     copies = stage(marks.join(firsts.filter("n > 1"), "digest").filter("row_ != node").select("row_", "doc_id", "node"), "copies")
     # Spark broadcasts the numbers of the copies if the written table is small
     once = rows.join(copies.select("row_"), "row_", "left_anti").select(F.col("row_").alias("node"), "text")
-    led = stage(led_pairs(windows_of(once, hashes, shingle, words, False)), "led")
+    led = stage(led_pairs(windows_of(once, hashes, shingle, words)), "led")
     pairs = stage(enough(led, needed), "pairs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -247,18 +303,16 @@ def repeated_passages(
         return stage(once.join(ids, "node"), "texts")
 
     passages = stage(compared(pairs, texts_of(pairs), shingle, words, similarity), "passages")
-    # groups with members that share no passage with the first are divided by what stands beside the common shingle
+    # groups of three and more with members that share no passage with the first are divided by what stands beside the
+    # common shingle
     agreed = passages.select(F.col("a").alias("node"), F.col("b").alias("node_b")).distinct()
-    loose = led.join(agreed, ["node", "node_b"], "left_anti")
-    keys = stage(loose.select("key").distinct(), "keys")
-    open_nodes = led.join(keys, "key", "left_semi")
-    open_nodes = stage(open_nodes.select("node").union(open_nodes.select(F.col("node_b").alias("node"))).distinct(), "open")
-    again = windows_of(once.join(open_nodes, "node", "left_semi"), hashes, shingle, words, True).join(keys, "key", "left_semi")
-    sides = again.select(
-        "fn", "node", "standing", "c", "l", "r", F.explode(F.array(
-            F.when(F.col("left").isNotNull(), F.xxhash64("key", F.lit(0), "left")), F.when(F.col("right").isNotNull(), F.xxhash64("key", F.lit(1), "right"))
-        )).alias("key"),
-    ).filter("key IS NOT NULL")
+    loose = led.select("key", "node", "node_b").join(agreed.withColumn("agreed", F.lit(1)), ["node", "node_b"], "left").groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.count("agreed").alias("n_agreed")
+    )
+    keys = stage(loose.filter("low != high AND n_agreed < n").select("key"), "keys")
+    open_rows = led.join(keys, "key", "left_semi")
+    open_windows = open_rows.select("key", "node", "place").union(open_rows.select("key", F.col("node_b").alias("node"), F.col("place_b").alias("place")))
+    sides = divided(once, open_windows.distinct(), hashes, shingle, words)
     more = enough(led_pairs(sides), 1).join(pairs, ["a", "b"], "left_anti")
     more = stage(more, "more")
     passages = passages.union(compared(more, texts_of(more), shingle, words, similarity))
