@@ -19,6 +19,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one step of a vectorised operator takes at once; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
+#: Row keys up to which a table of them is broadcast.
+BROADCAST_KEYS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +66,11 @@ def keyed(docs: DataFrame, **columns: F.Column | str) -> DataFrame:
     return docs.select(*named, row_key(docs).alias("row_"))
 
 
+def few_or_all(keys: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
+    """A written table of row keys, 8 bytes each, broadcast if it is counted to be small; beyond, Spark shuffles."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def hash_sample(rows: DataFrame, size: int, *columns: str) -> DataFrame:
     """At most ``size`` of ``rows``, those whose ``columns`` have the smallest hash.
 

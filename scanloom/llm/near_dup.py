@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import Words, keyed, mix, stage, steps, text_bytes
+from scanloom.llm.common import Words, few_or_all, keyed, mix, stage, steps, text_bytes
 from scanloom.llm.components import components
 
 #: Words of a shingle, similarity of a link, bands and coordinates of a band: at 0.8, a link is missed with 0.0002.
@@ -261,9 +261,8 @@ def classes(
     close = stage(similar_by_signature(led.select("a", "b"), held, size, least).join(led, ["a", "b"]), "close")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
-        # Spark broadcasts the keys if the written table is small
         wanted = stage(pairs.select(F.col("a").alias("row_")).union(pairs.select(F.col("b").alias("row_"))).distinct(), "wanted")
-        return stage(keyed(docs, text=F.coalesce(F.col(text_column), F.lit(""))).join(wanted, "row_"), "texts")
+        return stage(keyed(docs, text=F.coalesce(F.col(text_column), F.lit(""))).join(few_or_all(wanted), "row_"), "texts")
 
     texts = texts_of(close)
     # each document beside the foremost of its leaders first, then beside those that are not yet in its component
@@ -296,4 +295,4 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     found = stage(classes(docs, id_column=id_column, text_column=text_column, **options), "classes")
     kept = found.groupBy("class_row").agg(F.min(F.struct("doc_id", "row_")).alias("first")).select(F.col("first.row_").alias("row_"))
     rows = keyed(docs, doc=F.struct(*docs.columns))
-    return rows.join(stage(kept, "kept"), "row_", "left_semi").select("doc.*")
+    return rows.join(few_or_all(stage(kept, "kept")), "row_", "left_semi").select("doc.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import Words, keyed, mix, stage, steps, text_bytes
+from scanloom.llm.common import Words, few_or_all, keyed, mix, stage, steps, text_bytes
 
 #: Words of a shingle and of the shortest passage, similarity of passages, hash functions and how many must agree.
 SHINGLE, WORDS, SIMILARITY, HASHES, ENOUGH = 5, 50, 0.8, 4, 2
@@ -293,14 +293,13 @@ def repeated_passages(
     marks = stage(rows.select("row_", "doc_id", F.unhex(F.md5("text")).alias("digest")), "marks")
     firsts = marks.groupBy("digest").agg(F.min("row_").alias("node"), F.count("*").alias("n"))
     copies = stage(marks.join(firsts.filter("n > 1"), "digest").filter("row_ != node").select("row_", "doc_id", "node"), "copies")
-    # Spark broadcasts the numbers of the copies if the written table is small
-    once = rows.join(copies.select("row_"), "row_", "left_anti").select(F.col("row_").alias("node"), "text")
+    once = rows.join(few_or_all(copies.select("row_")), "row_", "left_anti").select(F.col("row_").alias("node"), "text")
     led = stage(led_pairs(windows_of(once, hashes, shingle, words)), "led")
     pairs = stage(enough(led, needed), "pairs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = stage(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-        return stage(once.join(ids, "node"), "texts")
+        return stage(once.join(few_or_all(ids), "node"), "texts")
 
     passages = stage(compared(pairs, texts_of(pairs), shingle, words, similarity), "passages")
     # groups of three and more with members that share no passage with the first are divided by what stands beside the
