@@ -5,8 +5,10 @@ hashed shingles gives compact windows: a node's subtree spans all subsequences o
 is kept if it can hold a passage of ``WORDS`` words. Documents with windows of the same minimum may share a passage.
 Each is paired with the shortest document of the group; the windows of a pair are joined as intervals, and where those of
 ``ENOUGH`` functions overlap in both documents the shingles of both are compared and the passages that agree returned.
-Groups with unlike members, as around a line that many texts share, are divided once more by minima to the left and to
-the right of the shingle in common, and paired again. Exact copies of a text take part once.
+Groups with members whose windows the passages found with the first document don't cover, as around a line that many
+texts share, are divided by ``FURTHER`` minima of the passages inside the windows and paired again, round by round; what is
+left after them is divided by all shingles of a passage, so that equal passages are found however many texts share a part
+of them. Exact copies of a text take part once.
 
 Null and empty texts, and those with fewer words than a passage, have none. A passage repeated within one text only is
 not reported. Repeated rows and ids are documents of their own. Columns beside the id and the text are not read.
@@ -25,6 +27,8 @@ from scanloom.llm.common import Words, few_or_all, keyed, mix, stage, steps, tex
 
 #: Words of a shingle and of the shortest passage, similarity of passages, hash functions and how many must agree.
 SHINGLE, WORDS, SIMILARITY, HASHES, ENOUGH = 5, 50, 0.8, 4, 2
+#: Further minima that each round of dividing adds to the keys of open groups.
+FURTHER = (1, 2, 4, 8)
 STEP = 2 << 20
 #: ``place``: number of the function, first shingle and further shingles of a window, in 4, 30 and 30 bits.
 WINDOW = "key long, node long, standing long, place long"
@@ -122,10 +126,26 @@ def windows_of(docs: DataFrame, hashes: int, shingle: int, words: int) -> DataFr
     return docs.mapInArrow(found, WINDOW)
 
 
-def divided(docs: DataFrame, open_windows: DataFrame, hashes: int, shingle: int, words: int) -> DataFrame:
-    """``open_windows`` (key, node, place) under new keys: with the minimum of half a passage to the left of the shingle in
-    common, and with that to its right."""
-    half = (words - shingle + 1) // 2
+def run_hash(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` values in their order."""
+    count = len(values) - width + 1
+    if count <= 0:
+        return values[:0]
+    out, block, size, at = np.zeros(count, np.uint64), values, 1, 0
+    with np.errstate(over="ignore"):
+        while size <= width:
+            if width & size:
+                out = mix(out * np.uint64(0xD6E8FEB86659FD93) + block[at : at + count])
+                at += size
+            block, size = mix(block[:-size] * np.uint64(0x9E3779B97F4A7C15) + block[size:]), size * 2
+    return out
+
+
+def divided(docs: DataFrame, open_windows: DataFrame, hashes: int, shingle: int, words: int, used: int, further: int) -> DataFrame:
+    """``open_windows`` (key, node, place) cut where one of ``further`` new minima of the passages inside them changes,
+    under the old key with those minima. ``used`` such functions have been taken before. Without ``further`` each passage
+    is a window of its own under the hash of all its shingles."""
+    width = words - shingle + 1
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,35 +154,52 @@ def divided(docs: DataFrame, open_windows: DataFrame, hashes: int, shingle: int,
                 values, first = split.shingles(shingle)
                 node = part.column("node").to_numpy(zero_copy_only=False).astype(np.int64)
                 standing = standing_of(node, np.diff(split.first))
-                own = [hashed(values, fn) >> np.uint64(24) for fn in range(hashes)]
-                low = [sliding_minimum(hashed(values, fn + hashes), half) for fn in range(hashes)]
                 lists = part.column("open")
                 keys, places = (np.asarray(lists.flatten().field(k)) for k in (0, 1))
                 owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
                 fn, l, r = parts_of(places)
                 l, r = l + first[owner], r + first[owner]
-                rows = ([], [], [])
-                for i, (f, a, b) in enumerate(zip(fn.tolist(), l.tolist(), r.tolist(), strict=True)):
-                    c = a + int(own[f][a : b + 1].argmin())
-                    for side, (at, inside) in enumerate(((c - half, c - half >= a), (c + 1, c + half <= b))):
-                        if inside:
-                            rows[0].append(i)
-                            rows[1].append(side)
-                            rows[2].append(low[f][at])
-                at = np.array(rows[0], np.int64)
-                new = mix(mix(np.array(rows[2], np.uint64) ^ keys[at].view(np.uint64)) + np.array(rows[1], np.uint64))
+                rows = ([np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+                for f in np.unique(fn):
+                    own = hashed(values, int(f)) >> np.uint64(24)
+                    if further:
+                        low = np.stack([sliding_minimum(hashed(values, hashes * (1 + used + j) + int(f)), width) for j in range(further)])
+                    else:
+                        low = run_hash(values, width)[None]
+                    for i in np.flatnonzero(fn == f).tolist():
+                        c = l[i] + int(own[l[i] : r[i] + 1].argmin())
+                        # the passages of the window, by their first shingle: those that hold its minimum
+                        begin, last = max(l[i], c - width + 1), min(c, r[i] - width + 1)
+                        inside = low[:, begin : last + 1]
+                        if further:
+                            at = np.flatnonzero(np.append(True, (inside[:, 1:] != inside[:, :-1]).any(axis=0)))
+                            until = np.append(at[1:], inside.shape[1]) - 1
+                            new = np.full(len(at), keys[i], np.int64).view(np.uint64)
+                        else:
+                            at = until = np.arange(inside.shape[1])
+                            new = np.zeros(len(at), np.uint64)
+                        for j in range(len(low)):
+                            new = mix(mix(inside[j, at] ^ new) + np.uint64(j + 1))
+                        rows[0].append(np.full(len(at), i))
+                        rows[1].append(new)
+                        rows[2].append(begin + at - first[owner[i]])
+                        rows[3].append(until - at + width - 1)
+                at, new, begin, length = map(np.concatenate, rows)
+                place = begin << 30 | length | (fn[at] << 60 if further else np.int64(0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(new.view(np.int64)), pa.array(node[owner[at]]), pa.array(standing[owner[at]]), pa.array(places[at])],
+                    [pa.array(new.view(np.int64)), pa.array(node[owner[at]]), pa.array(standing[owner[at]]), pa.array(place)],
                     ["key", "node", "standing", "place"],
                 )
 
     lists = open_windows.groupBy("node").agg(F.collect_set(F.struct("key", "place")).alias("open"))
-    return docs.join(lists, "node").select("node", "text", "open").mapInArrow(found, WINDOW)
+    rows = docs.join(lists, "node").select("node", "text", "open").mapInArrow(found, WINDOW)
+    return rows if further else rows.distinct()
 
 
 def led_pairs(windows: DataFrame) -> DataFrame:
     """Windows of the groups with more than one document beside the window of the group's first document: key, node,
-    place, node_b, place_b. Windows are moved once; a group is never held, its members pass by its first."""
+    place, node_b, place_b; further windows of the first document are among them. Windows are moved once; a group is never
+    held, its members pass by its first."""
     dealt = windows.filter("key IS NOT NULL").repartition("key")
     # the counts of the other columns keep both uses of the dealt rows alike, so that Spark deals them once
     groups = dealt.groupBy("key").agg(
@@ -171,7 +208,7 @@ def led_pairs(windows: DataFrame) -> DataFrame:
     held = stage(dealt.join(groups.hint("shuffle_hash"), "key"), "windows")
     first = held.filter("standing = lead").groupBy("key").agg(F.min(F.struct("node", "place")).alias("first"))
     first = first.select("key", F.col("first.node").alias("node_b"), F.col("first.place").alias("place_b"))
-    return held.join(first, "key").filter("node != node_b").select("key", "node", "place", "node_b", "place_b")
+    return held.join(first, "key").filter("node != node_b OR place != place_b").select("key", "node", "place", "node_b", "place_b")
 
 
 def parts_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +232,7 @@ def overlap(a: np.ndarray, b: np.ndarray, needed: int) -> bool:
 
 def enough(pairs: DataFrame, needed: int) -> DataFrame:
     """Pairs of documents (a, b) of which windows of ``needed`` functions overlap in both: an interval join within the pair."""
-    sides = pairs.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    sides = pairs.filter("node != node_b").groupBy(F.col("node").alias("a"), F.col("node_b").alias("b"))
     if needed <= 1:
         return sides.agg(F.count("*").alias("n")).select("a", "b")
     function = F.shiftrightunsigned("place", 60)
@@ -302,19 +339,21 @@ def repeated_passages(
         return stage(once.join(few_or_all(ids), "node"), "texts")
 
     passages = stage(compared(pairs, texts_of(pairs), shingle, words, similarity), "passages")
-    # groups of three and more with members that share no passage with the first are divided by what stands beside the
-    # common shingle
-    agreed = passages.select(F.col("a").alias("node"), F.col("b").alias("node_b")).distinct()
-    loose = led.select("key", "node", "node_b").join(agreed.withColumn("agreed", F.lit(1)), ["node", "node_b"], "left").groupBy("key").agg(
-        F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.count("agreed").alias("n_agreed")
-    )
-    keys = stage(loose.filter("low != high AND n_agreed < n").select("key"), "keys")
-    open_rows = led.join(keys, "key", "left_semi")
-    open_windows = open_rows.select("key", "node", "place").union(open_rows.select("key", F.col("node_b").alias("node"), F.col("place_b").alias("place")))
-    sides = divided(once, open_windows.distinct(), hashes, shingle, words)
-    more = enough(led_pairs(sides), 1).join(pairs, ["a", "b"], "left_anti")
-    more = stage(more, "more")
-    passages = passages.union(compared(more, texts_of(more), shingle, words, similarity))
+    used = 0
+    for further in (*FURTHER, 0):
+        keys = stage(open_keys(led, passages, shingle, words, similarity), "keys")
+        if keys.isEmpty():
+            break
+        open_rows = led.join(keys, "key", "left_semi")
+        open_windows = open_rows.select("key", "node", "place").union(open_rows.select("key", F.col("node_b").alias("node"), F.col("place_b").alias("place")))
+        led = stage(led_pairs(divided(once, open_windows.distinct(), hashes, shingle, words, used, further)), "led")
+        used += further
+        if not further:
+            passages = passages.union(equal_runs(led, passages, shingle, words))
+            break
+        more = stage(enough(led, 1).join(pairs, ["a", "b"], "left_anti"), "more")
+        pairs = pairs.union(more)
+        passages = passages.union(stage(compared(more, texts_of(more), shingle, words, similarity), "passages"))
     names = marks.select(F.col("row_").alias("a"), "doc_id")
     reps = marks.select(F.col("row_").alias("b"), F.col("doc_id").alias("rep_doc_id"))
     shared = passages.join(names, "a").join(reps, "b").select(
@@ -323,6 +362,49 @@ def repeated_passages(
     return shared.union(copied(copies, rows, marks, words)).distinct()
 
 
+def open_keys(led: DataFrame, passages: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+    """Keys of the groups of three documents and more with a window that no passage found with the group's first document
+    covers. At its ends a window may reach over the passage by so few shingles that those inside are still similar."""
+    over = int((words - shingle + 1) * (1 - similarity) / (1 + similarity))
+    begin = lambda c: F.shiftright(c, 30).bitwiseAND((1 << 30) - 1)
+    last = lambda c: begin(c) + F.col(c).bitwiseAND((1 << 30) - 1)
+    known = passages.select("a", "b", *(F.col(c).alias(f"p_{c}") for c in ("begin", "end", "begin_b", "end_b")), F.lit(1).alias("agreed"))
+    covered = (
+        (F.col("node") == F.col("a")) & (F.col("node_b") == F.col("b"))
+        & (begin("place") >= F.col("p_begin") - over) & (last("place") <= F.col("p_end") - shingle + over)
+        & (begin("place_b") <= F.col("p_end_b") - shingle) & (last("place_b") >= F.col("p_begin_b"))
+    )
+    return led.filter("node != node_b").join(known, covered, "left").groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.count("agreed").alias("n_agreed")
+    ).filter("low != high AND n_agreed < n").select("key")
+
+
+def equal_runs(led: DataFrame, passages: DataFrame, shingle: int, words: int) -> DataFrame:
+    """Passages of ``words`` equal words and more from windows of one passage each; those inside known ones are left out."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, runs in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "runs")), strict=True):
+                begin, begin_b = (np.array([run[c] for run in runs], np.int64) for c in ("l", "lb"))
+                order = np.lexsort((begin, begin_b - begin))
+                begin, begin_b = begin[order], begin_b[order]
+                new = np.append(True, (np.diff(begin) != 1) | (np.diff(begin_b) != 1))
+                at = np.flatnonzero(new)
+                for i, j in zip(at.tolist(), (np.append(at[1:], len(begin)) - 1).tolist(), strict=True):
+                    out.append((a, b, int(begin[i]), int(begin[j]) + words, int(begin_b[i]), int(begin_b[j]) + words))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "begin", "end", "begin_b", "end_b"])
+
+    first = lambda c: F.shiftright(c, 30).bitwiseAND((1 << 30) - 1)
+    runs = led.filter("node != node_b").groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(
+        F.collect_set(F.struct(first("place").alias("l"), first("place_b").alias("lb"))).alias("runs")
+    ).mapInArrow(joined, PASSAGE)
+    known = passages.select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.col("begin").alias("p_begin"), F.col("end").alias("p_end"))
+    return runs.join(known, F.expr("a = a_ AND b = b_ AND begin >= p_begin AND end <= p_end"), "left_anti")
+
+
 def copied(copies: DataFrame, rows: DataFrame, marks: DataFrame, words: int) -> DataFrame:
     """Copies of whole texts of ``words`` words at least as passages."""
 

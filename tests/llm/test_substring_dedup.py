@@ -62,6 +62,25 @@ def test_common_lines_do_not_hide_passages(docs_of, prose):
     assert linked == {frozenset((100, 101))}
 
 
+def test_a_common_footer_does_not_settle_other_places(docs_of, prose):
+    """All texts share a footer long enough to be a passage and a short line; two share a passage around the line."""
+    line, footer = prose(500, 35), prose(503, 80)
+    around = prose(501, 12) + " " + line + " " + prose(502, 12)
+    docs = [(k, f"{prose(k, 60)} {line} {prose(1000 + k, 60)} {footer}") for k in range(60)]
+    docs += [(100, f"{prose(2000, 150)} {around} {prose(2002, 60)} {footer}"), (101, f"{around} {prose(2001, 170)} {footer}")]
+    found = passages(docs_of(docs))
+    assert {frozenset((a, b)) for a, begin, end, b, _, _ in found if end - begin < 75} == {frozenset((100, 101))}
+    footed = {x for a, begin, end, b, _, _ in found if end - begin >= 75 for x in (a, b)}
+    assert footed == {i for i, _ in docs}
+
+
+def test_run_hash():
+    values = np.array([5, 6, 7, 8, 5, 6, 7, 9], np.uint64)
+    got = s.run_hash(values, 3)
+    assert len(got) == 6 and got[0] == got[4] and len(set(got.tolist())) == 5
+    assert len(s.run_hash(values, 9)) == 0
+
+
 def test_empty_table(docs_of):
     assert passages(docs_of([])) == set()
 
