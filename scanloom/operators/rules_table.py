@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,33 +30,51 @@ def read_rules(rules: DataFrame) -> tuple[list[tuple], dict[str, str]]:
     a pattern, with one that can't be read, or with an id that an earlier or a built-in one of other content has, is left
     out of the first and named in the second.
     """
-    compile_pattern = rules.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
-    order = [c for c in ("position", "rule_id") if c in rules.columns]
     good: list[tuple] = []
     wrong: dict[str, str] = {}
+    for rule, error in _checked(rules):
+        if not error and any(rule[0] == other[0] for other in good):
+            error = "the rule id is taken"
+        if error:
+            wrong[rule[0]] = error
+        else:
+            good.append(rule)
+    return good, wrong
+
+
+def _checked(rules: DataFrame) -> list[tuple[tuple, str]]:
+    """All rules of a table in their order, each with what is wrong with it by itself; that is empty for most."""
+    compile_pattern = rules.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
+    order = [c for c in ("position", "rule_id") if c in rules.columns]
+    taken = {rule[0] for rule in catalog.LINE_RULES + catalog.TOKEN_RULES}
+    out = []
     for row in rules.orderBy(*order, "pattern").select(*catalog.RULE_COLUMNS).collect():
-        rule = tuple(value or "" for value in row)
+        rule, wrong = tuple(value or "" for value in row), ""
         try:
             if not rule[3]:
                 raise ValueError("no pattern")
-            if any(rule[0] == other[0] for other in good) or (
-                rule not in catalog.LINE_RULES and any(rule[0] == other[0] for other in catalog.LINE_RULES + catalog.TOKEN_RULES)
-            ):
+            if rule not in catalog.LINE_RULES and rule[0] in taken:
                 raise ValueError("the rule id is taken")
             compile_pattern(java_line_pattern(rule[3], rule[0]))
-            good.append(rule)
         except Exception as error:  # the reader's own errors and those of the pattern compiler
-            wrong[rule[0]] = str(getattr(error, "java_exception", error)).splitlines()[0]
-    return good, wrong
+            wrong = (str(getattr(error, "java_exception", error)).splitlines() or [type(error).__name__])[0]
+        out.append((rule, wrong))
+    return out
 
 
 def regex_scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of user-supplied rules; ``rules`` needs the catalog columns, and ``position`` if order matters.
 
     The rules become part of the expression, in blocks: each is one pass over the files, in which a file is tested as
-    a whole first and nothing is joined or shuffled. Rules that can't be read are left out; ``read_rules`` names them.
+    a whole first and nothing is joined or shuffled. Rules go by their place in the table, so that those with a repeated or
+    missing id all run. What can't be read, or has a built-in id and other content, is left out with a warning that names it.
     """
-    good, _ = read_rules(rules)
+    good: list[tuple] = []
+    for number, (rule, error) in enumerate(_checked(rules), start=1):
+        if error:
+            warnings.warn(f"rule {number} ({rule[0]!r}) is left out: {error}", stacklevel=2)
+        else:
+            good.append(rule if rule in catalog.LINE_RULES and rule not in good else (f"#{number}", *rule[1:]))
     groups = []
     for start in range(0, max(1, len(good)), BLOCK_RULES):
         block = good[start : start + BLOCK_RULES]

@@ -185,6 +185,19 @@ def test_bad_rules_are_named_and_the_others_run(spark, files_of):
     assert rules_table.regex_scan_rule_table(files_of({"a": "xx"}), rules.where("rule_id = 'B1'")).count() == 0
 
 
+def test_rules_with_repeated_or_missing_ids_all_run(spark, files_of):
+    rules = spark.createDataFrame(
+        [(None, "One", "", "x", "low", "", "", ""), (None, "Two", "", "x", "low", "", "", ""), ("G", "Three", "", "x", "high", "", "", ""),
+         ("G", "Four", "", "y", "low", "", "", ""), ("B", "Bad", "", "(", "low", "", "", ""), catalog.LINE_RULES[0], catalog.LINE_RULES[0]],
+        schemas.RULES,
+    )
+    with pytest.warns(UserWarning, match="'B'"):
+        found = rules_table.regex_scan_rule_table(files_of({"a": 'xy\napi_key = "abcdefghij0123456789"'}), rules)
+    got = [(r.title, r.severity) for r in found.where("start_line = 1").collect()]
+    assert sorted(got) == [("Four", "low"), ("One", "low"), ("Three", "high"), ("Two", "low")]
+    assert found.where(found.title == catalog.LINE_RULES[0][1]).count() == 2
+
+
 def test_custom_rule_patterns_keep_their_meaning(spark, files_of):
     rules = spark.createDataFrame(
         [(1, "X1", "T", "D", r"(?i)todo[^\s]\s?[(\[]", "low", "", "", "")],
