@@ -2,13 +2,15 @@
 
 A character trigram model is counted over all documents. Words with digits or signs among their letters, long
 repetitions, or single letters with gaps between them are read as lattices of what each sign may stand for, and the most
-likely word under the model and the costs of the disguise is kept (Viterbi). Words and their beginnings, as restored,
-are the features of a logistic regression that learns from a bounded sample of labelled rows (``SAMPLE``); its features
+likely word under the model and the costs of the disguise is kept (Viterbi). Runs of spaced letters and joined words are
+also read with word ends inside, so that the best path cuts them into words. Words and their beginnings, as restored, are the
+features of a logistic regression that learns from a bounded sample of labelled rows (``SAMPLE``); its features
 are the ``UNITS`` that tell most of the toxic class in that sample.
 
 A null or empty text has no features and gets the score of the intercept. Equal texts get equal scores. Labels that are
 null are not used, of several labels of a document the larger counts; without labels, or with one class, all scores are
-that class. Columns beside the id and the text are not read.
+that class. Words, tokens and runs of any length are read; only tokens and runs above ``LONG`` signs of which half or more
+are digits count as numbers and are not, nor are addresses with ``://``. Columns beside the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -53,7 +55,10 @@ TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)(?:[^\s.,;:][ .\-_*]{1,2}){3,}[^\s.,;:](?![^\s.,;:!?])")
 LATIN, FOREIGN = re.compile("[a-z]"), re.compile(f"[{''.join(LOOKS_LIKE)}]")
 BEGINNINGS = (4, 5, 6, 7)
-LONGEST = 48
+WIDE = re.compile(r"[ .\-_*]{2}")
+INSIDE = re.compile(f"[{re.escape(PUNCTUATION)}]+")
+#: Signs above which a token that is half digits is a number, and letters above which a token may be joined words.
+LONG, JOINED = 48, 16
 
 
 def symbol_table() -> np.ndarray:
@@ -123,12 +128,20 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restored(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a token: the best path of its lattice under the trigram model."""
-    paths = {(0, 0): (0.0, "")}  # by the last two letters
+def best_path(token: str, model: np.ndarray, cut: bool = False) -> str:
+    """The best path of a token's lattice under the trigram model; with ``cut`` words may end inside, at a space.
+
+    Paths share their beginnings, so that time is linear in the length."""
+    paths: dict = {(0, 0): (0.0, None)}  # by the last two letters
     for options in lattice(token):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in paths.items():
+        if cut:
+            for (a, b), (score, path) in list(paths.items()):
+                if b:
+                    total = score + float(model[a, b, 0])
+                    if (b, 0) not in paths or total > paths[b, 0][0]:
+                        paths[b, 0] = (total, (path, " "))
+        following: dict = {}
+        for (a, b), (score, path) in paths.items():
             for letters, cost in options:
                 x, y, total = a, b, score + cost
                 for letter in letters:
@@ -136,9 +149,24 @@ def restored(token: str, model: np.ndarray) -> str:
                     total += float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in following or total > following[x, y][0]:
-                    following[x, y] = (total, word + letters)
+                    following[x, y] = (total, (path, letters) if letters else path)
         paths = following
-    return max(paths.items(), key=lambda p: p[1][0] + float(model[p[0][0], p[0][1], 0]))[1][1]
+    path = max(paths.items(), key=lambda p: p[1][0] + float(model[p[0][0], p[0][1], 0]))[1][1]
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def restored(token: str, model: np.ndarray) -> str:
+    """The likeliest word behind a token."""
+    return best_path(token, model)
+
+
+def numeric(token: str) -> bool:
+    """Whether a token is too long and has too many digits to be words."""
+    return len(token) > LONG and 2 * sum(c.isdigit() for c in token) >= len(token)
 
 
 class Restorer:
@@ -148,11 +176,20 @@ class Restorer:
         self.model, self.known = model, {}
 
     def restore(self, token: str) -> str:
-        if token not in self.known:
+        return self._remembered(token, False)
+
+    def cut(self, token: str) -> set[str]:
+        """The words, of two letters at least, that a run is cut into."""
+        return {w for w in self._remembered(token, True).split() if len(w) > 1}
+
+    def _remembered(self, token: str, cut: bool) -> str:
+        if len(token) > LONG:  # rare, and would fill the memory
+            return best_path(token, self.model, cut)
+        if (token, cut) not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[token] = restored(token, self.model)
-        return self.known[token]
+            self.known[token, cut] = best_path(token, self.model, cut)
+        return self.known[token, cut]
 
     def words(self, text: str | None) -> set[str]:
         lowered = (text or "").lower()
@@ -169,16 +206,26 @@ class Restorer:
                 found.add(bare)
                 if not token[0] in EDGE_SIGNS:  # what follows a word as punctuation is no disguise
                     continue
-            if bare and len(token) <= LONGEST and not bare.isdigit() and "://" not in token and any(c.isalpha() for c in bare):
+            if bare and not bare.isdigit() and "://" not in token and any(c.isalpha() for c in bare) and not numeric(token):
                 found.add(self.restore(token))
+                if len(token) > JOINED:
+                    found |= self.cut(token)
+                for part in INSIDE.split(token):
+                    if len(part) > 1 and part != token and any(c.isalpha() for c in part):
+                        found.add(part if part.isalpha() else self.restore(part))
         if FOREIGN.search(lowered):
-            found |= {self.restore(w) for w in list(found) if len(w) <= LONGEST and FOREIGN.search(w) and LATIN.search(w)}
+            found |= {self.restore(w) for w in list(found) if FOREIGN.search(w) and LATIN.search(w)}
         if TRIPLE.search(lowered):
-            found |= {self.restore(w) for w in list(found) if len(w) <= LONGEST and TRIPLE.search(w)}
+            found |= {self.restore(w) for w in list(found) if TRIPLE.search(w)}
+        for word in [w for w in found if len(w) > JOINED]:
+            found |= self.cut(word)
         for run in SPACED.finditer(lowered):
-            letters = "".join(c for c in run[0] if c not in " .-_")
-            if len(letters) <= LONGEST:
-                found.add(self.restore(letters))
+            # where gaps of two signs stand among single ones, they part words
+            for piece in {run[0], *WIDE.split(run[0])}:
+                letters = "".join(c for c in piece if c not in " .-_")
+                if letters and not numeric(letters):
+                    found.add(self.restore(letters))
+                    found |= self.cut(letters)
         found.discard("")
         return found
 

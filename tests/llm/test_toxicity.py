@@ -60,6 +60,35 @@ def test_plain_words_stay(trained):
     assert len(restorer.words("x1" * 100_000)) == 0
 
 
+def test_long_tokens_and_spaced_sentences_are_read(trained):
+    restorer = t.Restorer(trained[2].model)
+    plain = "kalomi terander velsada lumosver nichoba pigorne tafilum"
+    assert "snirkle" in restorer.words(f"{'.'.join(plain.split())}.sn1rkle")
+    assert "snirkle" in restorer.words(f"{'_'.join(plain.split())}__snirkle")
+    spaced = " ".join("".join(f"{plain} snirkle {plain}".split()))
+    assert "snirkle" in restorer.words(spaced), restorer.words(spaced)
+    assert "snirkle" in restorer.words("  ".join(" ".join(w) for w in ["dela", "snirkle", "kami"]))
+    assert len(restorer.words("sn1rklegluzzard" * 5_000)) > 0
+
+
+def test_viterbi_with_word_ends_is_the_best_path(trained):
+    model = trained[2].model
+
+    def value(word):
+        cost = x = y = 0
+        for letter in word:
+            z = 0 if letter == " " else t.LETTERS[letter]
+            cost, x, y = cost + float(model[x, y, z]), y, z
+        return cost + float(model[x, y, 0])
+
+    for run in ["anidiot", "kasnirk", "lomiter"]:
+        ways = [run[0]]
+        for letter in run[1:]:
+            ways = [w + gap + letter for w in ways for gap in ("", " ")]
+        got = t.best_path(run, model, cut=True)
+        assert got.replace(" ", "") == run and abs(value(got) - max(map(value, ways))) < 1e-4
+
+
 def test_viterbi_is_the_best_path(trained):
     model = trained[2].model
 
