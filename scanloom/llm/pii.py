@@ -1,8 +1,8 @@
 """Personal data: spans of fixed patterns, and further identifiers by bootstrapped contextual extraction.
 
-The spans of the fixed patterns are the seeds. Other words with digits or signs in them are candidates. Seeds and
-candidates stand in contexts: the words before and after. A pattern is a kind with a context and the shape of what stands
-in it. Patterns are scored by the confidence of the instances they extract, instances by the patterns that extract them,
+The spans of the fixed patterns are the seeds. Other words with digits or @ in them, of any length, and numbers in groups
+are candidates. Seeds and candidates stand in contexts: the words before and after. A pattern is a kind with a context, and
+with the shape of what stands in it or with any shape, so that trust reaches forms no seed has. Patterns are scored by the confidence of the instances they extract, instances by the patterns that extract them,
 in ``ROUNDS`` rounds over the graph of all documents; what is extracted by a pattern above ``CONFIDENT`` is added.
 
 A null or empty text has no spans. Spans are counted in code points, end exclusive. Equal texts get equal spans, and the
@@ -11,6 +11,8 @@ words of a text that occurs often count by documents, once each. Columns beside
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,9 +32,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Words before a mention that make its context, and the rounds, support in texts and score that a pattern needs.
 BEFORE, ROUNDS, SUPPORT, CONFIDENT = 2, 4, 5, 0.8
-#: A candidate: a piece without spaces, with a digit or @, that is long enough to name someone.
+#: Candidates: a piece without spaces, with a digit or @, and digits in groups with a space between them.
 PIECE = re.compile(r"(?<!\S)[^\s]*[0-9@][^\s]*")
+GROUPED = re.compile(r"(?<![^\s\"'\[{<:;,])\+?\(?[0-9](?:[0-9().\-/]*[0-9)])?(?: \(?[0-9](?:[0-9().\-/]*[0-9)])?)+(?![^\W_])")
+#: Length from which a piece inside such groups is a candidate too, and up to which a value is kept as it is.
 LEAST_LENGTH, MOST_LENGTH = 6, 64
+#: The shape of patterns that take every shape.
+ANY_SHAPE = ""
 ANY_SIGN = re.compile("[0-9@]")
 EDGES = ".,;:!?\"'()[]{}<>*#$%&"
 MENTION = "struct<kind:string,begin:int,end:int,value:string,before:string,after:string,shape:string>"
@@ -86,6 +92,11 @@ def shape_of(value: str) -> str:
     return re.sub(r"([Aa])(?:[Aa])+", "a", coarse)[:16]
 
 
+def value_of(text: str) -> str:
+    """A value as it is compared: what is longer than ``MOST_LENGTH`` ends in a digest of all of it."""
+    return text if len(text) <= MOST_LENGTH else text[:MOST_LENGTH] + hashlib.md5(text.encode("utf-8", "replace")).hexdigest()
+
+
 def context(text: str, begin: int, end: int) -> tuple[str, str]:
     """The words before and the word after a place, lower-cased, numbers as 0; nothing across a line end."""
     before = text[max(0, begin - 60) : begin].rpartition("\n")[2].lower().split()[-BEFORE:]
@@ -106,17 +117,22 @@ def mentions(text: str) -> list[dict]:
         before, after = context(text, begin, end)
         found.append({"kind": kind, "begin": begin, "end": end, "value": text[begin:end], "before": before, "after": after, "shape": shape_of(text[begin:end])})
     starts = [b for b, _ in taken]
+    groups = [m.span() for m in GROUPED.finditer(text)]
+    group_starts = [b for b, _ in groups]
+    places = list(groups)
     for m in PIECE.finditer(text):
         piece = m[0]
         begin = m.start() + len(piece) - len(piece.lstrip(EDGES))
         end = m.end() - (len(piece) - len(piece.rstrip(EDGES)))
-        if not LEAST_LENGTH <= end - begin <= MOST_LENGTH:
-            continue
+        i = bisect.bisect_right(group_starts, begin)
+        if begin < end and (end - begin >= LEAST_LENGTH or not i or groups[i - 1][1] <= begin):
+            places.append((begin, end))
+    for begin, end in sorted(places):
         i = int(np.searchsorted(starts, end))  # base spans that begin before the piece ends
         if i and reach[i - 1] > begin:
             continue
         before, after = context(text, begin, end)
-        found.append({"kind": "", "begin": begin, "end": end, "value": text[begin:end], "before": before, "after": after, "shape": shape_of(text[begin:end])})
+        found.append({"kind": "", "begin": begin, "end": end, "value": value_of(text[begin:end]), "before": before, "after": after, "shape": shape_of(text[begin:end])})
     return found
 
 
@@ -137,7 +153,8 @@ def scan(docs: DataFrame, id_column: str | F.Column = "doc_id", text_column: str
 def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """Patterns (context, shape, kind, score) whose instances are seeds, or identifiers that other good patterns find.
 
-    An instance is a value; it and a pattern are linked if the value stands in the pattern's context with its shape.
+    An instance is a value; it and a pattern are linked if the value stands in the pattern's context and has its shape, or
+    the pattern is one of ``ANY_SHAPE``. A context gives a value the better of the two scores.
     Links are counted once whatever the number of places, and sums are formed before rows are moved, so that a frequent
     value or context is no heavier than a rare one.
     """
@@ -150,18 +167,21 @@ def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int =
         "links",
     )
     instances = links.select("value", "kind", F.lit(1.0).alias("trust")).filter("kind != ''").distinct().withColumnRenamed("kind", "as_kind")
+    shapes = F.explode(F.array("shape", F.lit(ANY_SHAPE))).alias("shape")
+    ways = links.select("context", shapes, "value", "kind")
     patterns = None
     for _ in range(rounds):
         # what a pattern finds, by kind: trusted, and in all
-        per_kind = links.join(instances, "value").groupBy("context", "shape", "as_kind").agg(F.sum("trust").alias("good"))
-        whole = links.groupBy("context", "shape").agg(F.count("*").alias("n"))
+        per_kind = ways.join(instances, "value").groupBy("context", "shape", "as_kind").agg(F.sum("trust").alias("good"))
+        whole = ways.groupBy("context", "shape").agg(F.count("*").alias("n"))
         patterns = stage(
             per_kind.join(whole, ["context", "shape"]).filter(F.col("n") >= support).select(
                 "context", "shape", "as_kind", (F.col("good") / (F.col("n") + 1)).alias("score")
             ).filter(F.col("score") >= confident / 2),
             "patterns",
         )
-        found = links.filter("kind = ''").join(patterns, ["context", "shape"]).groupBy("value", "as_kind").agg(
+        best = ways.filter("kind = ''").join(patterns, ["context", "shape"]).groupBy("value", "as_kind", "context").agg(F.max("score").alias("score"))
+        found = best.groupBy("value", "as_kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.99)))))).alias("trust")
         ).filter(F.col("trust") >= confident)
         seeds = links.filter("kind != ''").select("value", F.col("kind").alias("as_kind"), F.lit(1.0).alias("trust")).distinct()
@@ -175,7 +195,8 @@ def extract(docs: DataFrame, id_column: str | F.Column = "doc_id", text_column:
     patterns = confident_patterns(scanned)
     candidates = scanned.select("row_", F.explode(F.filter("mentions", lambda m: m["kind"] == "")).alias("m")).select("row_", "m.*")
     contexts = F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after"), F.concat_ws("|", "before", "after"))
-    hits = candidates.withColumn("context", F.explode(contexts)).join(patterns, ["context", "shape"]).groupBy("row_", "begin", "end").agg(
+    ways = candidates.withColumn("context", F.explode(contexts)).withColumn("shape", F.explode(F.array("shape", F.lit(ANY_SHAPE))))
+    hits = ways.join(patterns, ["context", "shape"]).groupBy("row_", "begin", "end").agg(
         F.max(F.struct("score", "as_kind")).alias("best")
     )
     added = hits.groupBy("row_").agg(

@@ -67,6 +67,21 @@ def test_patterns_find_unseen_identifiers(docs_of, prose):
     assert ("<write to", "email") in {(r.context, r.as_kind) for r in patterns.collect()}
 
 
+def test_planted_identifiers_of_another_form_are_returned(docs_of, prose):
+    docs = learned(prose)
+    docs += [(300 + k, f"{prose(k, 10)} ring me on +1555123{1000 + k} soon {prose(k + 500, 5)}") for k in range(40)]
+    docs += [(400, f"{prose(99, 10)} ring me on +1 555 123 soon"), (401, f"{prose(98, 10)} ring me on 12 soon"), (402, f"{prose(97, 10)} ring me on {'7-' * 60}7 soon")]
+    text = dict(docs)
+    got = {r.doc_id: r.spans for r in pii.report(docs_of(docs)).collect()}
+    for k in range(6):
+        at = text[100 + k].index(f"person{k}@")
+        assert got[100 + k] == f"email:{at}:{at + len(f'person{k}@localhost')}"
+    for doc, value in ((400, "+1 555 123"), (401, "12"), (402, "7-" * 60 + "7")):
+        at = text[doc].index(value)
+        assert got[doc] == f"phone:{at}:{at + len(value)}"
+    assert {got[200 + k] for k in range(10)} == {""}
+
+
 def test_added_spans(docs_of, prose):
     docs = [(k, f"{prose(k, 10)} card number 4111 1111 1111 1111 ends {prose(k + 500, 5)}") for k in range(3)]
     docs = [(k, f"{prose(k, 10)} ring me on +1555123{1000 + k} soon {prose(k + 500, 5)}") for k in range(40)]
