@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import compare, oracle
+from checks.queries import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -17,14 +18,14 @@ def con():
 
 
 def test_registered_names():
-    assert set(contract.oracle_sql()) == set(contract.queries())
-    assert not [name for name in contract.queries() if name == "pipeline" or name.startswith("op")]
+    assert set(SQL) == set(QUERIES)
+    assert QUERIES.items() <= contract.queries().items() and SQL.items() <= contract.oracle_sql().items()
 
 
 def test_entry(spark):
     assert [r.severity for r in contract.entry(spark).collect()][0] == "critical"
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_gives_the_rows_of_its_sql(spark, con, name):
     assert compare(spark, con, name, SF).startswith("same")
