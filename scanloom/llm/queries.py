@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, fingerprint, html_text, near_dup, pieces, pii, sharding, substring_dedup, toxicity, url_filter
+from scanloom.llm import decontaminate, fingerprint, html_text, infill, near_dup, pieces, pii, sharding, substring_dedup, toxicity, url_filter
 from scanloom.llm.common import table
 
 
@@ -57,6 +57,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, classifier)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -68,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 _WORDS = (
@@ -103,4 +112,30 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL}
+OP11_SQL = """
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+           sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS digits
+    FROM documents
+),
+drawn AS (
+    SELECT *, len(units) AS n, ('0x' || digits[1:8])::BIGINT % (len(units) + 1) AS a, ('0x' || digits[9:16])::BIGINT % (len(units) + 1) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || digits[17:24])::BIGINT % 100 >= 100
+                THEN 'plain' WHEN ('0x' || digits[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+),
+parts AS (
+    SELECT doc_id, n, form, text, coalesce(array_to_string(units[1 : least(a, b)], ''), '') AS prefix,
+           coalesce(array_to_string(units[least(a, b) + 1 : greatest(a, b)], ''), '') AS middle,
+           coalesce(array_to_string(units[greatest(a, b) + 1 :], ''), '') AS suffix
+    FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form != 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form != 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL, "op11_fill_in_middle": OP11_SQL}
