@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, fingerprint, html_text, infill, near_dup, pieces, pii, sharding, substring_dedup, toxicity, url_filter
+from scanloom.llm import decontaminate, divergence, fingerprint, html_text, infill, near_dup, pieces, pii, sharding, substring_dedup, toxicity, url_filter
 from scanloom.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _WORDS = (
@@ -138,4 +143,44 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form != 'plain' THEN length(prefi
 FROM parts
 """
 
-SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL, "op11_fill_in_middle": OP11_SQL}
+OP12_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+    FROM documents
+),
+words AS (SELECT r, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+sizes AS (SELECT lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept k USING (lang) GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+dense AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) g
+    JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+shares AS (
+    SELECT *, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p
+    FROM dense
+),
+overall AS (
+    SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q
+    FROM (SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term)
+),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY a.lang, a.source, b.source
+    UNION ALL
+    SELECT a.lang, a.source, b.source, 0 FROM (SELECT DISTINCT lang, source FROM docs) a JOIN (SELECT DISTINCT lang, source FROM docs) b
+    ON a.lang = b.lang AND a.source != b.source JOIN sizes s ON s.lang = a.lang WHERE s.v = 0
+),
+both_parts AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares JOIN overall USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL, "op11_fill_in_middle": OP11_SQL, "op12_source_divergence": OP12_SQL}
