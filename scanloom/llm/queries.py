@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, divergence, fingerprint, html_text, infill, near_dup, pieces, pii, sharding, substring_dedup, toxicity, url_filter
+from scanloom.llm import decontaminate, divergence, fingerprint, html_text, infill, near_dup, pieces, pii, sharding, substring_dedup, suffix_dedup, toxicity, url_filter
 from scanloom.llm.common import table
 
 
@@ -69,6 +69,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_source_divergence": op12_source_divergence,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 _WORDS = (
@@ -183,4 +192,30 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 ) WHERE part = 'pair' OR rank <= 10
 """
 
-SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL, "op11_fill_in_middle": OP11_SQL, "op12_source_divergence": OP12_SQL}
+OP13_SQL = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+),
+strings AS (SELECT r, doc_id, k, substr(h, 2 * k + 1, 100) AS w FROM (SELECT *, unnest(range(0, n - 49)) AS k FROM docs)),
+firsts AS (SELECT w, min(doc_id) AS least FROM strings GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT r, k FROM strings JOIN firsts USING (w) WHERE least < doc_id),
+numbered AS (
+    SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS island
+    FROM (SELECT r, k, CASE WHEN k - lag(k) OVER (PARTITION BY r ORDER BY k) <= 50 THEN 0 ELSE 1 END AS fresh FROM hits)
+),
+spans AS (
+    SELECT *, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS before
+    FROM (SELECT r, min(k) AS b, max(k) + 50 AS e FROM numbered GROUP BY r, island)
+),
+cut AS (
+    SELECT r, sum(e - b) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS head
+    FROM spans JOIN docs USING (r) GROUP BY r
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""
+
+SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": OP2_SQL, "op11_fill_in_middle": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_suffix_dedup": OP13_SQL,
+}
