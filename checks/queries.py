@@ -69,11 +69,10 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "scan_source_files",
     BASE + """ SELECT project, path, CAST(strlen(content) AS BIGINT) AS bytes, md5(content) AS digest FROM source_files
-      WHERE regexp_matches(path, '(?i)[.](go|py|js|ts|java)$') AND NOT regexp_matches(path, '(^|/)[._]')""",
+      WHERE regexp_matches(path, '(?i)[.](go|py|js|ts|java)$')""",
 )
 def _(spark, sf):
-    """The reader over files: the corpus is written as one file per source file, with others beside that it must skip.
-    The listing leaves out hidden names, those that begin with a dot or an underscore."""
+    """The reader over files: the corpus is written as one file per source file, with others beside that it must skip."""
     root = f"{staging(spark).root}/source-files-{uuid.uuid4().hex}"
     spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(
         spark.sparkContext._jsc.hadoopConfiguration()
@@ -84,6 +83,18 @@ def _(spark, sf):
     )
 
 
+@query(
+    "scan_source_files_ignoring",
+    CHOSEN + " SELECT project, path, md5(content) AS digest FROM chosen",
+)
+def _(spark, sf):
+    """The same tree with folders that the ignore rules cover passed over while it is listed."""
+    root = f"{staging(spark).root}/source-files-{uuid.uuid4().hex}"
+    corpus.write_files(corpus.source_files(spark, sf), root)
+    files = scan_source_files(spark, root, catalog.DEFAULT_LANGUAGES, ignore=catalog.STARTER_IGNORE)
+    return files.select("project", "path", F.md5("content").alias("digest"))
+
+
 @query(
     "read_changed_files",
     f"WITH {corpus.CHANGED_SQL} SELECT project, path, {FILE_PATH} AS file_path FROM changed",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators import files as file_ops
 from scanloom.operators import risk
-from scanloom.sources.files import extension_glob, scan_source_files, source_files_from_table
+from scanloom.sources.files import read_contents, scan_source_files, source_files_from_table, source_tree
 
 PATTERNS = ["vendor/", "test/", "*_test.go", "**/*.min.js", "s?c"]
 
@@ -92,7 +92,51 @@ def test_files_are_read_from_directories(spark, tmp_path):
     }
     python_only = scan_source_files(spark, str(tmp_path), ["python"]).collect()
     assert [(r.project, r.path) for r in python_only] == [("p1", "sub dir/b.PY")]
-    assert extension_glob(["go", "c"]) == "*.{[gG][oO],[cC]}"
+
+
+TREE = {
+    "p/__init__.py": "a", "p/_app.js": "b", "p/.eslintrc.js": "c", "p/.storybook/main.js": "d", "p/.github/_x/y.go": "e",
+    "p/lib/__pycache__/z.py": "f", "p/vendor/deep/er/w.go": "g", "p/a/b/c/d/e/f.go": "h", "q/a b/100%25 é#?.py": "i", "q/test/t.go": "j",
+    "q/attest/t.go": "k", "q/empty.py": "", "top.py": "l",
+}
+
+
+@pytest.fixture
+def tree(tmp_path):
+    for path, content in TREE.items():
+        target = tmp_path / "root" / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(content)
+    (tmp_path / "root" / "q" / "hollow").mkdir()
+    (tmp_path / "root" / "q" / "loop").symlink_to(tmp_path / "root", target_is_directory=True)
+    (tmp_path / "root" / "q" / "linked.go").symlink_to(tmp_path / "root" / "q" / "test" / "t.go")
+    return str(tmp_path / "root")
+
+
+def test_names_that_begin_with_a_dot_or_an_underscore_are_files_too(spark, tree):
+    rows = {f"{r.project}/{r.path}" if r.path != r.project else r.path: r.content for r in scan_source_files(spark, tree).collect()}
+    assert rows == TREE | {"q/linked.go": "j"}
+    go = scan_source_files(spark, tree + "/", ["go"]).collect()
+    assert {r.path for r in go} == {".github/_x/y.go", "vendor/deep/er/w.go", "a/b/c/d/e/f.go", "test/t.go", "attest/t.go", "linked.go"}
+
+
+def test_ignored_folders_are_not_gone_into(spark, tree, tmp_path):
+    (tmp_path / "root" / "p" / "vendor" / "deep").chmod(0)
+    try:
+        listed = source_tree(spark, tree, ["test", "a/*/c", "*.js"])
+        paths = {r.path for r in listed.collect()}
+    finally:
+        (tmp_path / "root" / "p" / "vendor" / "deep").chmod(0o755)
+    want = spark.createDataFrame([(p.split("/", 1)[1],) for p in TREE if "/" in p] + [("linked.go",)], "path string")
+    kept = {r.path for r in file_ops.filter_ignored_paths(want, ["test", "a/*/c", "*.js"]).collect()}
+    assert {p.split("/", 1)[1] for p in paths if "/" in p} == kept
+    assert kept == {"__init__.py", ".storybook/main.js", "a b/100%25 é#?.py", "attest/t.go", "empty.py", "linked.go"}
+
+
+def test_listing_is_dealt_by_folders_and_sizes_are_known(spark, tree):
+    listed = source_tree(spark, tree)
+    assert {r.path: r.size for r in listed.collect()}["p/a/b/c/d/e/f.go"] == 1
+    assert read_contents(listed.where("size > 9"), tree).count() == 0
 
 
 def test_any_table_serves_as_files(spark):
