@@ -173,6 +173,10 @@ def _user_rule(n: int) -> tuple:
 
 
 USER_RULES = [_user_rule(n) for n in range(320)]
+# So many that an index of the texts they need is made; some have the id of a built-in rule.
+MANY_RULES = [
+    ("REGEX001" if n % 7 == 0 else f"MANY{n}", f"Numbered page {n}", "", f"/en/{n}[[:digit:]]+", "low", "", "", "") for n in range(2000)
+]
 
 
 def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

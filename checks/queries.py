@@ -272,6 +272,22 @@ def _(spark, sf):
     )
 
 
+@query(
+    "regex_scan_many_rules",
+    BASE + ", " + sql.lines_sql("source_files") + """, rules AS (SELECT n, '/en/' || n AS start FROM range(2000) r(n)),
+      found AS (SELECT n, project || '/' || path AS file_path, line_no FROM lines JOIN rules
+        ON contains(line, '/en/') AND contains(line, start) AND regexp_matches(line, start || '[[:digit:]]+'))
+      SELECT 'Numbered page ' || n AS title, count(*) AS n, count(DISTINCT file_path) AS files, sum(line_no)::BIGINT AS lines
+      FROM found GROUP BY ALL""",
+)
+def _(spark, sf):
+    rules = spark.createDataFrame(corpus.MANY_RULES, schemas.RULES)
+    found = rules_table.regex_scan_rule_table(corpus.source_files(spark, sf), rules)
+    return found.groupBy("title").agg(
+        F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.sum("start_line").alias("lines")
+    )
+
+
 # ---- token rules -----------------------------------------------------------
 
 

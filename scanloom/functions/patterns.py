@@ -35,6 +35,11 @@ _PIECE = re.compile(
 )
 
 
+def pattern_pieces(re2: str) -> list[str]:
+    """An RE2 pattern cut into classes, escapes, group openings and single characters."""
+    return _PIECE.findall(re2)
+
+
 def _property(piece: str) -> str:
     """A character property: scripts have another name here than general categories."""
     found = re.fullmatch(r"\\([pP])\{(\^?)(\w+)\}", piece)

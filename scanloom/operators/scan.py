@@ -49,28 +49,39 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def findings_of(scanned: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
-    """One finding per static hit. The outer explode keeps the optimizer from testing ``hits`` twice."""
+def findings_of(scanned: DataFrame, rules: list[tuple] | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """One finding per static hit. The outer explode keeps the optimizer from testing ``hits`` twice.
+
+    The texts of a rule come from ``texts``, a small table with the catalog's columns, if there is one, else from the catalog
+    and ``rules``.
+    """
     hit = F.col("hit")
     exploded = scanned.select("project", "path", F.explode_outer("hits").alias("hit")).where(hit.isNotNull())
+
+    def text(column: str) -> Column:
+        return rule_value(hit["rule_id"], column, rules) if texts is None else F.col(f"rule.{column}")
+
+    if texts is not None:
+        named = texts.select(F.col("rule_id").alias("hit_rule"), F.struct(*[c for c in catalog.RULE_COLUMNS if c != "rule_id"]).alias("rule"))
+        exploded = exploded.join(F.broadcast(named), hit["rule_id"] == F.col("hit_rule"))
     path = file_path(F.col("project"), F.col("path"))
     source = F.when(hit["stage"] == catalog.SOURCE_STAGE["regex"], F.lit("regex")).otherwise(F.lit("ast"))
     empty = F.lit("")
     return exploded.select(
         "project",
         empty.alias("id"),
-        rule_value(hit["rule_id"], "title", rules).alias("title"),
-        rule_value(hit["rule_id"], "description", rules).alias("description"),
+        text("title").alias("title"),
+        text("description").alias("description"),
         path.alias("file_path"),
         hit["line"].alias("start_line"),
         hit["line"].alias("end_line"),
-        rule_value(hit["rule_id"], "severity", rules).alias("severity"),
+        text("severity").alias("severity"),
         empty.alias("confidence"),
-        rule_value(hit["rule_id"], "owasp_id", rules).alias("owasp_id"),
-        rule_value(hit["rule_id"], "cwe", rules).alias("cwe"),
+        text("owasp_id").alias("owasp_id"),
+        text("cwe").alias("cwe"),
         source.alias("source"),
         hit["snippet"].alias("code_snippet"),
-        rule_value(hit["rule_id"], "recommendation", rules).alias("recommendation"),
+        text("recommendation").alias("recommendation"),
         empty.alias("raw_output"),
         F.struct(hit["stage"].alias("stage"), hit["a"].alias("a"), hit["b"].alias("b")).alias("ord"),
     )

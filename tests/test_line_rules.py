@@ -1,5 +1,7 @@
 """Line rules: hits and near misses, line cutting, the oversize rule, and the two regex families against each other."""
 
+import random
+
 import duckdb
 import pytest
 from hypothesis import given, settings
@@ -12,6 +14,7 @@ from scanloom.functions import catalog
 from scanloom.functions.patterns import java_line_pattern
 from scanloom.functions.text import simple_lower
 from scanloom.operators import lines, rules_table, scan
+from scanloom.operators.rule_index import required_texts
 
 CASES = {
     'api_key = "abcdefghij0123456789"': "1",
@@ -180,8 +183,11 @@ def test_bad_rules_are_named_and_the_others_run(spark, files_of):
         schemas.RULES,
     )
     good, wrong = rules_table.read_rules(rules)
-    assert [r[1] for r in good] == ["Good"] and set(wrong) == {"B1", "B2", "B3", "REGEX001", "G1"}
-    assert [r.title for r in rules_table.regex_scan_rule_table(files_of({"a": "xx"}), rules).collect()] == ["Good"]
+    assert [r[:2] for r in good] == [("G1", "Good"), ("#5", "Twice"), ("#6", "T")] and set(wrong) == {"B1", "B2", "B3"}
+    found = rules_table.regex_scan_rule_table(files_of({"a": "xx"}), rules).collect()
+    assert sorted(r.title for r in found) == ["Good", "T"]
+    also = scan.static_scan(files_of({"a": "xx"}), rules=good).collect()
+    assert sorted(r.title for r in also) == ["Good", "T"]
     assert rules_table.regex_scan_rule_table(files_of({"a": "xx"}), rules.where("rule_id = 'B1'")).count() == 0
 
 
@@ -198,6 +204,35 @@ def test_rules_with_repeated_or_missing_ids_all_run(spark, files_of):
     assert found.where(found.title == catalog.LINE_RULES[0][1]).count() == 2
 
 
+@pytest.mark.parametrize("pattern, texts", [
+    ("secret", {"secret"}), ("(?i)Pass(?:word|wd)=x{2}", {"password", "passwd"}), ("(?i)(password|passwd)\\s*=", {"password", "passwd"}),
+    ("abc?def", {"def"}), ("abcd?efg", {"abc"}), ("ab+cde", {"bcde"}), ("ab{3}cd{0,2}efghi", {"efghi"}), ("abc|xyz1", {"abc", "xyz1"}),
+    ("abc|x", None), ("(abc)?", None), ("(abc)*xy", None), ("(abc)+xy", {"abc"}), ("[abc]def", {"def"}), (r"a\.b\.c", {"a.b.c"}),
+    (r"\bkey\d{4}end", {"key"}), ("é{2}abc", {"abc"}), ("ab", None), ("", None), ("x(a(bcd|efg)h)y", {"bcd", "efg"}), ("(?i:QrS)", {"qrs"}),
+    (r"(?P<n>tok_)\w+", {"tok_"}), ("abc)", None), ("a b c", {"a b c"}),
+])
+def test_texts_that_a_match_must_hold(pattern, texts):
+    assert required_texts(pattern) == (None if texts is None else texts if not pattern.startswith("(?i)Pass") else frozenset({"pass"}))
+
+
+def test_thousands_of_rules_give_the_rows_of_the_blocks(spark, files_of, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeks_") for _ in range(rng.randint(3, 6))) for _ in range(3000)]
+    forms = ["{}", "(?i){}", r"{}\s*=", "(?i)({}|zz9)[[:digit:]]", "{}?x", "[a-c]{}", "{}+", r"^\s*{}$"]
+    patterns = [rng.choice(forms).format(w) for w in words] + ["k", "[0-9]{4}", "é", r"\d"] * 3
+    rows = [(n, rng.choice(["REGEX001", f"U{n}", None]), f"T{n}", "", p, "low", "", "", "") for n, p in enumerate(patterns, start=1)]
+    rules = spark.createDataFrame(rows, "position int, rule_id string, title string, description string, pattern string, severity string, owasp_id string, cwe string, recommendation string")
+    lines = [" ".join(rng.choice([rng.choice(words), rng.choice(words).upper().replace("K", "\u212a").replace("S", "\u017f"), "12345", "é=", "="]) for _ in range(6)) for _ in range(60)]
+    files = files_of({f"{k}.py": "\n".join(rng.sample(lines, 12)) for k in range(12)} | {"empty.py": "", "long.py": "kabc" * 20_000})
+    columns = ["file_path", "title", "start_line", "code_snippet", "ord.a", "ord.b"]
+    found = rules_table.regex_scan_rule_table(files, rules).select(*columns)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    got = found.collect()
+    monkeypatch.setattr(rules_table, "required_texts", lambda pattern: None)
+    want = rules_table.regex_scan_rule_table(files, rules).select(*columns).collect()
+    assert len(got) > 300 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_custom_rule_patterns_keep_their_meaning(spark, files_of):
     rules = spark.createDataFrame(
         [(1, "X1", "T", "D", r"(?i)todo[^\s]\s?[(\[]", "low", "", "", "")],
