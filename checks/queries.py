@@ -309,6 +309,15 @@ for _key, _rule_id in _TOKEN_KEYS.items():
     query(_key, _text)(_one_token_rule(_rule_id))
 
 
+@query(
+    "go_tokens_giant_files",
+    BASE + ", " + sql.tokens_sql("source_files") + " SELECT project, path, tok_idx, tok, line FROM tokens",
+)
+def _(spark, sf):
+    """Files of 4 KB and more in segments."""
+    return tokens.go_tokens(corpus.source_files(spark, sf), giant_bytes=4096)
+
+
 # ---- engine ----------------------------------------------------------------
 
 
@@ -317,6 +326,12 @@ def _(spark, sf):
     return no_ord(scan.static_scan(corpus.source_files(spark, sf)))
 
 
+@query("static_scan_giant_files", STATIC + f" SELECT {FINDING} FROM findings")
+def _(spark, sf):
+    """Files of 4 KB and more in segments."""
+    return no_ord(scan.static_scan(corpus.source_files(spark, sf), giant_bytes=4096))
+
+
 @query(
     "engine_error_isolation",
     BASE + ", " + sql.static_sql("source_files", limited=True)

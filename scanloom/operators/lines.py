@@ -11,17 +11,27 @@ from pyspark.sql import functions as F
 from scanloom.functions import catalog
 from scanloom.functions.patterns import java_line_pattern
 from scanloom.functions.text import LOW, contains_any, source_lines, with_lower
+from scanloom.operators.segments import file_segments, is_giant
 
 ALL_RULES = [rule[0] for rule in catalog.LINE_RULES]
 
 HITS = "array<struct<stage:int,a:bigint,b:bigint,line:bigint,rule_id:string,snippet:string>>"
 
 
-def explode_lines(files: DataFrame) -> DataFrame:
-    """``(project, path, line_no, line)``, lines counted from 1."""
-    return files.select("project", "path", F.posexplode(source_lines(F.col("content"))).alias("pos", "line")).select(
-        "project", "path", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line"
-    )
+def explode_lines(files: DataFrame, giant_bytes: int | None = None, folder: str | None = None) -> DataFrame:
+    """``(project, path, line_no, line)``, lines counted from 1.
+
+    Files of ``giant_bytes`` or more are cut into segments that are dealt to many tasks and staged in ``folder``.
+    """
+    if giant_bytes is None:
+        return _lines(files, F.lit(0))
+    giant = is_giant(F.col("content"), giant_bytes)
+    return _lines(files.where(~giant), F.lit(0)).unionByName(_lines(file_segments(files.where(giant), giant_bytes, folder), F.col("first_line")))
+
+
+def _lines(files: DataFrame, before: Column) -> DataFrame:
+    exploded = files.select("project", "path", before.alias("before"), F.posexplode(source_lines(F.col("content"))).alias("pos", "line"))
+    return exploded.select("project", "path", (F.col("pos") + 1 + F.col("before")).cast("bigint").alias("line_no"), "line")
 
 
 def has_oversize_line(content: Column, limit: int = catalog.LINE_BYTE_LIMIT) -> Column:

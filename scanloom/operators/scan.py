@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom import schemas
 from scanloom.functions import catalog
 from scanloom.functions.identity import file_path, finding_id
-from scanloom.operators.lines import HITS, with_line_hits
+from scanloom.operators.lines import HITS, has_oversize_line, with_line_hits
+from scanloom.operators.segments import file_segments, is_giant, shifted
 from scanloom.operators.tokens import with_token_hits
 
 
@@ -87,25 +90,49 @@ def findings_of(scanned: DataFrame, rules: list[tuple] | None = None, texts: Dat
     )
 
 
+def _dealt(
+    files: DataFrame, hits: Callable[[DataFrame], DataFrame], giant_bytes: int | None, folder: str | None, line_byte_limit: int | None = None
+) -> DataFrame:
+    """Files with their ``hits``, those of ``giant_bytes`` or more cut into segments that are dealt to many tasks."""
+    if giant_bytes is None:
+        return hits(files)
+    content = F.col("content")
+    giant = is_giant(content, giant_bytes)
+    if line_byte_limit is not None:  # such a file is given up on as a whole
+        giant = giant & ~has_oversize_line(content, line_byte_limit)
+    parts = hits(file_segments(files.where(giant), giant_bytes, folder))
+    columns = ["project", "path", "hits"]
+    moved = parts.withColumn("hits", shifted(F.col("hits"), F.col("first_line"))).select(*columns)
+    return hits(files.where(~giant)).select(*columns).unionByName(moved)
+
+
 def static_scan(
     files: DataFrame, regex_enabled: bool = True, ast_enabled: bool = True, line_byte_limit: int | None = None,
-    rules: list[tuple] | None = None,
+    rules: list[tuple] | None = None, giant_bytes: int | None = None, folder: str | None = None,
 ) -> DataFrame:
-    """Findings of all enabled rules, and of ``rules``, line rules with the columns of the catalog."""
-    hits = with_static_hits(files, regex_enabled, ast_enabled, line_byte_limit=line_byte_limit, rules=rules)
-    return findings_of(hits, rules)
+    """Findings of all enabled rules, and of ``rules``, line rules with the columns of the catalog.
+
+    Files of ``giant_bytes`` or more are cut into segments that are dealt to many tasks and staged in ``folder``.
+    """
+    hits = lambda table: with_static_hits(table, regex_enabled, ast_enabled, line_byte_limit=line_byte_limit, rules=rules)
+    return findings_of(_dealt(files, hits, giant_bytes, folder, line_byte_limit), rules)
 
 
 def regex_scan(
-    files: DataFrame, rule_ids: list[str] | None = None, line_byte_limit: int | None = None, rules: list[tuple] | None = None
+    files: DataFrame, rule_ids: list[str] | None = None, line_byte_limit: int | None = None, rules: list[tuple] | None = None,
+    giant_bytes: int | None = None, folder: str | None = None,
 ) -> DataFrame:
     """Findings of the line rules, or of some of them."""
-    return findings_of(with_line_hits(files, rule_ids, line_byte_limit, rules).withColumnRenamed("line_hits", "hits"), rules)
+    hits = lambda table: with_line_hits(table, rule_ids, line_byte_limit, rules).withColumnRenamed("line_hits", "hits")
+    return findings_of(_dealt(files, hits, giant_bytes, folder, line_byte_limit), rules)
 
 
-def token_scan(files: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
+def token_scan(
+    files: DataFrame, rule_ids: list[str] | None = None, giant_bytes: int | None = None, folder: str | None = None
+) -> DataFrame:
     """Findings of the token rules, or of some of them."""
-    return findings_of(with_token_hits(files, rule_ids).withColumnRenamed("token_hits", "hits"))
+    hits = lambda table: with_token_hits(table, rule_ids).withColumnRenamed("token_hits", "hits")
+    return findings_of(_dealt(files, hits, giant_bytes, folder))
 
 
 def with_finding_id(findings: DataFrame) -> DataFrame:

@@ -12,12 +12,13 @@ an index or call that spans lines is reported on the line of its last part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import catalog
 from scanloom.functions.text import count_newlines
 from scanloom.operators.lines import HITS
+from scanloom.operators.segments import file_segments, is_giant
 
 _NAME = r"[\p{L}_][\p{L}\p{Nd}_]*"
 # Possessive repeats keep long literals off the call stack. Blanks match nothing and so are skipped.
@@ -47,12 +48,28 @@ def raw_tokens(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(LEXER), 0)
 
 
-def go_tokens(files: DataFrame) -> DataFrame:
+def go_tokens(files: DataFrame, giant_bytes: int | None = None, folder: str | None = None) -> DataFrame:
     """``(project, path, tok_idx, tok, line)`` of Go files, without white space and comments.
 
     A token that spans lines is cut into its first line and the newlines after it, so lines can be numbered by
-    position; the newlines inside the token are carried as a private character and put back at the end.
+    position; the newlines inside the token are carried as a private character and put back at the end. Files of
+    ``giant_bytes`` or more are cut into segments that are dealt to many tasks and staged in ``folder``.
     """
+    columns = ["project", "path", "tok_idx", "tok", "line"]
+    go = _go_files(files)
+    if giant_bytes is None:
+        return _tokens(go, "project", "path").select(*columns)
+    giant = is_giant(F.col("content"), giant_bytes)
+    keys = ["project", "path", "segment"]
+    parts = _tokens(file_segments(go.where(giant), giant_bytes, folder), *keys, "first_line")
+    before = Window.partitionBy("project", "path").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(*keys).agg(F.count("*").alias("n"))
+    starts = sizes.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    moved = parts.join(starts, keys).withColumn("tok_idx", F.col("tok_idx") + F.col("start")).withColumn("line", F.col("line") + F.col("first_line"))
+    return _tokens(go.where(~giant), "project", "path").select(*columns).unionByName(moved.select(*columns))
+
+
+def _tokens(files: DataFrame, *keys: str) -> DataFrame:
     held, end = "\ufdd0", "\ufdd1"
     flat = F.transform(
         raw_tokens(F.col("content")),
@@ -71,11 +88,8 @@ def go_tokens(files: DataFrame) -> DataFrame:
             lambda t: F.struct(F.translate(t, held, "\n").alias("tok"), (index + 1).cast("bigint").alias("line")),
         ),
     )
-    return (
-        _go_files(files)
-        .select("project", "path", F.posexplode(F.flatten(by_line)).alias("tok_idx", "t"))
-        .select("project", "path", F.col("tok_idx").cast("bigint").alias("tok_idx"), "t.tok", "t.line")
-    )
+    exploded = files.select(*keys, F.posexplode(F.flatten(by_line)).alias("tok_idx", "t"))
+    return exploded.select(*keys, F.col("tok_idx").cast("bigint").alias("tok_idx"), "t.tok", "t.line")
 
 
 def _go_files(files: DataFrame) -> DataFrame:
