@@ -5,7 +5,7 @@ wherever they are. Consecutive strings with one anchor form a piece of text, and
 more than one document meet. Equal pieces are one before they are shuffled, with their smallest id. Where pieces of an
 anchor differ, their suffixes are put in order by linear grouping (``suffix_order``), many anchors at a time, with the
 anchor's bytes as one symbol; strings that pieces share stand next to each other in it, and the smallest id among their
-pieces tells who has them first. An anchor with too many different pieces is divided into its strings, each of which is
+pieces tells who has them first. The ends of pieces whose strings are in no other piece by their hashes stay out of it. An anchor with too many different pieces is divided into its strings, each of which is
 a piece of its own.
 
 Of texts that are equal as a whole only those with the smallest id are cut into pieces; the others go as a whole. Null
@@ -17,6 +17,7 @@ A text of any length is cut in slices.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +35,31 @@ TOGETHER = 1000
 #: Symbols of one suffix order.
 SYMBOLS = 1 << 17
 #: Bytes of text that are cut into pieces at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Anchors up to which a table of them, 8 bytes each, is broadcast.
 BROADCAST_ANCHORS = 4_000_000
 
 PIECE = "row_ long, doc_id long, anchor long, digest long, begin long, n int, lead int, piece binary"
-#: Odd bases of the two hashes.
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Odd base of the hashes.
+BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, below 2^64."""
+    up, down = (np.append(np.uint64(1), np.full(size, base, np.uint64)) for base in (BASE, pow(BASE, -1, 1 << 64)))
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 class Rolling:
     """Hashes of any stretches of ``data``."""
 
-    def __init__(self, data: np.ndarray, base: int):
-        n = len(data)
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(1 << max(SLICE + 1024, len(data)).bit_length())
+        self.sums = np.zeros(len(data) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
-            self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self.sums[1:])
-            self.down = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)))
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
 
     def of(self, begin: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -73,7 +80,7 @@ class Pieces:
         at = np.flatnonzero(owner[: n - length + 1] == owner[length - 1 :])
         if not len(at):
             return
-        rolling = Rolling(data, BASES[0])
+        rolling = Rolling(data)
         grams = rolling.of(slice(0, n - gram + 1), slice(gram, n + 1))
         bits = np.uint64(36)
         least = sliding_minimum((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), width)[at]
@@ -83,7 +90,7 @@ class Pieces:
         self.begin, place = at[runs], place[runs]
         self.n = np.diff(np.append(runs, len(at)))
         self.text, self.lead, self.anchor = owner[self.begin], place - self.begin, grams[place]
-        self.digest = Rolling(data, BASES[1]).of(self.begin, self.begin + self.n + length - 1)
+        self.digest = rolling.of(self.begin, self.begin + self.n + length - 1)
 
 
 def sliced(data: np.ndarray, first: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, np.ndarray, Pieces]]:
@@ -197,16 +204,44 @@ def ordered(groups: DataFrame, length: int, gram: int) -> DataFrame:
 
     def flagged(held: list[tuple]) -> pa.RecordBatch:
         anchor, digest, leads, ids, texts = zip(*held, strict=True)
-        ids = np.array(ids, np.int64)
-        bits = [int(((least < own).astype(np.int64) << np.arange(len(least))).sum()) for least, own in zip(firsts_in_order(texts, leads, ids, length, gram), ids, strict=True)]
-        some = [i for i, b in enumerate(bits) if b]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([column[i] for i in some], pa.int64()) for column in (anchor, digest, bits)], ["anchor", "digest", "bits"]
-        )
+        from_, until = shared_range(anchor, texts, length)
+        some = np.flatnonzero(until > from_).tolist()
+        found = []
+        if some:
+            parts = [texts[i][from_[i] : until[i] + length - 1] for i in some]
+            least = firsts_in_order(parts, [leads[i] - int(from_[i]) for i in some], np.array([ids[i] for i in some], np.int64), length, gram)
+            for i, first in zip(some, least, strict=True):
+                bits = int(((first < ids[i]).astype(np.int64) << np.arange(from_[i], until[i])).sum())
+                if bits:
+                    found.append((anchor[i], digest[i], bits))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["anchor", "digest", "bits"])
 
     return groups.select("anchor", "pieces").mapInArrow(found, "anchor long, digest long, bits long")
 
 
+def shared_range(anchors: tuple[int, ...], texts: tuple[bytes, ...], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the first of its strings that may be in another piece of its anchor, by hash, and the one after the
+    last. What is outside needs no place in the order."""
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    count = sizes - length + 1
+    piece = np.repeat(np.arange(len(texts)), count)
+    place = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+    begin = (ends - sizes)[piece] + place
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    key = mix(Rolling(data).of(begin, begin + length) ^ mix(np.array(anchors, np.int64).view(np.uint64))[piece])
+    order = np.lexsort((piece, key))
+    key, owner = key[order], piece[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    last = np.append(first[1:], len(key)) - 1
+    several = np.repeat(owner[first] != owner[last], last - first + 1)
+    owner, at = owner[several], place[order][several]
+    from_, until = sizes.copy(), np.zeros(len(texts), np.int64)
+    np.minimum.at(from_, owner, at)
+    np.maximum.at(until, owner, at + 1)
+    return from_, until
+
+
 def divided(strings: DataFrame, length: int) -> DataFrame:
     """The same for pieces (anchor, digest, doc_id, piece) of anchors that have too many: each string is its own key."""
     each = strings.select(
@@ -236,7 +271,7 @@ def repeated_pieces(texts: DataFrame, length: int, gram: int, together: int, few
     if not many.isEmpty():
         bits = bits.union(divided(strings.join(few_or_all(many, few), "anchor", "left_semi"), length))
     bits = stage(bits, "bits")
-    known = strings.select("anchor", "digest", F.col("doc_id").alias("least")).join(bits, ["anchor", "digest"], "left")
+    known = stage(strings.select("anchor", "digest", F.col("doc_id").alias("least")).join(bits, ["anchor", "digest"], "left"), "known")
     occurs = held.select("row_", "doc_id", "anchor", "digest", "begin", "n").join(known, ["anchor", "digest"])
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
     return occurs.select(
