@@ -179,6 +179,26 @@ MANY_RULES = [
 ]
 
 
+# Token rules of a user, and what the SQL asks of a token, the ones before and the ones after.
+TOKEN_RULES = [
+    ("TOK1", "Seeded random", "", "<name:(?i).*rand> . <name:Int(n|31)?> (", "high", "A02", "CWE-338", ""),
+    ("TOK2", "Participle", "Found in prose", "the <name:.*(ed|ing)> !,", "low", "", "", "Rephrase"),
+    ("TOK3", "Blank target", "", "!. _ <any>{0,1} = <name> (", "medium", "", "", ""),
+    ("TOK4", "Literal in a test", "", "if <name>{1,3} == <string>", "critical", "", "", ""),
+]
+_IDENTIFIER = r"regexp_full_match({}, '[\p{{L}}_][\p{{L}}\p{{Nd}}_]*')"
+TOKEN_RULE_TESTS = [
+    "regexp_full_match(tok, '(?i).*rand') AND " + _IDENTIFIER.format("tok")
+    + " AND n1 = '.' AND regexp_full_match(n2, 'Int(n|31)?') AND n3 = '('",
+    "tok = 'the' AND regexp_full_match(n1, '.*(ed|ing)') AND " + _IDENTIFIER.format("n1") + " AND coalesce(n2, '') <> ','",
+    "tok = '_' AND coalesce(p1, '') <> '.' AND ((n1 = '=' AND " + _IDENTIFIER.format("n2") + " AND n3 = '(') OR (n2 = '=' AND "
+    + _IDENTIFIER.format("n3") + " AND n4 = '('))",
+    "tok = 'if' AND " + _IDENTIFIER.format("n1") + " AND ((n2 = '==' AND left(n3, 1) IN ('\"', '`') AND length(n3) > 1) OR ("
+    + _IDENTIFIER.format("n2") + " AND ((n3 = '==' AND left(n4, 1) IN ('\"', '`') AND length(n4) > 1) OR (" + _IDENTIFIER.format("n3")
+    + " AND n4 = '==' AND left(n5, 1) IN ('\"', '`') AND length(n5) > 1))))",
+]
+
+
 def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     path = F.concat(

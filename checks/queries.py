@@ -437,6 +437,40 @@ def _(spark, sf):
     return done.findings.select("file_path", "title", "severity", "start_line")
 
 
+_OWN_TOKENS = (corpus.TOKEN_RULES, corpus.TOKEN_RULE_TESTS)
+
+
+@query(
+    "token_scan_user_rules",
+    BASE + ", " + sql.static_sql("source_files", token_rules=_OWN_TOKENS)
+    + f" SELECT {FINDING} FROM user_findings",
+)
+def _(spark, sf):
+    rules, _ = rules_table.read_token_rules(spark.createDataFrame(corpus.TOKEN_RULES, schemas.RULES))
+    return no_ord(scan.token_scan(corpus.source_files(spark, sf), [rule[0] for rule in rules], rules))
+
+
+@query(
+    "risk_score_token_rules",
+    BASE + ", " + sql.static_sql("source_files", token_rules=_OWN_TOKENS) + ", " + sql.risk_sql("source_files")
+    + f" SELECT {_SCORED} FROM scored",
+)
+def _(spark, sf):
+    return risk.scanned_files(corpus.source_files(spark, sf), token_rules=corpus.TOKEN_RULES).drop("hits")
+
+
+@query(
+    "scan_token_rules",
+    CHOSEN + ", " + sql.static_sql("chosen", token_rules=_OWN_TOKENS) + ", " + sql.merge_sql()
+    + " SELECT file_path, title, severity, start_line FROM merged",
+)
+def _(spark, sf):
+    done = scans.scan_static_only(
+        corpus.source_files(spark, sf), "deep", ignore=catalog.STARTER_IGNORE, token_rules=corpus.TOKEN_RULES
+    )
+    return done.findings.select("file_path", "title", "severity", "start_line")
+
+
 @query(
     "select_high_risk",
     CHOSEN_STATIC + ", " + sql.risk_sql("chosen") + f" SELECT {_SCORED} FROM scored WHERE risk_score > 50",

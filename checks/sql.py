@@ -175,9 +175,27 @@ def ast_sql(source: str, rule_ids: list[str] | None = None, name: str = "ast_fin
   WHERE d.tok = '_' OR d.tok = 'rand' OR contains(lower(d.tok), 'passw')), {name} AS ({union})"""
 
 
-def static_sql(source: str, limited: bool = False, rules: list[tuple] = catalog.LINE_RULES) -> str:
-    return f"""{regex_sql(source, limited=limited, rules=rules)}, {ast_sql(source)}, findings AS (
-  SELECT * FROM regex_findings UNION ALL SELECT * FROM ast_findings)"""
+def user_token_sql(source: str, rules: list[tuple], tests: list[str], name: str = "user_findings") -> str:
+    """Findings of token rules of a user; needs the ``tokens`` of ``ast_sql``."""
+    w = "OVER (PARTITION BY project, path ORDER BY tok_idx)"
+    after = ", ".join(f"lead(tok, {k}) {w} AS n{k}" for k in range(1, 6))
+    parts = [
+        _finding_select(
+            rule, "ast", "line", "string_split(content, chr(10))[line]", f"2 AS stage, CAST({n} AS BIGINT) AS a, line * 2147483648 + tok_idx AS b",
+            f"beside JOIN (SELECT project AS p, path AS q, content FROM {source}) ON p = project AND q = path", test,
+        )
+        for n, (rule, test) in enumerate(zip(rules, tests, strict=True), start=4)
+    ]
+    return f"beside AS (SELECT *, lag(tok) {w} AS p1, {after} FROM tokens), {name} AS (" + "\n  UNION ALL ".join(parts) + ")"
+
+
+def static_sql(
+    source: str, limited: bool = False, rules: list[tuple] = catalog.LINE_RULES, token_rules: tuple[list[tuple], list[str]] | None = None
+) -> str:
+    own = f", {user_token_sql(source, *token_rules)}" if token_rules else ""
+    also = " UNION ALL SELECT * FROM user_findings" if token_rules else ""
+    return f"""{regex_sql(source, limited=limited, rules=rules)}, {ast_sql(source)}{own}, findings AS (
+  SELECT * FROM regex_findings UNION ALL SELECT * FROM ast_findings{also})"""
 
 
 def profile_sql(source: str) -> str:

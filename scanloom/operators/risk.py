@@ -53,17 +53,18 @@ def with_risk_score(profile: DataFrame) -> DataFrame:
 
 def scanned_files(
     files: DataFrame, regex_enabled: bool = True, ast_enabled: bool = True, keep_content: bool = False,
-    rules: list[tuple] | None = None,
+    rules: list[tuple] | None = None, token_rules: list[tuple] | None = None,
 ) -> DataFrame:
     """One row per file with profile, static hits and risk score.
 
     The static findings of a file come from its own row, so the score needs no join and no shuffle.
     """
-    hit_rows = with_content_flags(with_static_hits(with_lower(files), regex_enabled, ast_enabled, rules=rules))
+    hit_rows = with_content_flags(with_static_hits(with_lower(files), regex_enabled, ast_enabled, rules=rules, token_rules=token_rules))
+    own = [*(rules or []), *(token_rules or [])]
     weight = F.aggregate(
         "hits",
         F.lit(0).cast("bigint"),
-        lambda total, hit: total + severity_weight(rule_value(hit["rule_id"], "severity", rules)).cast("bigint"),
+        lambda total, hit: total + severity_weight(rule_value(hit["rule_id"], "severity", own)).cast("bigint"),
     )
     profile = (
         hit_rows.withColumn("language", language_of(F.col("path")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from scanloom import schemas
 from scanloom.functions import catalog
 from scanloom.functions.patterns import java_line_pattern
+from scanloom.functions.token_patterns import token_regex
 from scanloom.operators.lines import with_line_hits
 from scanloom.operators.rule_index import required_texts, with_indexed_hits
 from scanloom.operators.scan import findings_of, union_finding_groups
@@ -24,7 +26,7 @@ def rule_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"position int, {schemas.RULES}")
 
 
-def read_rules(rules: DataFrame) -> tuple[list[tuple], dict[str, str]]:
+def read_rules(rules: DataFrame, read: Callable[[str, str], str] = java_line_pattern) -> tuple[list[tuple], dict[str, str]]:
     """Rules of a table in the form the scans take, and what is wrong with the others, by rule id.
 
     They are ordered by ``position`` if there is such a column, else by rule id. Missing texts are empty. A rule whose id
@@ -35,7 +37,7 @@ def read_rules(rules: DataFrame) -> tuple[list[tuple], dict[str, str]]:
     good: list[tuple] = []
     wrong: dict[str, str] = {}
     taken = {rule[0] for rule in catalog.LINE_RULES + catalog.TOKEN_RULES} | {""}
-    for number, (rule, error) in enumerate(_checked(rules), start=1):
+    for number, (rule, error) in enumerate(_checked(rules, read), start=1):
         own = rule if rule[0] not in taken else (f"#{number}", *rule[1:])
         if error:
             wrong[rule[0] if rule[0] not in wrong else f"#{number}"] = error
@@ -45,7 +47,12 @@ def read_rules(rules: DataFrame) -> tuple[list[tuple], dict[str, str]]:
     return good, wrong
 
 
-def _checked(rules: DataFrame) -> list[tuple[tuple, str]]:
+def read_token_rules(rules: DataFrame) -> tuple[list[tuple], dict[str, str]]:
+    """The same for token rules, whose patterns are those of ``functions.token_patterns``."""
+    return read_rules(rules, lambda pattern, _: token_regex(pattern))
+
+
+def _checked(rules: DataFrame, read: Callable[[str, str], str] = java_line_pattern) -> list[tuple[tuple, str]]:
     """All rules of a table in their order, each with what is wrong with its pattern; that is empty for most."""
     compile_pattern = rules.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
     order = [c for c in ("position", "rule_id") if c in rules.columns]
@@ -55,7 +62,7 @@ def _checked(rules: DataFrame) -> list[tuple[tuple, str]]:
         try:
             if not rule[3]:
                 raise ValueError("no pattern")
-            compile_pattern(java_line_pattern(rule[3], rule[0]))
+            compile_pattern(read(rule[3], rule[0]))
         except Exception as error:  # the reader's own errors and those of the pattern compiler
             wrong = (str(getattr(error, "java_exception", error)).splitlines() or [type(error).__name__])[0]
         out.append((rule, wrong))

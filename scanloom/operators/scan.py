@@ -17,12 +17,12 @@ from scanloom.operators.tokens import with_token_hits
 
 def with_static_hits(
     files: DataFrame, regex_enabled: bool = True, ast_enabled: bool = True, rule_ids: list[str] | None = None,
-    line_byte_limit: int | None = None, rules: list[tuple] | None = None,
+    line_byte_limit: int | None = None, rules: list[tuple] | None = None, token_rules: list[tuple] | None = None,
 ) -> DataFrame:
     """Adds ``hits``, all static matches of a file in merge order. One narrow pass over the content.
 
     The two engines fail apart from each other: a file the line rules give up on keeps its token hits. ``rules`` are
-    line rules beside the built-in ones.
+    line rules and ``token_rules`` token rules beside the built-in ones.
     """
     line_ids = {rule[0] for rule in catalog.LINE_RULES} | {rule[0] for rule in rules or []}
     parts = []
@@ -30,8 +30,9 @@ def with_static_hits(
     if regex_enabled and (rule_ids is None or line_ids & set(rule_ids)):
         out = with_line_hits(out, rule_ids, line_byte_limit, rules)
         parts.append("line_hits")
-    if ast_enabled and (rule_ids is None or any(r.startswith("AST") for r in rule_ids)):
-        out = with_token_hits(out, rule_ids)
+    token_ids = {rule[0] for rule in catalog.TOKEN_RULES} | {rule[0] for rule in token_rules or []}
+    if ast_enabled and (rule_ids is None or token_ids & set(rule_ids)):
+        out = with_token_hits(out, rule_ids, token_rules)
         parts.append("token_hits")
     hits = F.concat(*[F.col(p) for p in parts]) if parts else F.array().cast(HITS)
     return out.withColumn("hits", hits).drop(*parts)
@@ -108,14 +109,14 @@ def _dealt(
 
 def static_scan(
     files: DataFrame, regex_enabled: bool = True, ast_enabled: bool = True, line_byte_limit: int | None = None,
-    rules: list[tuple] | None = None, giant_bytes: int | None = None, folder: str | None = None,
+    rules: list[tuple] | None = None, token_rules: list[tuple] | None = None, giant_bytes: int | None = None, folder: str | None = None,
 ) -> DataFrame:
-    """Findings of all enabled rules, and of ``rules``, line rules with the columns of the catalog.
+    """Findings of all enabled rules, and of ``rules`` and ``token_rules``, line and token rules with the columns of the catalog.
 
     Files of ``giant_bytes`` or more are cut into segments that are dealt to many tasks and staged in ``folder``.
     """
-    hits = lambda table: with_static_hits(table, regex_enabled, ast_enabled, line_byte_limit=line_byte_limit, rules=rules)
-    return findings_of(_dealt(files, hits, giant_bytes, folder, line_byte_limit), rules)
+    hits = lambda table: with_static_hits(table, regex_enabled, ast_enabled, None, line_byte_limit, rules, token_rules)
+    return findings_of(_dealt(files, hits, giant_bytes, folder, line_byte_limit), [*(rules or []), *(token_rules or [])])
 
 
 def regex_scan(
@@ -128,11 +129,12 @@ def regex_scan(
 
 
 def token_scan(
-    files: DataFrame, rule_ids: list[str] | None = None, giant_bytes: int | None = None, folder: str | None = None
+    files: DataFrame, rule_ids: list[str] | None = None, token_rules: list[tuple] | None = None, giant_bytes: int | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Findings of the token rules, or of some of them."""
-    hits = lambda table: with_token_hits(table, rule_ids).withColumnRenamed("token_hits", "hits")
-    return findings_of(_dealt(files, hits, giant_bytes, folder))
+    """Findings of the token rules, or of some of them, and of ``token_rules``."""
+    hits = lambda table: with_token_hits(table, rule_ids, token_rules).withColumnRenamed("token_hits", "hits")
+    return findings_of(_dealt(files, hits, giant_bytes, folder), token_rules)
 
 
 def with_finding_id(findings: DataFrame) -> DataFrame:

@@ -12,11 +12,15 @@ an index or call that spans lines is reported on the line of its last part.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import catalog
 from scanloom.functions.text import count_newlines
+from scanloom.functions.token_patterns import needed_token, token_regex
 from scanloom.operators.lines import HITS
 from scanloom.operators.segments import file_segments, is_giant
 
@@ -36,7 +40,8 @@ LEXER = (
 
 _GAP = r"[ \n]+"
 _WEAK_RANDOM, _EMPTY_PASSWORD, _IGNORED_ERROR = "\u0001", "\u0002", "\u0003"
-_MARKS = _WEAK_RANDOM + _EMPTY_PASSWORD + _IGNORED_ERROR
+_USER = "\u0004"
+_MARKS = _WEAK_RANDOM + _EMPTY_PASSWORD + _IGNORED_ERROR + _USER
 
 
 def _is_comment(token: Column) -> Column:
@@ -215,67 +220,91 @@ _RULES = [
 ]
 
 
-def with_token_hits(files: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
+def with_token_hits(files: DataFrame, rule_ids: list[str] | None = None, token_rules: list[tuple] | None = None) -> DataFrame:
     """Adds ``token_hits``: matches of the token rules, by rule and then by position.
 
     One hit per matching node, so two calls on one line count twice in the risk of the file and become one row
-    when findings are merged.
+    when findings are merged. ``token_rules`` come after the built-in ones and have the columns of the catalog, with a
+    pattern of ``functions.token_patterns``.
     """
     rules = [(n, *r) for n, r in enumerate(_RULES, start=1) if rule_ids is None or r[0] in rule_ids]
-    content = F.col("content")
-    wanted = is_go(F.col("path")) & content.rlike("|".join(f"(?:{r[4]})" for r in rules))
-    out = files.withColumn("_code", F.when(wanted, _code_text(content)))
-    for _, _, _, mark, _, _ in rules:
-        out = out.withColumn("_code", mark(F.col("_code")))
-    code = F.col("_code")
-    if any(r[2] == _IGNORED_ERROR for r in rules):
-        grouped = code.rlike(rf" (?:var|const|type){_GAP}\( ") & F.contains(code, F.lit(_IGNORED_ERROR))
-        out = out.withColumn("_code", F.when(grouped, _without_group_members(code)).otherwise(code))
-    found = F.col("_code").rlike(f"[{_MARKS}]")
-    lines = F.arrays_zip(F.split("_code", "\n", -1).alias("code"), F.split("content", "\n", -1).alias("text"))
-    numbered = F.transform(
-        lines, lambda l, i: F.struct(l["code"].alias("code"), l["text"].alias("text"), (i + 1).alias("line"))
-    )
-    out = out.withColumn("_lines", F.when(found, F.filter(numbered, lambda l: l["code"].rlike(f"[{_MARKS}]"))))
-
-    kinds = F.array(
-        *[
-            F.struct(
-                F.lit(number).cast("bigint").alias("number"), F.lit(rule_id).alias("rule_id"),
-                F.lit(marker).alias("marker"), F.lit(quoted).alias("quoted"),
-            )
-            for number, rule_id, marker, _, _, quoted in rules
-        ]
-    )
-
-    def on_line(rule: Column, line: Column) -> Column:
-        """One hit per mark of the rule on the line."""
-        marks = F.length(line["code"]) - F.length(F.replace(line["code"], rule["marker"], F.lit("")))
-        line_no = line["line"].cast("bigint")
-        return F.transform(
-            F.sequence(F.lit(1), marks),
-            lambda k: F.struct(
-                F.lit(catalog.SOURCE_STAGE["ast"]).alias("stage"),
-                rule["number"].alias("a"),
-                (line_no * (1 << 31) + k).alias("b"),
-                line_no.alias("line"),
-                rule["rule_id"].alias("rule_id"),
-                F.when(rule["quoted"], line["text"]).otherwise(F.lit("")).alias("snippet"),
-            ),
+    own = [
+        (n, r[0], token_regex(r[3]), needed_token(r[3]))
+        for n, r in enumerate(token_rules or [], start=len(_RULES) + 1) if rule_ids is None or r[0] in rule_ids
+    ]
+    content, text = F.col("content"), F.col("_text")
+    go = is_go(F.col("path"))
+    out, arrays = files, []
+    hinted = content.rlike("|".join(f"(?:{r[4]})" for r in rules)) if rules else F.lit(False)
+    if own:
+        asked = [F.contains(content, F.lit(needed)) if needed else F.lit(True) for _, _, _, needed in own]
+        out = out.withColumn("_text", F.when(go & reduce(or_, [hinted, *asked]), _code_text(content)))
+        arrays += [_user_hits(*rule, text, content) for rule in own]
+    if rules:
+        out = out.withColumn("_code", F.when(go & hinted, text if own else _code_text(content)))
+        for _, _, _, mark, _, _ in rules:
+            out = out.withColumn("_code", mark(F.col("_code")))
+        code = F.col("_code")
+        if any(r[2] == _IGNORED_ERROR for r in rules):
+            grouped = code.rlike(rf" (?:var|const|type){_GAP}\( ") & F.contains(code, F.lit(_IGNORED_ERROR))
+            out = out.withColumn("_code", F.when(grouped, _without_group_members(code)).otherwise(code))
+        out = out.withColumn("_lines", F.when(F.col("_code").rlike(f"[{_MARKS}]"), _marked_lines(F.col("_code"), content)))
+        kinds = F.array(
+            *[
+                F.struct(
+                    F.lit(number).cast("bigint").alias("number"), F.lit(rule_id).alias("rule_id"),
+                    F.lit(marker).alias("marker"), F.lit(quoted).alias("quoted"),
+                )
+                for number, rule_id, marker, _, _, quoted in rules
+            ]
         )
-
-    hits = F.flatten(
-        F.transform(
+        by_rule = F.transform(
             kinds,
             lambda rule: F.flatten(
                 F.transform(
-                    F.filter(F.col("_lines"), lambda line: F.contains(line["code"], rule["marker"])),
-                    lambda line: on_line(rule, line),
+                    F.filter(F.col("_lines"), lambda line: F.contains(line["code"], rule["marker"])), lambda line: _line_hits(rule, line)
                 )
             ),
         )
-    )
+        arrays.insert(0, F.flatten(by_rule))
     empty = F.array().cast(HITS)
-    return out.withColumn("token_hits", F.when(F.col("_lines").isNotNull(), hits).otherwise(empty)).drop(
-        "_code", "_lines"
+    hits = F.concat(*[F.coalesce(a, empty) for a in arrays]) if arrays else empty
+    return out.withColumn("token_hits", hits).drop("_code", "_lines", "_text")
+
+
+def _marked_lines(code: Column, content: Column) -> Column:
+    """Lines of a marked code text that hold a mark, with the source line and its number."""
+    lines = F.arrays_zip(F.split(code, "\n", -1).alias("code"), F.split(content, "\n", -1).alias("text"))
+    numbered = F.transform(
+        lines, lambda l, i: F.struct(l["code"].alias("code"), l["text"].alias("text"), (i + 1).alias("line"))
+    )
+    return F.filter(numbered, lambda l: l["code"].rlike(f"[{_MARKS}]"))
+
+
+def _line_hits(rule: Column, line: Column) -> Column:
+    """One hit per mark of the rule on the line."""
+    marks = F.length(line["code"]) - F.length(F.replace(line["code"], rule["marker"], F.lit("")))
+    line_no = line["line"].cast("bigint")
+    return F.transform(
+        F.sequence(F.lit(1), marks),
+        lambda k: F.struct(
+            F.lit(catalog.SOURCE_STAGE["ast"]).alias("stage"),
+            rule["number"].alias("a"),
+            (line_no * (1 << 31) + k).alias("b"),
+            line_no.alias("line"),
+            rule["rule_id"].alias("rule_id"),
+            F.when(rule["quoted"], line["text"]).otherwise(F.lit("")).alias("snippet"),
+        ),
+    )
+
+
+def _user_hits(number: int, rule_id: str, regex: str, needed: str, text: Column, content: Column) -> Column:
+    """Hits of one rule of a user, marked in a code text of its own; null without any."""
+    found = text.rlike(regex)
+    if needed:
+        found = F.contains(content, F.lit(needed)) & found
+    rule = F.struct(
+        F.lit(number).cast("bigint").alias("number"), F.lit(rule_id).alias("rule_id"), F.lit(_USER).alias("marker"), F.lit(True).alias("quoted")
     )
+    marked = F.when(found, _marked_lines(F.regexp_replace(text, regex, _USER), content))
+    return F.flatten(F.transform(marked, lambda line: _line_hits(rule, line)))

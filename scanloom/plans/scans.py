@@ -46,6 +46,10 @@ def choose(scanned: DataFrame, mode: str) -> DataFrame:
     return scanned if mode == "deep" else select_high_risk(scanned)
 
 
+def own_rules(rules: list[tuple] | None, token_rules: list[tuple] | None) -> list[tuple]:
+    return [*(rules or []), *(token_rules or [])]
+
+
 def finish(
     scanned: DataFrame, selected: DataFrame, mode: str, responses: DataFrame | None, provider: str, max_retries: int,
     rules: list[tuple] | None, staged: Staging,
@@ -71,18 +75,20 @@ def scan(
     ast_enabled: bool = True,
     max_retries: int = catalog.MAX_RETRIES,
     rules: list[tuple] | None = None,
+    token_rules: list[tuple] | None = None,
     folder: str | None = None,
 ) -> Scan:
     """Deep or smart scan; static only when no responses are given.
 
     The content is read once. What is kept of a file (profile, hits, score) is staged in ``folder``, and findings,
-    choice of files and summary all come from that slim table. ``rules`` are line rules beside the built-in ones.
+    choice of files and summary all come from that slim table. ``rules`` are line rules and ``token_rules`` token rules
+    beside the built-in ones.
     """
     check_full_mode(mode)
     staged = staging(files.sparkSession, folder)
     chosen = select_files(files, languages, ignore)
-    scanned = staged.stage(scanned_files(chosen, regex_enabled, ast_enabled, rules=rules))
-    return finish(scanned, choose(scanned, mode), mode, responses, provider, max_retries, rules, staged)
+    scanned = staged.stage(scanned_files(chosen, regex_enabled, ast_enabled, rules=rules, token_rules=token_rules))
+    return finish(scanned, choose(scanned, mode), mode, responses, provider, max_retries, own_rules(rules, token_rules), staged)
 
 
 def scan_static_only(files: DataFrame, mode: str = "smart", **options) -> Scan:
@@ -99,10 +105,11 @@ def prompts_for(
     regex_enabled: bool = True,
     ast_enabled: bool = True,
     rules: list[tuple] | None = None,
+    token_rules: list[tuple] | None = None,
 ) -> DataFrame:
     """Prompts for the files a scan with the same options sends to the model, made in the pass that scores them."""
-    scanned = scanned_files(select_files(files, languages, ignore), regex_enabled, ast_enabled, keep_content=True, rules=rules)
-    return build_prompts(choose(scanned, check_full_mode(mode)), max_tokens, temperature, rules)
+    scanned = scanned_files(select_files(files, languages, ignore), regex_enabled, ast_enabled, True, rules, token_rules)
+    return build_prompts(choose(scanned, check_full_mode(mode)), max_tokens, temperature, own_rules(rules, token_rules))
 
 
 def scan_with_model(
@@ -118,6 +125,7 @@ def scan_with_model(
     ast_enabled: bool = True,
     max_retries: int = catalog.MAX_RETRIES,
     rules: list[tuple] | None = None,
+    token_rules: list[tuple] | None = None,
     folder: str | None = None,
 ) -> Scan:
     """Scan with a caller-supplied model step ``prompts -> responses``.
@@ -127,19 +135,19 @@ def scan_with_model(
     """
     check_full_mode(mode)
     staged = staging(files.sparkSession, folder)
-    scanned = scanned_files(select_files(files, languages, ignore), regex_enabled, ast_enabled, keep_content=True, rules=rules)
+    scanned = scanned_files(select_files(files, languages, ignore), regex_enabled, ast_enabled, True, rules, token_rules)
     if mode != "deep":
         risky = F.col("risk_score") > catalog.HIGH_RISK
         scanned = scanned.withColumn("content", F.when(risky, F.col("content")))
     scanned = staged.stage(scanned)
     selected = choose(scanned, mode)
-    responses = staged.stage(ask(build_prompts(selected, max_tokens, temperature, rules)))
-    return finish(scanned.drop("content"), selected.drop("content"), mode, responses, provider, max_retries, rules, staged)
+    responses = staged.stage(ask(build_prompts(selected, max_tokens, temperature, own_rules(rules, token_rules))))
+    return finish(scanned.drop("content"), selected.drop("content"), mode, responses, provider, max_retries, own_rules(rules, token_rules), staged)
 
 
 def scan_diff(
     files: DataFrame, listings: DataFrame, provider: str = "", regex_enabled: bool = True, ast_enabled: bool = True,
-    rules: list[tuple] | None = None, folder: str | None = None,
+    rules: list[tuple] | None = None, token_rules: list[tuple] | None = None, folder: str | None = None,
 ) -> Scan:
     """Static scan of the changed files alone: no ignore rules, no languages, no model.
 
@@ -148,7 +156,7 @@ def scan_diff(
     staged = staging(files.sparkSession, folder)
     changed = read_changed_files(listings)
     touched = join_changed_files(files, changed)
-    merged = staged.stage(merge_findings(static_scan(touched, regex_enabled, ast_enabled, rules=rules), has_model_rows=False))
+    merged = staged.stage(merge_findings(static_scan(touched, regex_enabled, ast_enabled, rules=rules, token_rules=token_rules), has_model_rows=False))
     projects = listings.select("project").distinct()
     summary = scan_summary(changed, merged, "diff", provider)
     blank = {"scan_mode": "diff", "llm_provider": provider}
