@@ -159,51 +159,78 @@ def _mark_ignored_error(code: Column) -> Column:
     return F.regexp_replace(declared, begin + targets + operator, f"$1{_IGNORED_ERROR}$2")
 
 
+# Events of a file that are taken together when group members are looked for.
+_TOGETHER = 512
+
+
 def _without_group_members(marked: Column) -> Column:
     """Takes the marks off the members of ``var ( ... )``, ``const ( ... )`` and ``type ( ... )`` groups.
 
-    One pass over brackets, group openings and marks keeps the bracket depths and the open groups. A mark is a
-    declaration when the innermost open group has the brace depth of the mark; inside a function literal in a
-    group the depth is greater, and the assignment counts.
+    Brackets, group openings and marks are walked twice, in runs of ``_TOGETHER``: first for the bracket depths and open
+    groups at the start of each run, then inside each run for its marks, so that no list grows with the file. A mark is a
+    declaration when the innermost open group has the brace depth of the mark; inside a function literal in a group the
+    depth is greater, and the assignment counts.
     """
-    events = F.regexp_extract_all(marked, F.lit(rf" (?:var|const|type){_GAP}\( |[(){{}}{_IGNORED_ERROR}]"), 0)
     no_groups = F.array().cast("array<struct<paren:int,brace:int>>")
-    start = F.struct(
-        F.lit(0).alias("paren"), F.lit(0).alias("brace"), no_groups.alias("groups"),
-        F.lit(0).alias("mark"), F.array().cast("array<int>").alias("members"),
-    )
 
-    def step(state: Column, event: Column) -> Column:
-        paren, brace, groups = state["paren"], state["brace"], state["groups"]
+    def state(paren: Column, brace: Column, groups: Column) -> Column:
+        return F.struct(paren.alias("paren"), brace.alias("brace"), groups.alias("groups"))
+
+    def step(at: Column, event: Column) -> Column:
+        paren, brace, groups = at["paren"], at["brace"], at["groups"]
         opens = F.startswith(event, F.lit(" "))
-        is_mark = event == _IGNORED_ERROR
         size = F.size(groups)
         inner = F.get(groups, size - 1)
         new_paren = paren + F.when(opens | (event == "("), 1).when(event == ")", -1).otherwise(0)
         new_brace = brace + F.when(event == "{", 1).when(event == "}", -1).otherwise(0)
         closes = (event == ")") & (size > 0) & (inner["paren"] == new_paren) & (inner["brace"] == brace)
         here = F.array(F.struct(paren.alias("paren"), brace.alias("brace")))
-        member = is_mark & (size > 0) & (inner["brace"] == brace)
-        mark = state["mark"] + F.when(is_mark, 1).otherwise(0)
+        return state(
+            new_paren, new_brace,
+            F.when(opens, F.concat(groups, here)).when(closes, F.slice(groups, F.lit(1), size - 1)).otherwise(groups),
+        )
+
+    def judge(at: Column, event: Column) -> Column:
+        now = at["now"]
+        size = F.size(now["groups"])
+        member = (size > 0) & (F.get(now["groups"], size - 1)["brace"] == now["brace"])
+        is_mark = event == _IGNORED_ERROR
         return F.struct(
-            new_paren.alias("paren"),
-            new_brace.alias("brace"),
-            F.when(opens, F.concat(groups, here)).when(closes, F.slice(groups, F.lit(1), size - 1))
-            .otherwise(groups).alias("groups"),
-            mark.alias("mark"),
-            F.when(member, F.concat(state["members"], F.array(mark))).otherwise(state["members"]).alias("members"),
+            F.when(is_mark, now).otherwise(step(now, event)).alias("now"),
+            F.when(is_mark, F.concat(at["members"], F.array(member))).otherwise(at["members"]).alias("members"),
         )
 
-    members = F.aggregate(events, start, step, lambda state: state["members"])
+    events = F.regexp_extract_all(marked, F.lit(rf" (?:var|const|type){_GAP}\( |[(){{}}{_IGNORED_ERROR}]"), 0)
+    cut = F.transform(
+        F.array(events),
+        lambda all_: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _TOGETHER).cast("int")),
+            lambda k: F.slice(all_, k * _TOGETHER + 1, F.lit(_TOGETHER)),
+        ),
+    )
+    begin = state(F.lit(0), F.lit(0), no_groups)
+    unstarted = F.array().cast("array<struct<paren:int,brace:int,groups:array<struct<paren:int,brace:int>>>>")
+    starts = lambda runs: F.aggregate(
+        runs,
+        F.struct(begin.alias("now"), unstarted.alias("starts")),
+        lambda at, run: F.struct(
+            F.aggregate(run, at["now"], step).alias("now"), F.concat(at["starts"], F.array(at["now"])).alias("starts")
+        ),
+        lambda at: at["starts"],
+    )
+    of_run = lambda run, at: F.aggregate(
+        run, F.struct(at.alias("now"), F.array().cast("array<boolean>").alias("members")), judge, lambda done: done["members"]
+    )
+    members = F.transform(cut, lambda runs: F.flatten(F.zip_with(runs, starts(runs), of_run)))
     # The piece after mark k is element k of the split, counted from 0.
-    both = F.array(F.struct(F.split(marked, _IGNORED_ERROR, -1).alias("pieces"), members.alias("members")))
+    both = F.array(F.struct(F.split(marked, _IGNORED_ERROR, -1).alias("pieces"), F.get(members, F.lit(0)).alias("members")))
     joined = F.transform(
         both,
         lambda x: F.array_join(
             F.transform(
                 x["pieces"],
                 lambda piece, k: F.when(
-                    (k == 0) | F.array_contains(x["members"], k), piece
+                    (k == 0) | F.get(x["members"], k - 1), piece
                 ).otherwise(F.concat(F.lit(_IGNORED_ERROR), piece)),
             ),
             "",

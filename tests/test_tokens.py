@@ -1,5 +1,7 @@
 """Token table and the three structural rules, with lines derived by hand."""
 
+import time
+
 from scanloom.operators import tokens
 from scanloom.operators.scan import token_scan
 
@@ -127,3 +129,17 @@ def test_long_lists_cost_no_more_than_their_length(files_of):
     assert hits(table) == {
         ("a.go", "A3"): [rows + 3], ("b.go", "A3"): [3 * rows + 7], ("c.go", "A3"): [rows + 1]
     }
+
+
+def test_many_members_of_a_group_take_time_by_their_number(spark, files_of):
+    """Runs of events are cut at any place: the rows don't depend on it, and 200,000 members take seconds."""
+    members = "var (\n" + "\tx, _ = f(a)\n" * 700 + "\tg = func() {\n\t\t_ = h()\n\t}\n" * 300 + ")\nfunc k() {\n\t_ = l()\n}\n"
+    found = [r.start_line for r in token_scan(files_of({"a.go": members}), ["AST003"]).orderBy("ord").collect()]
+    assert found == [703 + 3 * k for k in range(300)] + [1 + 700 + 900 + 3]
+    times = []
+    for n in (20_000, 200_000):
+        files = files_of({"a.go": "package x\nvar (\n" + "\t_ = f()\n" * n + ")\nfunc g() {\n\t_ = h()\n}\n"})
+        start = time.time()
+        assert [r.start_line for r in token_scan(files, ["AST003"]).collect()] == [n + 5]
+        times.append(time.time() - start)
+    assert times[1] < 40 * max(times[0], 0.5)
