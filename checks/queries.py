@@ -21,7 +21,7 @@ from scanloom.plans.staging import staging
 from scanloom.sinks import report
 from scanloom.sources.diffs import diff_hunk_ranges, read_changed_files
 from scanloom.sources.files import scan_source_files
-from scanloom.sources.responses import read_model_responses
+from scanloom.sources.responses import read_model_responses, unreadable_responses
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,6 +150,36 @@ def _(spark, sf):
     )
 
 
+@query(
+    "read_damaged_responses",
+    RESPONSES + """ SELECT project, path, provider, attempt, CASE WHEN cut THEN NULL ELSE status END AS status,
+      CASE WHEN cut THEN NULL ELSE md5(body) END AS digest FROM (SELECT *, (length(path) + attempt) % 7 = 0 AS cut FROM responses)""",
+)
+def _(spark, sf):
+    """A part of the lines lacks its end: they are failed attempts of the files they name."""
+    target = f"{staging(spark).root}/responses-{uuid.uuid4().hex}"
+    rows = corpus.model_responses(spark, sf)
+    line = F.to_json(F.struct(*rows.columns))
+    cut = (F.length("path") + F.col("attempt")) % 7 == 0
+    rows.select(F.when(cut, F.left(line, F.length(line) - 3)).otherwise(line).alias("value")).write.text(target)
+    return read_model_responses(spark, target).select(
+        "project", "path", "provider", "attempt", "status", F.md5("body").alias("digest")
+    )
+
+
+@query(
+    "unreadable_responses",
+    RESPONSES + " SELECT project, path, count(*) AS n FROM responses WHERE (length(path) + attempt) % 7 = 0 GROUP BY ALL",
+)
+def _(spark, sf):
+    target = f"{staging(spark).root}/responses-{uuid.uuid4().hex}"
+    rows = corpus.model_responses(spark, sf)
+    line = F.to_json(F.struct(*rows.columns))
+    cut = (F.length("path") + F.col("attempt")) % 7 == 0
+    rows.select(F.when(cut, F.left(line, F.length(line) - 3)).otherwise(line).alias("value")).write.text(target)
+    return unreadable_responses(spark, target).groupBy("project", "path").agg(F.sum("n").alias("n"))
+
+
 # ---- files -----------------------------------------------------------------
 
 

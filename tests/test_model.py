@@ -9,7 +9,7 @@ from scanloom.operators import model, scan
 from scanloom.operators.risk import scanned_files
 from scanloom.schemas import MODEL_RESPONSES
 from scanloom.sources.diffs import diff_hunk_ranges, read_changed_files
-from scanloom.sources.responses import read_model_responses
+from scanloom.sources.responses import read_model_responses, unreadable_responses
 
 ITEM = '{"title":"x","line_start":3,"line_end":4}'
 FENCED = f"```json\n[{ITEM}]\n```"
@@ -155,6 +155,20 @@ def test_responses_are_read_from_json(spark, tmp_path, responses_of):
     assert read_model_responses(spark, str(tmp_path / "r")).collect() == table.collect()
 
 
+def test_lines_that_can_not_be_read_are_failed_attempts(spark, tmp_path, responses_of):
+    good = [json.dumps({"project": "p", "path": p, "provider": "openai", "attempt": a, "status": 200, "body": body("openai", "[]")}) for p, a in (("a", 0), ("b", 1))]
+    cut = '{"project":"p","path":"x \\"y\\".go","provider":"openai","attempt":2,"status":200,"body":"{\\"choi'
+    lines = [good[0], cut, cut, '{"project":"p","path":"b","provider":"openai","attempt":0,"status":"many","body":1', "oops", '{"path":"a"', "", good[1]]
+    (tmp_path / "r.json").write_text("\n".join(lines) + "\n")
+    rows = read_model_responses(spark, str(tmp_path))
+    assert sorted((r.path, r.attempt, r.status) for r in rows.collect() if r.body is None) == [("b", 0, None), ('x "y".go', 2, None), ('x "y".go', 2, None)]
+    assert sorted(r.path for r in rows.collect() if r.body) == ["a", "b"]
+    assert [r.path for r in model.failed_model_files(rows).collect()] == ['x "y".go']
+    beside = {r.line: (r.project, r.path, r.n) for r in unreadable_responses(spark, str(tmp_path)).collect()}
+    assert beside == {cut: ("p", 'x "y".go', 2), lines[3]: ("p", "b", 1), "oops": (None, None, 1), '{"path":"a"': (None, "a", 1)}
+    assert all(r.file.endswith("r.json") for r in unreadable_responses(spark, str(tmp_path)).collect())
+
+
 def test_hunk_headers(spark):
     cases = {
         "@@ -1,2 +3,4 @@ func x": [(3, 6)],
