@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.operators import files as file_ops
+from scanloom.operators import filters
 from scanloom.operators import risk
 from scanloom.sources.files import read_contents, scan_source_files, source_files_from_table, source_tree
 
@@ -145,3 +146,19 @@ def test_any_table_serves_as_files(spark):
         one, F.lit("p"), F.col("id").cast("string"), F.lit("x")
     )
     assert named.columns == ["project", "path", "content"]
+
+
+def test_long_key_lists_drop_unlisted_rows_before_the_shuffle(spark):
+    table = spark.range(20_000).select(F.lit("p").alias("project"), F.concat(F.lit("f"), "id").alias("path"), F.repeat(F.lit("x"), F.lit(50)).alias("content"))
+    keys = spark.range(0, 30_000, 7).select(F.lit("p").alias("project"), F.concat(F.lit("f"), "id").alias("path")).unionByName(
+        spark.createDataFrame([(None, "f1"), ("p", None), ("q", "f2")], "project string, path string")
+    )
+    found = filters.keep_matching(table, keys, ["project", "path"], broadcast_bytes=0)
+    assert {r.path for r in found.collect()} == {f"f{n}" for n in range(0, 20_000, 7)}
+    some = filters.maybe_matching(table, keys, ["project", "path"], keys.count())
+    assert some.columns == table.columns and 2858 <= some.count() < 2858 + 0.15 * 20_000
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    content = [line for line in plan.splitlines() if "Exchange" in line and "content" in line]
+    assert not content and "BroadcastHashJoin" in plan
+    none = keys.where("project = 'zz'")
+    assert filters.maybe_matching(table, none, ["project", "path"], 0).count() == 0
