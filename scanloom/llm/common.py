@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,41 +26,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of local sessions that name none.
+_own: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local session without one gets a new temporary folder."""
+    """The folder named in ``spark.checkpoint.dir``, which all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.startswith("local["):
+        named = _own[0] if _own else None
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="scanloom-llm-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named.rstrip("/")
+
 
+def use_own_folder(spark: SparkSession) -> None:
+    """Gives local sessions that name no shared folder one of their own; for queries, the operators don't do it."""
+    if not _own and spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
+        _own.append(tempfile.mkdtemp(prefix="scanloom-llm-"))
 
-def stage(rows: DataFrame, name: str) -> DataFrame:
+
+def stage(rows: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``rows`` to the shared folder and reads them back: lineage is cut, lost executors cost only their part."""
     spark = rows.sparkSession
     target = f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(target)
+    rows.write.parquet(target, compression=codec)
     return spark.read.schema(rows.schema).parquet(target)
 
 
+def is_file_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` are rows of Parquet files as they stand there, at most with columns or rows left out."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.simpleString(1).endswith("] parquet")
+
+
+def fixed(docs: DataFrame) -> DataFrame:
+    """``docs``, written first unless they are rows of files: only those are the same rows each time they are read."""
+    return docs if is_file_scan(docs) else stage(docs, "rows")
+
+
 def row_key(docs: DataFrame) -> F.Column:
-    """A number for each row of ``docs`` that is the same each time it is read, however the files are split into tasks.
+    """A number for each row of files, the same each time it is read, however the files are split into tasks.
 
-    It is a 64-bit hash of the file and the place in it. Rows that come from no file are numbered by partition: they must
-    come in the same partitions each time, as those of a local table do.
+    It is a 64-bit hash of the file and the place in it.
     """
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-    except AnalysisException:
-        return F.monotonically_increasing_id()
+    if not is_file_scan(docs):
+        raise ValueError("rows that come from no file have no place; use fixed() first")
     return F.xxhash64("_metadata.file_path", "_metadata.row_index")
 
 
 def keyed(docs: DataFrame, **columns: F.Column | str) -> DataFrame:
-    """``columns`` of ``docs`` under new names with ``row_``, the row's key."""
+    """``columns`` of ``docs`` under new names with ``row_``, the row's key.
+
+    An operator that reads its input more than once passes it through ``fixed`` at its beginning.
+    """
+    docs = fixed(docs)
     named = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
     return docs.select(*named, row_key(docs).alias("row_"))
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import keyed, sql_words, stage
+from scanloom.llm.common import fixed, keyed, sql_words, stage
 
 #: Words of a window.
 WINDOW_WORDS = 10
@@ -185,6 +185,7 @@ def decontaminate(
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window of ``items`` occurs."""
+    docs = fixed(docs)
     found = decontaminate(docs, items, window, id_column, text_column).filter("contaminated").select("row_")
     rows = keyed(docs, doc=F.struct(*docs.columns))
     # Spark broadcasts the keys of the contaminated rows if the written table is small

@@ -8,8 +8,9 @@ a coordinate stayed empty.
 
 Documents that agree on all rows of a band meet in a bucket. In each bucket all are led by the one that most others
 of all its buckets agree with; each document is compared with its foremost leader, then with those leaders that it is
-not connected with yet. Buckets that still hold more than one component are then compared in blocks by
-their signatures, pairs of different components only. Links are verified on the shingles of both texts. Exact copies
+not connected with yet. Buckets that still hold more than one component are then compared in blocks, pairs of
+different components only, by their signatures and at once by all their shingles; a link found joins their components, so that
+a block gives fewer links than it has members. All links are verified on the shingles of both texts. Exact copies
 take part once. Classes are the connected components.
 
 A null text is an empty one. Texts without words are equal only to texts of the same characters; a text of one to four
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import Words, few_or_all, keyed, mix, stage, steps, text_bytes
+from scanloom.llm.common import Words, few_or_all, fixed, keyed, mix, stage, steps, text_bytes
 from scanloom.llm.components import components
 
 #: Words of a shingle, similarity of a link, bands and coordinates of a band: at 0.8, a link is missed with 0.0002.
@@ -35,7 +36,7 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 36, 7
 #: How far below the threshold an estimate may be for a pair to be verified, four standard deviations.
 MARGIN = 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS))
 #: Members of a block when buckets are compared in blocks, and bytes of text that a step takes at once.
-BLOCK, STEP = 256, 2 << 20
+BLOCK, STEP = 512, 2 << 20
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -173,59 +174,98 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return pairs.join(left, "a").join(right, "b").mapInArrow(compared, "a long, b long")
 
 
-def across_components(members: DataFrame, size: int, least: float) -> DataFrame:
-    """Pairs (a, b) of members of a bucket with different components whose signatures agree on ``least``.
+def shingle_sets(texts: DataFrame, shingle: int, counted: bool) -> DataFrame:
+    """node, elements: the sorted shingles of each text (row_, text); one that counts several times stands as so many."""
 
-    A pair that shares several buckets comes from the first of them alone.
-    ``members``: key, node, component, count (members of the bucket), signature, keys. A bucket is cut into blocks of about
-    ``BLOCK`` members and each pair of blocks is compared at one place, so that no group is larger than two blocks.
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", STEP):
+                values, weights, owner = weighted_shingles(Words(*text_bytes(part.column("text"))), shingle, counted)
+                times = weights.astype(np.int64)
+                level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                with np.errstate(over="ignore"):
+                    values = mix(np.repeat(values, times) + level.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+                owner = np.repeat(owner, times)
+                values = values[np.lexsort((values, owner))]
+                first = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                sets = [values[i:j].tobytes() for i, j in zip(first, first[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("row_"), pa.array(sets, pa.binary())], ["node", "elements"])
+
+    return texts.select("row_", "text").mapInArrow(listed, "node long, elements binary")
+
+
+def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets are similar."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common > 0 and common >= similarity * (len(both) - common) - 1e-9
+
+
+def across_components(members: DataFrame, size: int, least: float, similarity: float) -> DataFrame:
+    """Links (a, b) between members of a bucket with different components, such that each block of a bucket is connected as all
+    its similar pairs would connect it.
+
+    A pair that shares several buckets is compared in the first of them alone, and only if the signatures agree on ``least``.
+    ``members``: key, node, component, count (members of the bucket), signature, keys, elements. A bucket is cut into blocks of
+    about ``BLOCK`` members and each pair of blocks is compared at one place, so that no group is larger than two blocks.
     """
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature", "keys"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature", "keys", "elements"
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def pairs(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-            _, i, j = group[0][0]
+        def links(group: list[tuple]) -> list[tuple[int, int]]:
+            key, i, j = group[0][0]
             node, comp, own = (np.array([g[k] for g in group], np.int64) for k in (2, 3, 1))
-            if (comp == comp[0]).all():
-                return node[:0], node[:0]
+            comp = np.unique(comp, return_inverse=True)[1]
             sig = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(-1, size)
-            keys = np.stack([g[5] for g in group])
-            band = keys[0] == group[0][0][0]
-            out_a, out_b = [], []
+            keys = np.stack([g[6] for g in group])
+            band = keys[0] == key
+            sets = [np.frombuffer(g[5], np.uint64) for g in group]
+            out: list[tuple[int, int]] = []
             for x in range(len(group)):
+                if comp.max() == comp.min():
+                    break
                 later = np.arange(x + 1, len(group))
                 fit = later[(comp[later] != comp[x]) & ((own[later] != own[x]) if i != j else True)]
-                if len(fit):
-                    fit = fit[(sig[fit] == sig[x]).mean(axis=1) >= least]
-                    fit = fit[band[(keys[fit] == keys[x]).argmax(axis=1)]]
-                    out_a.append(np.full(len(fit), node[x]))
-                    out_b.append(node[fit])
-            return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (node[:0], node[:0])
-
-        def record(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+                if not len(fit):
+                    continue
+                agree = (sig[fit] == sig[x]).mean(axis=1)
+                near = agree >= least
+                fit, agree = fit[near], agree[near]
+                first = band[(keys[fit] == keys[x]).argmax(axis=1)]
+                fit, agree = fit[first], agree[first]
+                for y in fit[np.argsort(-agree, kind="stable")].tolist():
+                    if comp[y] != comp[x] and similar_sets(sets[x], sets[y], similarity):
+                        out.append((int(node[x]), int(node[y])))
+                        comp[comp == comp[y]] = comp[x]
+            return out
+
+        def record(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = ([f[k] for f in found] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             found = []
             keys = np.asarray(batch.column("keys").flatten()).reshape(batch.num_rows, -1) if batch.num_rows else []
-            plain = (batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "node", "component", "signature"))
+            plain = (batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "node", "component", "signature", "elements"))
             for row in zip(*plain, keys, strict=True):
                 place = row[:3]
                 if held and held[0][0] != place:
-                    found.append(pairs(held))
+                    found += links(held)
                     held = []
                 held.append((place, *row[3:]))
             yield record(found)
         if held:
-            yield record([pairs(held)])
+            yield record(links(held))
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compared, "a long, b long").distinct()
 
@@ -238,26 +278,28 @@ def classes(
 
     ``counted`` weighs a shingle by how often it occurs in a text, else each counts once.
     """
+    docs = fixed(docs)
     size = bands * rows
     least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / size)
     signed = sign(docs, bands, rows, shingle, counted, id_column, text_column)
-    copies = stage(signed.groupBy("digest").agg(F.min("row_").alias("node")), "copies")
-    nodes = signed.join(copies.select(F.col("node").alias("row_")), "row_", "left_semi")
+    # the first row of each text of several takes part for all
+    copies = stage(signed.groupBy("digest").agg(F.min("row_").alias("node"), F.count("*").alias("n")).filter("n > 1").select("digest", "node"), "copies")
+    marked = stage(signed.select("row_", "digest").join(few_or_all(copies), "digest").select("row_", "node"), "marked")
+    nodes = signed.join(few_or_all(marked.filter("row_ != node").select("row_")), "row_", "left_anti")
     # moved once; a bucket is never held, its members pass by its count
     in_bands = nodes.select(F.explode("keys").alias("key"), F.col("row_").alias("node"), "weight").repartition("key")
     counts = in_bands.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1")
     members = stage(in_bands.join(counts.hint("shuffle_hash"), "key"), "members")
     # the member that shares most with others stands for the bucket
-    standing = members.groupBy("node").agg(F.sum(F.log("count")).alias("standing"))
-    leaders = members.join(standing, "node").groupBy("key").agg(F.max(F.struct("standing", -F.col("node"), "node", "weight")).alias("leader"))
+    standing = stage(members.groupBy("node").agg(F.sum(F.log("count")).alias("standing")), "standing")
+    leaders = members.join(few_or_all(standing), "node").groupBy("key").agg(F.max(F.struct("standing", -F.col("node"), "node", "weight")).alias("leader"))
     led = stage(
-        members.join(leaders, "key").filter(F.col("node") != F.col("leader.node")).filter(
+        members.join(few_or_all(stage(leaders, "leaders")), "key").filter(F.col("node") != F.col("leader.node")).filter(
             F.least("weight", "leader.weight") >= similarity * F.greatest("weight", "leader.weight")
         ).groupBy(F.col("node").alias("a"), F.col("leader.node").alias("b")).agg(F.max("leader.standing").alias("standing")),
         "led",
     )
-    ids = stage(members.select(F.col("node").alias("row_")).distinct(), "ids")
-    held = stage(nodes.select("row_", "signature", "keys").join(ids, "row_"), "held")
+    held = stage(nodes.select("row_", "signature", "keys").join(few_or_all(standing.select(F.col("node").alias("row_"))), "row_"), "held")
     close = stage(similar_by_signature(led.select("a", "b"), held, size, least).join(led, ["a", "b"]), "close")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -273,25 +315,32 @@ def classes(
     apart = close.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
     links = stage(links.union(verified(apart, texts, shingle, similarity, counted)), "links")
     labels = components(links)
-    placed = members.join(labels, "node", "left").select("key", "node", "count", F.coalesce("component", "node").alias("component"))
+    placed = members.join(few_or_all(labels), "node", "left").select("key", "node", "count", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    open_rows = placed.join(open_keys, "key").join(held.withColumnRenamed("row_", "node"), "node")
-    more = stage(across_components(open_rows, size, least), "more")
-    links = stage(links.union(verified(more, texts_of(more), shingle, similarity, counted)), "links")
-    labels = components(links)
-    by_copy = copies.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("class_row"))
-    return signed.select("row_", "doc_id", "digest").join(by_copy, "digest").select("row_", "doc_id", "class_row")
+    open_rows = stage(placed.join(few_or_all(stage(open_keys, "open")), "key"), "open-rows")
+    open_nodes = few_or_all(stage(open_rows.select(F.col("node").alias("row_")).distinct(), "open-nodes"))
+    sets = shingle_sets(keyed(docs, text=F.coalesce(F.col(text_column), F.lit(""))).join(open_nodes, "row_"), shingle, counted)
+    known = stage(held.withColumnRenamed("row_", "node").join(sets, "node"), "sets")
+    more = stage(across_components(open_rows.join(known, "node"), size, least, similarity), "more")
+    if not more.isEmpty():
+        labels = components(stage(links.union(more), "links"))
+    named = signed.select("row_", "doc_id").join(few_or_all(marked), "row_", "left").withColumn("node", F.coalesce("node", "row_"))
+    return named.join(few_or_all(labels), "node", "left").select("row_", "doc_id", F.coalesce("component", "node").alias("class_row"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), class_size."""
     found = stage(classes(docs, id_column=id_column, text_column=text_column, **options), "classes")
-    sizes = found.groupBy("class_row").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return found.join(sizes, "class_row").select("doc_id", "class_id", "class_size")
+    sizes = found.groupBy("class_row").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    several = few_or_all(stage(sizes.filter("n > 1"), "sizes"))
+    return found.join(several, "class_row", "left").select(
+        "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n", F.lit(1)).alias("class_size")
+    )
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``docs`` with the first row (smallest id, then key) of each class and all columns."""
+    docs = fixed(docs)
     found = stage(classes(docs, id_column=id_column, text_column=text_column, **options), "classes")
     kept = found.groupBy("class_row").agg(F.min(F.struct("doc_id", "row_")).alias("first")).select(F.col("first.row_").alias("row_"))
     rows = keyed(docs, doc=F.struct(*docs.columns))

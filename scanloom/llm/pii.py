@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import keyed, stage
+from scanloom.llm.common import fixed, keyed, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. An address is read from its ``@`` on, a number from its first digit, so that long runs take linear time.
@@ -236,6 +236,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs``, every row and column of them, with the spans of the fixed patterns and the added ones replaced."""
+    docs = fixed(docs)
     found = extract(docs, F.lit(0), text_column)
     added = stage(found.filter("size(added) > 0").select("row_", "added"), "added")
     # Spark broadcasts the added spans if the written table is small

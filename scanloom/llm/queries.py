@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import decontaminate, divergence, fingerprint, html_text, infill, near_dup, pieces, pii, sharding, substring_dedup, suffix_dedup, toxicity, url_filter
-from scanloom.llm.common import table
+from scanloom.llm.common import table as read_table
+from scanloom.llm.common import use_own_folder
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    use_own_folder(spark)
+    return read_table(spark, sf_dir, name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

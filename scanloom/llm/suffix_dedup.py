@@ -261,9 +261,9 @@ def repeated_pieces(texts: DataFrame, length: int, gram: int, together: int, few
     else:  # anchors meet as numbers, and only texts with shared ones are moved
         wanted = found.join(shared, "anchor", "left_semi").groupBy("row_").agg(F.collect_list("anchor").alias("wanted"))
         held = pieces(texts.join(wanted, "row_").select("row_", "doc_id", "text", "wanted"), length, gram)
-    held = stage(held.select([c.split()[0] for c in PIECE.split(", ")]), "occurrences")
+    held = stage(held.select([c.split()[0] for c in PIECE.split(", ")]), "occurrences", "zstd")
 
-    strings = stage(held.groupBy("anchor", "digest", "lead", "piece").agg(F.min("doc_id").alias("doc_id")), "strings")
+    strings = stage(held.groupBy("anchor", "digest", "lead", "piece").agg(F.min("doc_id").alias("doc_id")), "strings", "zstd")
     sizes = stage(strings.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     some, many = sizes.filter(F.col("n") <= together).select("anchor"), sizes.filter(F.col("n") > together).select("anchor")
     groups = strings.join(few_or_all(some, few), "anchor").groupBy("anchor").agg(F.collect_list(F.struct("digest", "lead", "doc_id", "piece")).alias("pieces"))

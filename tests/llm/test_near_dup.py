@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -81,10 +82,13 @@ def test_blocks_find_pairs_across_components(spark, monkeypatch):
     signatures = rng.integers(0, 255, (30, 20), dtype=np.uint8)
     signatures[17] = signatures[3]
     signatures[29] = signatures[28]
+    signatures[11] = signatures[5]  # alike by signature only
+    elements = [np.arange(k * 50, k * 50 + 20, dtype=np.uint64) for k in range(30)]
+    elements[17] = elements[3] + np.uint64(1)  # 19 of 21
     # all share both buckets, 5 and 9
-    rows = [(b, k, k if k != 29 else 28, 30, signatures[k].tobytes(), [5, 9]) for k in range(30) for b in (5, 9)]
-    table = spark.createDataFrame(rows, "key long, node long, component long, count long, signature binary, keys array<long>")
-    assert [tuple(r) for r in n.across_components(table, 20, 0.9).collect()] == [(3, 17)]
+    rows = [(b, k, k if k != 29 else 28, 30, signatures[k].tobytes(), [5, 9], elements[k].tobytes()) for k in range(30) for b in (5, 9)]
+    table = spark.createDataFrame(rows, "key long, node long, component long, count long, signature binary, keys array<long>, elements binary")
+    assert [tuple(sorted(r)) for r in n.across_components(table, 20, 0.9, 0.8).collect()] == [(3, 17)]
 
 
 @pytest.mark.parametrize("similarity", [0.3, 0.6, 0.9])
@@ -115,3 +119,79 @@ def test_components(spark):
     assert {got[k] for k in range(100, 130)} == {100}
     assert got[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def reworded(words, share, rng):
+    """``words`` with single words replaced so that about ``share`` of the shingles are another's."""
+    out = list(words)
+    for k in range(0, len(out), max(1, round(5 / share))):
+        out[min(len(out) - 1, k + rng.randrange(3))] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def brute_classes(rows, similarity=0.8):
+    sets = []
+    for _, text in rows:
+        words = (text or "").split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = 0
+    for x in range(len(rows)):
+        for y in range(x):
+            common = len(sets[x] & sets[y])
+            if rows[x][1] == rows[y][1] or (common and common >= similarity * (len(sets[x]) + len(sets[y]) - common)):
+                parent[root(x)] = root(y)
+                links += 1
+    groups = {}
+    for x, (doc, _) in enumerate(rows):
+        groups.setdefault(root(x), []).append(doc)
+    return sorted(sorted(g) for g in groups.values()), links
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_groups_below_and_above_the_threshold_equal_brute_force(docs_of, prose, monkeypatch, block):
+    """Texts at 0.70 to 0.80 from each other stay apart unless they are linked, and give no rows by the square of their number."""
+    monkeypatch.setattr(n, "BLOCK", block)
+    rng = random.Random(3)
+    rows = []
+    for group, share in enumerate((0.13, 0.15, 0.2, 0.05, 0.08)):
+        base = prose(group, 150 + 30 * group).split()
+        rows += [(1000 * group + k, " ".join(reworded(base, share, rng))) for k in range(60)]
+    rows += [(9000 + k, rows[200][1]) for k in range(30)]
+    want, links = brute_classes(rows)
+    found = n.near_duplicates(docs_of(rows)).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.class_id, []).append(r.doc_id)
+    assert sorted(sorted(g) for g in got.values()) == want
+    assert all(r.class_size == len(got[r.class_id]) for r in found)
+    assert links > 1000 and len(want) > 60
+
+
+def test_a_block_gives_fewer_links_than_members(docs_of, prose, monkeypatch):
+    staged = {}
+    original = n.stage
+
+    def count(rows, name, *more):
+        out = original(rows, name, *more)
+        staged[name] = out
+        return out
+
+    monkeypatch.setattr(n, "stage", count)
+    rng = random.Random(5)
+    base = prose(50, 200).split()
+    rows = [(k, " ".join(reworded(base, 0.14, rng))) for k in range(150)]
+    n.near_duplicates(docs_of(rows)).count()
+    assert staged["open-rows"].count() > 500 and staged["more"].count() < 150
+
+
+def test_weighted_sets(spark):
+    a, b = (np.array(x, np.uint64) for x in ([1, 2, 3, 4], [2, 3, 4, 5]))
+    assert n.similar_sets(a, b, 0.6) and not n.similar_sets(a, b, 0.61) and not n.similar_sets(a[:0], b[:0], 0.5)
