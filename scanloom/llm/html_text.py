@@ -3,7 +3,9 @@
 Every run of text between block-level tags is a paragraph. It passes points, one and more for length and commas, to the
 containers above it, less with distance; a container's points are discounted by the share of its text that is links.
 The best container, widened to the article it stands in, is kept with those siblings that score or read like it. Menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by tag, role and name.
+headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by tag, role and name. A name
+alone doesn't decide: an element that holds most of the page's points stays, whatever it is called, if what is under no such
+name has next to none and no article.
 
 A null or empty page, or one without text, gives an empty text. Unclosed and misnested tags are closed where the next
 block begins, unclosed comments and scripts run to the end. Pages that are equal get equal texts. Columns beside the id,
@@ -50,11 +52,14 @@ DROP_NAMES = frozenset(
 )
 KEPT_TAGS = frozenset("html body main article".split())
 COMMENT_NAMES = frozenset("comment comments reply replies disqus".split())
+CAPTIONS = frozenset(("label", "fieldset", "legend"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_NAMES = frozenset(("header", "masthead"))
 OWN_POINTS = {"article": 25, "main": 15, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3}
 #: Characters from which a paragraph counts, for a point, and points for length at most.
 LEAST, POINT_CHARS, LENGTH_POINTS = 25, 100, 3
+#: Share of the page's points from which an element stays in spite of its name, if the elements under no name hold less than the other.
+MOST_POINTS, FEW_POINTS = 0.5, 0.2
 
 
 def name_parts(value: str) -> list[str]:
@@ -67,7 +72,8 @@ def name_parts(value: str) -> list[str]:
 
 
 def left_out(tag: str, attributes: str) -> str:
-    """Why an element isn't part of an article: "drop", "header" (of which headings stay inside an article) or ""."""
+    """Why an element isn't part of an article: "drop", "header" (of which headings stay inside an article), either with
+    "name" before it if nothing but its name says so, or ""."""
     values = {}
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -85,7 +91,12 @@ def left_out(tag: str, attributes: str) -> str:
     if tag in HEADINGS:
         return ""
     found = parts & DROP_NAMES
-    return "" if not found else "header" if found <= HEADER_NAMES else "drop"
+    return "" if not found else "name header" if found <= HEADER_NAMES else "drop" if found & COMMENT_NAMES else "name drop"
+
+
+def worth_of(text: str) -> float:
+    """Points of a paragraph."""
+    return 1 + text.count(",") + min(len(text) / POINT_CHARS, LENGTH_POINTS)
 
 
 class Page:
@@ -137,7 +148,8 @@ class Page:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
-            self.why.append(left_out(tag, attributes))
+            # the labels of a form go with it, those in an article are captions
+            self.why.append("" if tag in CAPTIONS and self.in_article[stack[-1]] else left_out(tag, attributes))
             self.in_article.append(self.in_article[stack[-1]] or tag in ("article", "main"))
             self.block.append(node if tag in BLOCK else self.block[stack[-1]])
             self.inline_drop.append(tag not in BLOCK and (bool(self.why[node]) or self.inline_drop[stack[-1]]))
@@ -193,8 +205,9 @@ class Page:
         for k in range(len(self.tag) - 1, 0, -1):
             holds_article[self.parent[k]] |= holds_article[k] or self.tag[k] in ("article", "main")
         state = [""] * len(self.tag)
+        stays = self.named_in_vain()
         for k in range(1, len(self.tag)):
-            why = self.why[k]
+            why = "" if k in stays else self.why[k].removeprefix("name ")
             if why == "drop" and self.tag[k] == "form" and holds_article[k]:
                 why = ""
             above = state[self.parent[k]]
@@ -204,6 +217,27 @@ class Page:
                 state[k] = "header"
         return [s == "" or (s == "header" and self.tag[k] in HEADINGS) for k, s in enumerate(state)]
 
+    def named_in_vain(self) -> set[int]:
+        """Elements with a name to be left out that hold most of the points of a page without text in an article beside them."""
+        shut, named = [False] * len(self.tag), [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            shut[k] = shut[self.parent[k]] or self.why[k] in ("drop", "header")
+            named[k] = named[self.parent[k]] or self.why[k].startswith("name")
+        points = [0.0] * len(self.tag)
+        unnamed = 0.0
+        for node, text, in_links in self.paragraphs:
+            if not shut[node] and not named[node] and self.in_article[node]:
+                return set()
+            if not shut[node] and len(text) >= LEAST and self.tag[node] not in HEADINGS:
+                worth = worth_of(text) * (1 - min(1.0, in_links / len(text)))
+                points[node] += worth
+                unnamed += 0.0 if named[node] else worth
+        for k in range(len(self.tag) - 1, 0, -1):
+            points[self.parent[k]] += points[k]
+        if unnamed >= FEW_POINTS * points[0]:
+            return set()
+        return {k for k, why in enumerate(self.why) if why.startswith("name") and points[k] > MOST_POINTS * points[0]}
+
     def text(self) -> str:
         kept = self.kept()
         paragraphs = [p for p in self.paragraphs if kept[p[0]]]
@@ -235,7 +269,7 @@ class Page:
             linked[node] += in_links
             if len(text) < least or self.tag[node] in HEADINGS:
                 continue
-            worth = 1 + text.count(",") + min(len(text) / POINT_CHARS, LENGTH_POINTS)
+            worth = worth_of(text)
             # text straight inside a container counts as a paragraph of it
             above, share = (node if has_block[node] else self.parent[node]), 1
             while above and share <= 3:

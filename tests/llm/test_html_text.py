@@ -55,3 +55,24 @@ def test_every_page_has_a_row(spark):
     got = sorted(((r.page_id, r.text, r.n_chars) for r in extract(pages).collect()), key=str)
     assert got == sorted([(1, TEXT, len(TEXT)), (1, "", 0), (None, "", 0)], key=str)
     assert extract(pages.filter("false")).count() == 0
+
+
+PARAGRAPHS = [f"This is paragraph {k} of an article, with commas, and with enough words to count as text." for k in range(5)]
+BODY_TEXT = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("name", [
+    "layout sidebar-right", "page menu-open", "container header-fixed", "post share-enabled", "main-widget", "two-col nav-left", "rail-layout",
+])
+def test_names_of_wrappers_do_not_drop_the_article(name):
+    assert main_text(f'<body><div class="{name}">{BODY_TEXT}</div></body>') == "\n\n".join(PARAGRAPHS)
+    inner = f'<div class="sidebar"><p>Side text, which is short and not of it.</p></div><div>{BODY_TEXT}</div>'
+    page = f'<body><div id="{name}">{inner}</div><div class="related"><p>Some other story, if you like this one.</p></div></body>'
+    assert main_text(page) == "\n\n".join(PARAGRAPHS)
+
+
+def test_names_count_beside_an_article():
+    advert = '<div class="ad">An advert that is much longer than the article, with commas, and more commas, and a stop.</div>'
+    assert main_text(f"<body>{advert}<article><h1>Short</h1><p>Few words.</article></body>") == "Short\n\nFew words."
+    assert main_text(f'<body><div class="comments">{BODY_TEXT}</div><p>Few words, but they are the text.</p></body>') == "Few words, but they are the text."
+    assert main_text(f"<article>{BODY_TEXT}<label>A caption</label><form><label>Your name</label></form></article>") == "\n\n".join([*PARAGRAPHS, "A caption"])
