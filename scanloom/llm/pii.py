@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import fixed, keyed, stage
+from scanloom.llm.common import fixed, keyed, stage, steps
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. An address is read from its ``@`` on, a number from its first digit, so that long runs take linear time.
@@ -88,8 +88,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def shape_of(value: str) -> str:
     """Runs of capitals, small letters and digits as A, a and 9; signs as they are."""
-    coarse = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"[A-Z]+", "A", value[:MOST_LENGTH])))
-    return re.sub(r"([Aa])(?:[Aa])+", "a", coarse)[:16]
+    coarse = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"[A-Z]+", "A", value)))
+    return value_of(re.sub(r"([Aa])(?:[Aa])+", "a", coarse))
 
 
 def value_of(text: str) -> str:
@@ -99,10 +99,31 @@ def value_of(text: str) -> str:
 
 def context(text: str, begin: int, end: int) -> tuple[str, str]:
     """The words before and the word after a place, lower-cased, numbers as 0; nothing across a line end."""
-    before = text[max(0, begin - 60) : begin].rpartition("\n")[2].lower().split()[-BEFORE:]
-    after = text[end : end + 40].partition("\n")[0].lower().split()[:1]
-    plain = lambda words: " ".join(re.sub(r"[0-9]+", "0", w.strip(EDGES)) for w in words)
-    return plain(before), plain(after)
+    plain = lambda words: " ".join(value_of(re.sub(r"[0-9]+", "0", w.lower().strip(EDGES))) for w in words)
+    return plain(words_before(text, begin, BEFORE)), plain(words_after(text, end, 1))
+
+
+def words_before(text: str, begin: int, count: int) -> list[str]:
+    """The last ``count`` words of the line before a place, whole, however long they are."""
+    reach = 64
+    while True:
+        low = max(0, begin - reach)
+        _, line_end, part = text[low:begin].rpartition("\n")
+        words = part.split()
+        if line_end or len(words) > count or not low or text[low - 1].isspace():
+            return words[-count:]
+        reach *= 2
+
+
+def words_after(text: str, end: int, count: int) -> list[str]:
+    """The first ``count`` words of the line behind a place."""
+    reach = 64
+    while True:
+        part, line_end, _ = text[end : end + reach].partition("\n")
+        words = part.split()
+        if line_end or len(words) > count or end + reach >= len(text) or part[-1:].isspace() and len(words) == count:
+            return words[:count]
+        reach *= 2
 
 
 def mentions(text: str) -> list[dict]:
@@ -144,8 +165,9 @@ def scan(docs: DataFrame, id_column: str | F.Column = "doc_id", text_column: str
         fields = [("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())] + [(n, pa.string()) for n in ("value", "before", "after", "shape")]
         kind = pa.list_(pa.struct(fields))
         for batch in batches:
-            read = pa.array([mentions(t or "") for t in batch.column("text").to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([batch.column("row_"), batch.column("doc_id"), read], ["row_", "doc_id", "mentions"])
+            for part in steps(batch, "text"):
+                read = pa.array([mentions(t or "") for t in part.column("text").to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([part.column("row_"), part.column("doc_id"), read], ["row_", "doc_id", "mentions"])
 
     return stage(rows.mapInArrow(found, f"row_ long, doc_id {dict(rows.dtypes)['doc_id']}, mentions array<{MENTION}>"), "mentions")
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from scanloom.llm import pii
 
 PATTERNS = {
@@ -100,3 +102,23 @@ def test_redact_keeps_rows_and_columns(docs_of, prose):
     assert out.columns == table.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "write [EMAIL]!"), (2, None), (3, "none"), (3, "none")], key=str)
     assert pii.redacted("0123456789", [(1, 4, "ip"), (2, 6, "card"), (8, 9, "phone")]) == "0[IP]67[PHONE]9"
+
+
+@pytest.mark.parametrize("size", [10, 200, 5_000])
+def test_contexts_are_whole_words_to_the_ends_of_the_line(size):
+    long = "w" * size
+    text = f"{long} first {long} second 123456 {long} rest\nnext 77777 \n 88888"
+    assert pii.words_before(text, text.index("123456"), 2) == [long, "second"]
+    assert pii.words_after(text, text.index("123456") + 6, 1) == [long]
+    assert pii.words_before(text, text.index("77777"), 2) == ["next"] and pii.words_after(text, text.index("77777") + 5, 1) == []
+    assert pii.words_before(text, text.index("88888"), 2) == [] and pii.words_after(text, len(text), 1) == []
+    one, other = (pii.context(f"{long}{c} is 123456", size + 5, size + 11) for c in "ab")
+    assert one != other
+
+
+def test_shapes_are_of_whole_values():
+    assert pii.shape_of("Ab-12-" * 30) != pii.shape_of("Ab-12-" * 30 + "x") and pii.shape_of("AB12.cd") == "A9.a"
+
+
+def test_empty_table(docs_of):
+    assert pii.report(docs_of([])).count() == 0 and pii.redact(docs_of([])).count() == 0
