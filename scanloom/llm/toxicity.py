@@ -9,8 +9,8 @@ are the ``UNITS`` that tell most of the toxic class in that sample.
 
 A null or empty text has no features and gets the score of the intercept. Equal texts get equal scores. Labels that are
 null are not used, of several labels of a document the larger counts; without labels, or with one class, all scores are
-that class. Words, tokens and runs of any length are read; only tokens and runs above ``LONG`` signs of which half or more
-are digits count as numbers and are not, nor are addresses with ``://``. Columns beside the id and the text are not read.
+that class. Words, tokens and runs of any length are read, and the parts of addresses; tokens without a letter are numbers.
+Columns beside the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -52,12 +52,12 @@ SIGN, IDLE, GAP, REPEATED, ANY = -1.0, -10.0, -0.5, -0.7, -3.0
 PUNCTUATION = ".,;:?\"'()[]{}*%&#-_~^`´…«»“”„‘’/\\<>="
 EDGE_SIGNS = "$!|@+€£¡"
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\s.,;:][ .\-_*]{1,2}){3,}[^\s.,;:](?![^\s.,;:!?])")
+SPACED = re.compile(r"(?<!\S)(?:[^\s.,;:][ .\-_*]{1,2}){2,}[^\s.,;:](?![^\s.,;:!?])")
 LATIN, FOREIGN = re.compile("[a-z]"), re.compile(f"[{''.join(LOOKS_LIKE)}]")
 BEGINNINGS = (4, 5, 6, 7)
 WIDE = re.compile(r"[ .\-_*]{2}")
 INSIDE = re.compile(f"[{re.escape(PUNCTUATION)}]+")
-#: Signs above which a token that is half digits is a number, and letters above which a token may be joined words.
+#: Signs up to which tokens are remembered, and letters above which a token may be joined words.
 LONG, JOINED = 48, 16
 
 
@@ -164,11 +164,6 @@ def restored(token: str, model: np.ndarray) -> str:
     return best_path(token, model)
 
 
-def numeric(token: str) -> bool:
-    """Whether a token is too long and has too many digits to be words."""
-    return len(token) > LONG and 2 * sum(c.isdigit() for c in token) >= len(token)
-
-
 class Restorer:
     """Distinct words of texts with disguised words restored; remembers a bounded number of tokens."""
 
@@ -206,10 +201,11 @@ class Restorer:
                 found.add(bare)
                 if not token[0] in EDGE_SIGNS:  # what follows a word as punctuation is no disguise
                     continue
-            if bare and not bare.isdigit() and "://" not in token and any(c.isalpha() for c in bare) and not numeric(token):
-                found.add(self.restore(token))
-                if len(token) > JOINED:
-                    found |= self.cut(token)
+            if bare and not bare.isdigit() and any(c.isalpha() for c in bare):
+                if "://" not in token:  # an address is no word, its parts may be
+                    found.add(self.restore(token))
+                    if len(token) > JOINED:
+                        found |= self.cut(token)
                 for part in INSIDE.split(token):
                     if len(part) > 1 and part != token and any(c.isalpha() for c in part):
                         found.add(part if part.isalpha() else self.restore(part))
@@ -223,7 +219,7 @@ class Restorer:
             # where gaps of two signs stand among single ones, they part words
             for piece in {run[0], *WIDE.split(run[0])}:
                 letters = "".join(c for c in piece if c not in " .-_")
-                if letters and not numeric(letters):
+                if any(c.isalpha() for c in letters):
                     found.add(self.restore(letters))
                     found |= self.cut(letters)
         found.discard("")

@@ -57,7 +57,14 @@ def test_plain_words_stay(trained):
     restorer = t.Restorer(trained[2].model)
     assert restorer.words("Hello, wide world!!\nnumber 12345") == {"hello", "wide", "world", "number"}
     assert restorer.words(None) == restorer.words("") == restorer.words("... 123") == set()
-    assert len(restorer.words("x1" * 100_000)) == 0
+
+
+def test_digits_addresses_and_short_runs_are_read(trained):
+    restorer = t.Restorer(trained[2].model)
+    assert restorer.words("1d10t" * 10) and restorer.words("x1" * 50_000)
+    assert "snirkle" in restorer.words("see:sn1rkle://you") and "you" in restorer.words("see:sn1rkle://you")
+    assert "snirkle" in restorer.words("http://a.example/x/sn1rkle?y=1")
+    assert "die" in restorer.words("so d i e now") and restorer.words("1 2 3 4") == set()
 
 
 def test_long_tokens_and_spaced_sentences_are_read(trained):
