@@ -235,16 +235,52 @@ def changed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return named_documents(spark, sf_dir).select("project", "path", _pick(DIFF_TEXTS, F.col("doc_id")).alias("diff"))
+    """A text of its own and a hunk for each line of the document, as if all of its lines had been changed."""
+
+    def hunk(line: Column, index: Column) -> Column:
+        count = F.when(F.length(line) % 3 != 0, F.concat(F.lit(","), (F.length(line) % 5).cast("string"))).otherwise(F.lit(""))
+        place = ((index + 1) * 7 + F.length(line)).cast("string")
+        return F.concat(F.lit("@@ -"), (index + 1).cast("string"), F.lit(" +"), place, count, F.lit(" @@ "), line, F.lit("\n-"), line, F.lit("\n+"), line)
+
+    hunks = F.array_join(F.transform(F.split("text", "\n", -1), hunk), "\n")
+    diff = F.concat(_pick(DIFF_TEXTS, F.col("doc_id")), F.lit("\n"), hunks)
+    return named_documents(spark, sf_dir).select("project", "path", diff.alias("diff"))
+
+
+# Envelopes around an answer about a document, which is quoted twice in them.
+OWN_BODIES = {
+    "openai": ('{"choices":[{"message":{"content":"', '"}}],"usage":{"total_tokens":', "}}"),
+    "gemini": ('{"candidates":[{"content":{"parts":[{"text":"', '"}]}}],"usageMetadata":{"promptTokenCount":', ',"candidatesTokenCount":5}}'),
+    "anthropic": ('{"content":[{"type":"text","text":"', '"}],"usage":{"input_tokens":', ',"output_tokens":3}}'),
+}
+
+
+def _quoted(text: Column) -> Column:
+    """Text as it stands inside a JSON string."""
+    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
+def _own_answer() -> Column:
+    """A finding about the document, in a fence for some, with its text as the description."""
+    clean = F.regexp_replace("text", r"[\x00-\x09\x0B-\x1F]", " ")
+    item = F.concat(
+        F.lit('[{"title":"'), _quoted(F.substring(clean, 1, 30)), F.lit('","description":"'), _quoted(clean), F.lit('","severity":"'),
+        _pick(["High", "low", "Moderate", "odd"], F.length("text")), F.lit('","line_start":'), (F.length("text") % 40).cast("string"),
+        F.lit(',"line_end":'), (F.length("text") % 40 + 2).cast("string"), F.lit("}]"),
+    )
+    return F.when(F.length("text") % 3 == 0, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).otherwise(item)
 
 
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five attempts for every document; the provider depends on the document."""
+    """Five attempts for every document; the provider depends on the document. Answers about three of five documents
+    are made of their text every second time."""
     n, a = F.col("doc_id"), F.col("attempt")
     tried = named_documents(spark, sf_dir).withColumn("attempt", F.explode(F.array(*[F.lit(i) for i in range(5)])))
     body = F
     for k, provider in enumerate(PROVIDERS):
-        body = body.when(n % 3 == k, _pick(BODIES[provider], n * 5 + a * a))
+        before, between, after = OWN_BODIES[provider]
+        own = F.concat(F.lit(before), _quoted(_own_answer()), F.lit(between), F.length("text").cast("string"), F.lit(after))
+        body = body.when(n % 3 == k, F.when((n % 5 < 3) & ((n * 3 + a) % 2 == 0), own).otherwise(_pick(BODIES[provider], n * 5 + a * a)))
     return tried.select(
         "project",
         "path",
@@ -287,10 +323,31 @@ CHANGED_SQL = f"""{NAMED_SQL}, changed AS (
   SELECT project, unnest([path, 'gone/' || path]) AS path FROM named WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
 DIFFS_SQL = f"""{NAMED_SQL}, diffs AS (
-  SELECT project, path, {_sql_pick(DIFF_TEXTS, 'doc_id')} AS diff FROM named)"""
+  SELECT project, path, {_sql_pick(DIFF_TEXTS, 'doc_id')} || chr(10) || array_to_string(list_transform(string_split(text, chr(10)),
+    lambda line, i: '@@ -' || i || ' +' || (i * 7 + length(line)) || CASE WHEN length(line) % 3 <> 0 THEN ',' || length(line) % 5 ELSE '' END
+      || ' @@ ' || line || chr(10) || '-' || line || chr(10) || '+' || line), chr(10)) AS diff FROM named)"""
+
+
+def _sql_quoted(text: str) -> str:
+    return f"""replace(replace(replace({text}, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n')"""
+
+
+_CLEAN = r"regexp_replace(text, '[\x00-\x09\x0B-\x1F]', ' ', 'g')"
+_ITEM = (
+    f"""('[{{"title":"' || {_sql_quoted(f"substr({_CLEAN}, 1, 30)")} || '","description":"' || {_sql_quoted(_CLEAN)} || '","severity":"' || """
+    f"""{_sql_pick(["High", "low", "Moderate", "odd"], "length(text)")} || '","line_start":' || length(text) % 40 || ',"line_end":' || (length(text) % 40 + 2) || '}}]')"""
+)
+_OWN_ANSWER = f"CASE WHEN length(text) % 3 = 0 THEN '```json' || chr(10) || {_ITEM} || chr(10) || '```' ELSE {_ITEM} END"
+
+
+def _own_body(provider: str) -> str:
+    before, between, after = (quote(part) for part in OWN_BODIES[provider])
+    return f"{before} || {_sql_quoted(_OWN_ANSWER)} || {between} || length(text) || {after}"
+
 
 _BODY_CASE = " ".join(
-    f"WHEN {k} THEN {_sql_pick(BODIES[p], 'doc_id * 5 + attempt * attempt')}" for k, p in enumerate(PROVIDERS)
+    f"WHEN {k} THEN CASE WHEN doc_id % 5 < 3 AND (doc_id * 3 + attempt) % 2 = 0 THEN {_own_body(p)} ELSE {_sql_pick(BODIES[p], 'doc_id * 5 + attempt * attempt')} END"
+    for k, p in enumerate(PROVIDERS)
 )
 RESPONSES_SQL = f"""{NAMED_SQL}, tries AS (
   SELECT *, unnest([0, 1, 2, 3, 4]) AS attempt FROM named), responses AS (
