@@ -12,6 +12,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.plans.staging import use_local_folder
+
 DIRS = [
     "src/app", "src/auth", "vendor/lib", "cmd/cabinet", "pkg/db", "test", "a/b", ".github", "core", "web/admin",
     "gen/x", "node_modules/p",
@@ -142,10 +144,14 @@ def _texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return table.repartition(4 * cores, key) if 2 * len(table.inputFiles()) <= cores else table
 
 
+_own: list[str] = []
+
+
 def use_own_folder(spark: SparkSession) -> None:
     """Gives a local session that names no shared folder one of its own."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="scanloom-"))
+    if not _own and spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
+        _own.append(tempfile.mkdtemp(prefix="scanloom-"))
+        use_local_folder(_own[0])
 
 
 def write_files(files: DataFrame, root: str) -> None:

@@ -30,9 +30,20 @@ class Staging:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Folder of local sessions that name none, by the choice of whoever runs them.
+_local: list[str] = []
+
+
+def use_local_folder(folder: str) -> None:
+    """Where sessions on one machine that name no folder stage; others need one that is shared."""
+    _local[:] = [folder]
+
+
 def staging(spark: SparkSession, folder: str | None = None) -> Staging:
     """Staging below ``folder``, or below the one in ``spark.checkpoint.dir``. Without either there is none to use."""
     root = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and _local and spark.sparkContext.master.startswith("local["):
+        root = _local[0]
     if not root:
         raise ValueError("name a folder that all executors share, as an argument or in spark.checkpoint.dir")
     return Staging(spark, root.rstrip("/"))
