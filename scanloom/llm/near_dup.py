@@ -35,6 +35,8 @@ from scanloom.llm.components import components
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 36, 7
 #: How far below the threshold an estimate may be for a pair to be verified, four standard deviations.
 MARGIN = 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS))
+#: Rows with all their shingles that are unpacked at once.
+ROWS_AT_ONCE = 500
 #: Members of a block when buckets are compared in blocks, and bytes of text that a step takes at once.
 BLOCK, STEP = 512, 2 << 20
 
@@ -253,9 +255,9 @@ def across_components(members: DataFrame, size: int, least: float, similarity: f
             a, b = ([f[k] for f in found] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             found = []
-            keys = np.asarray(batch.column("keys").flatten()).reshape(batch.num_rows, -1) if batch.num_rows else []
+            keys = np.asarray(batch.column("keys").flatten()).reshape(batch.num_rows, -1)
             plain = (batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "node", "component", "signature", "elements"))
             for row in zip(*plain, keys, strict=True):
                 place = row[:3]

@@ -28,7 +28,7 @@ from scanloom.llm.common import keyed, stage
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, words a task remembers, and the mark of a word's start.
-CHUNK, KNOWN, MARK = 32_768, 400_000, "▁"
+CHUNK, KNOWN, MARK = 32_768, 200_000, "▁"
 #: Widths of the tables in which short words are encoded together, and characters from which a word is encoded as a path.
 SHORT, LONG = (6, 12, 24), 200
 #: Words with their marks; a line end is never part of a longer piece.
