@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from operator import or_
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import catalog
 from scanloom.functions.patterns import java_line_pattern
+from scanloom.functions.required import BLANKS, required_texts
 from scanloom.functions.text import LOW, contains_any, source_lines, with_lower
 from scanloom.operators.segments import file_segments, is_giant
 
@@ -46,11 +48,27 @@ def oversize_line_guard(files: DataFrame, limit: int = catalog.LINE_BYTE_LIMIT)
     return files.where(~has_oversize_line(F.col("content"), limit))
 
 
-def _may_match(rule: tuple, pattern: str, low: Column, content: Column) -> Column:
+# Texts that begin alike, from which on their beginning is searched first.
+SHARED = 4
+
+
+def _stem(text: str) -> str:
+    """What is searched for before a text: a letter outside ASCII, which is rare in most files, or how it begins."""
+    return next((char for char in text if char > "\x7f"), text[:4])
+
+
+def _own_texts(rule: tuple) -> list[str]:
+    """Texts, folded, of which a file with a match of a rule of a user holds one; none if that isn't known."""
+    return sorted(required_texts(rule[3], least=2) or []) if rule not in catalog.LINE_RULES else []
+
+
+def _may_match(rule: tuple, pattern: str, low: Column, content: Column, stems: dict[str, Column] | None = None) -> Column:
     """Exact test that some line of the file matches: plain substring search first, the pattern only after it."""
     test = content.rlike(pattern)
     if rule not in catalog.LINE_RULES:
-        return test
+        held = [F.contains(low, F.lit(text)) for text in _own_texts(rule)]
+        held = [(stems or {}).get(_stem(text), F.lit(True)) & found for text, found in zip(_own_texts(rule), held, strict=True)]
+        return reduce(or_, held) & test if held else test
     if rule[0] in catalog.LINE_RULE_SECOND_ANCHOR:
         test = F.contains(content, F.lit(catalog.LINE_RULE_SECOND_ANCHOR[rule[0]])) & test
     return contains_any(low, catalog.LINE_RULE_ANCHORS[rule[0]]) & test
@@ -85,8 +103,20 @@ def with_line_hits(
     if not rules:
         return files.withColumn("line_hits", F.array().cast(HITS))
     content, low, maybe = F.col("content"), F.col(LOW), F.col("_maybe")
-    tested = with_lower(files).withColumn(
-        "_maybe", F.array(*[_may_match(rule, pattern, low, content) for _, _, pattern, rule in rules])
+    tested, stems = with_lower(files), {}
+    if any(rule not in catalog.LINE_RULES for *_, rule in rules):
+        folded = F.replace(low, F.lit("\u017f"), F.lit("s"))
+        for blank in BLANKS:
+            folded = F.replace(folded, F.lit(blank), F.lit(" "))
+        low = F.col("_folded")
+        counted = Counter(stem for *_, rule in rules for stem in {_stem(text) for text in _own_texts(rule)})
+        shared = [stem for stem, n in counted.items() if n >= SHARED]
+        stems = {stem: F.get(F.col("_stems"), F.lit(k)) for k, stem in enumerate(shared)}
+        tested = tested.withColumn("_folded", folded)
+        if shared:
+            tested = tested.withColumn("_stems", F.array(*[F.contains(low, F.lit(stem)) for stem in shared]))
+    tested = tested.withColumn(
+        "_maybe", F.array(*[_may_match(rule, pattern, low, content, stems) for _, _, pattern, rule in rules])
     )
 
     tests = [

@@ -6,7 +6,6 @@ the rules whose texts it holds are tried as patterns, on the whole file and then
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,83 +15,18 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import catalog
 from scanloom.functions.once import computed_once
-from scanloom.functions.patterns import java_line_pattern, pattern_pieces
+from scanloom.functions.patterns import java_line_pattern
+from scanloom.functions.required import BLANKS, required_texts
 from scanloom.functions.text import source_lines
 
-#: Characters that a text of the index has at least.
-LEAST = 3
+__all__ = ["candidates", "folded", "required_texts", "with_indexed_hits"]
+
+_BLANKS = dict.fromkeys(map(ord, BLANKS), " ")
 
 
 def folded(text: str) -> str:
-    """Lower case, with the two other characters that fold into ASCII letters."""
-    return text.lower().replace("ſ", "s").replace("K", "k")
-
-
-def required_texts(pattern: str) -> frozenset[str] | None:
-    """Texts, in lower case, one of which each match of an RE2 pattern holds whatever its flags; None if none is known.
-
-    Only plain ASCII characters in a row count. Of several such sets the one whose shortest text is longest is taken.
-    """
-    pieces = pattern_pieces(pattern)
-    at = 0
-
-    def least_repeats() -> int | None:
-        """Consumes a quantifier; None without one."""
-        nonlocal at
-        found = re.match(r"(?:([*?])|(\+)|\{(\d+)(?:,\d*)?\})[?+]?", "".join(pieces[at : at + 24]))
-        if not found:
-            return None
-        size = 0
-        while size < len(found[0]):
-            size += len(pieces[at])
-            at += 1
-        return 0 if found[1] else 1 if found[2] else int(found[3])
-
-    def alternatives() -> frozenset[str] | None:
-        """Consumes up to the end of a group or of the pattern."""
-        nonlocal at
-        branches, best, run = [], None, ""
-
-        def better(texts: frozenset[str] | None) -> None:
-            nonlocal best
-            if texts and min(map(len, texts)) >= LEAST and (best is None or min(map(len, texts)) > min(map(len, best))):
-                best = texts
-
-        while at < len(pieces) and pieces[at] != ")":
-            piece = pieces[at]
-            at += 1
-            plain = piece if len(piece) == 1 and piece not in ".^$|()[]{}*+?\\" else None
-            if len(piece) == 2 and piece[0] == "\\" and not piece[1].isalnum():
-                plain = piece[1]
-            if plain is not None and ord(plain) < 128:
-                repeats = least_repeats()
-                if repeats == 0:
-                    better(frozenset([run]))
-                    run = ""
-                else:
-                    run += plain.lower()
-                    if repeats is not None:  # what follows may follow another repetition
-                        better(frozenset([run]))
-                        run = plain.lower() if repeats == 1 else ""
-                continue
-            better(frozenset([run]))
-            run = ""
-            if piece == "|":
-                branches.append(best)
-                best = None
-            elif piece.startswith("(") and not re.fullmatch(r"\(\?[a-zA-Z-]*\)", piece):
-                inside = alternatives()
-                at += 1
-                if least_repeats() != 0:
-                    better(inside)
-            else:
-                least_repeats()
-        better(frozenset([run]))
-        branches.append(best)
-        return None if None in branches else frozenset().union(*branches)
-
-    texts = alternatives()
-    return texts if at >= len(pieces) else None
+    """Lower case, with the two other characters that fold into ASCII letters, and blanks for white space in a line."""
+    return text.translate(_BLANKS).lower().replace("ſ", "s").replace("K", "k")
 
 
 def candidates(content: Column, texts: list[frozenset[str]]) -> Column:

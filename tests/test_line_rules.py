@@ -249,3 +249,27 @@ def test_long_lines_cost_no_more_than_their_length(files_of):
     line = part * (60_000 // len(part))
     rows = scan.regex_scan(files_of({f"{i}.js": f"{line}\n{line}\n" for i in range(20)})).collect()
     assert rows == []
+
+
+@pytest.mark.parametrize("pattern, texts", [
+    (r"\p{Lu}ab[[:space:]]", {"ab "}), ("(?i)éA", {"éa"}), ("(?i:abÈ)|ßab", {"abè", "ßab"}), (r"key\s=", {"key ="}), ("µab", None), ("a\tb", {"a b"}),
+])
+def test_texts_of_white_space_and_accented_letters(pattern, texts):
+    assert required_texts(pattern) == texts
+
+
+def test_rules_of_a_user_try_their_texts_before_their_patterns(spark):
+    own = [corpus.USER_RULES[n] for n in (3, 4, 13, 14, 15, 18)] + [
+        (f"W{n}", "", "", p, "low", "", "", "") for n, p in enumerate(["(?i)SKÿ", r"x\sk", "(?i)ås", "(?i)reſt", "[[:space:]]ab", "(?i)Straß", "ié"])
+    ]
+    parts = ["/en/4", "77", "É", "é", "n", "N", "Aab", "\t", "\v", "\f", "\r", "\n", " ", "ß", "ẞ", "È", "ſ", "K", "Ÿ", "ÿ", "Å", "å", "s", "k", "x", "İ", "i", "o", "a", "b", "ab", "Ore", "ST", "stra"]
+    rng = random.Random(9)
+    samples = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 60))) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(samples)), "i int, path string").selectExpr("'p' AS project", "cast(i AS string) AS path", "path AS content")
+    got = lines.with_line_hits(table, rules=own, built_in=False)
+    found = {(r.path, h.rule_id) for r in got.collect() for h in r.line_hits}
+    plain = table.select("path", *[F.col("content").rlike(java_line_pattern(rule[3])).alias(rule[0]) for rule in own])
+    wanted = {(r.path, rule[0]) for r in plain.collect() for rule in own if r[rule[0]]}
+    assert found == wanted and len({rule for _, rule in wanted}) > 8
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "contains(_folded" in plan.lower()
