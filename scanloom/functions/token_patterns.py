@@ -68,7 +68,8 @@ def token_regex(pattern: str) -> str:
         raise ValueError("the first token of a match has to be there")
     body = "".join(f"(?:{_GAP}{one}(?=[ \\n])){times}" for one, times in map(_one, items))
     # a run of blanks and line ends stands before each token, and the match begins at its last blank
-    return f"{before}(?={body.replace(f'(?:{_GAP}', '(?: ', 1)}{after})"
+    # the look back tries every length of a run, so it comes last, only where the rest matches
+    return f"(?={body.replace(f'(?:{_GAP}', '(?: ', 1)}{after}){before}"
 
 
 def needed_token(pattern: str) -> str:

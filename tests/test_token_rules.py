@@ -93,3 +93,8 @@ def test_scans_take_token_rules(spark, files_of, tmp_path):
 def test_rules_stay_inside_the_row_of_a_file(files_of):
     plan = scan.static_scan(files_of({"a.go": SOURCE}), token_rules=corpus.TOKEN_RULES)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Join", "Python", "Arrow", "Exchange"))
+
+
+def test_what_is_ruled_out_before_a_match_is_looked_for_only_where_the_rest_matches():
+    """The look back tries 200 lengths, at every place of a file if it comes first."""
+    assert token_regex("!. exec (").index("(?<!") > token_regex("!. exec (").index("exec")
