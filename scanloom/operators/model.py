@@ -219,7 +219,9 @@ def first_successful_attempt(responses: DataFrame, max_retries: int = catalog.MA
 
 def failed_model_files(responses: DataFrame, max_retries: int = catalog.MAX_RETRIES) -> DataFrame:
     """Files that were asked about and have no successful attempt; the scan goes on without them."""
-    tried = with_model_items(responses)
+    # attempts that don't count go without their body, so that nothing is read for them
+    counted = responses.withColumn("body", F.when(F.col("attempt") <= max_retries, F.col("body")))
+    tried = with_model_items(counted)
     good = F.count_if((F.col("attempt") <= max_retries) & F.col("items").isNotNull())
     return tried.groupBy("project", "path").agg(good.alias("n")).where(F.col("n") == 0).select("project", "path")
 

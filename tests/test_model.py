@@ -196,3 +196,10 @@ def test_change_listings(spark):
     assert [(r.project, r.path, r.file_path) for r in rows] == [
         ("p", "a/b.go", "p/a/b.go"), ("p", "c d.py", "p/c d.py"), ("p", " x", "p/ x")
     ]
+
+
+def test_attempts_beyond_the_limit_are_not_read_for_failed_files(spark):
+    rows = [("p", "a", "openai", 0, 200, "oops"), ("p", "a", "openai", 9, 200, '{"choices":[{"message":{"content":"[]"}}],"usage":{"total_tokens":1}}'), ("p", "b", "openai", 9, 200, None)]
+    failed = model.failed_model_files(spark.createDataFrame(rows, MODEL_RESPONSES), max_retries=3)
+    assert sorted(r.path for r in failed.collect()) == ["a", "b"]
+    assert "WHEN (attempt" in failed._jdf.queryExecution().analyzed().toString()
