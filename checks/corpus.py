@@ -137,11 +137,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Bytes of a table's files that one task gets; a file is only cut between its row groups, which may be a hundred times that.
+TASK_BYTES = 4 << 20
+
+
 def _texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of texts; one that is a few small files is dealt out, or a single core would do all the work on it."""
+    """A table of texts, dealt to tasks whose size stays the same as the table grows, 4 for each core at least."""
     table = _table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(4 * cores, key) if 2 * len(table.inputFiles()) <= cores else table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), key)
 
 
 _own: list[str] = []
