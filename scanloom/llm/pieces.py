@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import keyed, stage
+from scanloom.llm.common import keyed, stage, steps
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk, words a task remembers, and the mark of a word's start.
 CHUNK, KNOWN, MARK = 32_768, 200_000, "▁"
+#: Bytes of texts that are encoded at once.
+TOGETHER = 1 << 20
 #: Widths of the tables in which short words are encoded together, and characters from which a word is encoded as a path.
 SHORT, LONG = (6, 12, 24), 200
 #: Words with their marks; a line end is never part of a longer piece.
@@ -328,6 +330,16 @@ def product(matrices: list[list[tuple]]) -> list[tuple]:
 STATE = "struct<over:int,piece:string>"
 
 
+def one_by_one(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch of long texts, each on its own: as Python values an id takes ten times the bytes it has here."""
+    chosen = batch.select(list(columns)) if columns else batch
+    return (chosen.slice(i, 1) for i in range(chosen.num_rows))
+
+
+def values_of(row: pa.RecordBatch) -> list:
+    return [column[0].as_py() for column in row.columns]
+
+
 def encode(
     docs: DataFrame, model_path: str = TOKENIZER, chunk: int = CHUNK, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -341,8 +353,7 @@ def encode(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for part in steps(batch, "text", TOGETHER):
                 texts = part.column("text").to_pylist()
                 ids, first = pieces.encoded([marked(t or "") for t in texts])
                 offsets = pa.array(first.astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
@@ -358,7 +369,7 @@ def encode(
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = Pieces(model).longest - 1
         for batch in batches:
-            for row_, text in zip(batch.column("row_").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for row_, text in map(values_of, one_by_one(batch, "row_", "text")):
                 parts = chunks_of(marked(text), chunk, reach)
                 yield pa.RecordBatch.from_pylist([{"row_": row_, "n": i, **p} for i, p in enumerate(parts)], schema=pa.schema(
                     [("row_", pa.int64()), ("n", pa.int32())] + [(c, pa.string()) for c in ("text", "behind", "ahead")] + [(c, pa.bool_()) for c in ("cut_before", "cut_after")]
@@ -375,7 +386,7 @@ def encode(
         pieces = Pieces(model)
         state = pa.struct([("over", pa.int32()), ("piece", pa.string())])
         for batch in batches:
-            for p in batch.to_pylist():
+            for p in (part.to_pylist()[0] for part in one_by_one(batch)):
                 found = pieces.matrix(p["behind"], p["text"], p["ahead"], p["cut_before"], p["cut_after"])
                 steps = pa.array([[{"entry": dict(zip(("over", "piece"), a, strict=True)), "end": dict(zip(("over", "piece"), b, strict=True))} for a, b in found]], pa.list_(pa.struct([("entry", state), ("end", state)])))
                 yield pa.RecordBatch.from_arrays([pa.array([p["row_"]]), pa.array([p["n"]], pa.int32()), pa.array([p["cut_after"]]), steps], ["row_", "n", "cut_after", "steps"])
@@ -401,7 +412,7 @@ def encode(
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            for p in batch.to_pylist():
+            for p in (part.to_pylist()[0] for part in one_by_one(batch)):
                 if p["cut_before"] or p["cut_after"]:
                     ids = pieces.traced(p["text"], p["ahead"], (p["eo"], p["ep"]), (p["xo"], p["xp"]), p["cut_after"])
                 else:
@@ -416,7 +427,7 @@ def encode(
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for batch in batches:
-            same = [pieces.decoded(i) == t.replace(MARK, " ") for i, t in zip(batch.column("ids").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            same = [pieces.decoded(i) == t.replace(MARK, " ") for i, t in map(values_of, one_by_one(batch, "ids", "text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_chunks", "ids")), pa.array(same)], ["doc_id", "n_chunks", "ids", "round_trip"])
 
     long = long_rows.join(joined, "row_").select("doc_id", "n_chunks", "ids", "text").mapInArrow(checked, result)

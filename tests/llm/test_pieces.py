@@ -75,3 +75,11 @@ def test_whole_corpus(spark, docs_of, prose):
     back = p.decode(coded)
     assert sorted(((r.doc_id, r.decoded) for r in back.collect()), key=str) == sorted(docs, key=str)
     assert p.encode(docs_of([])).count() == 0
+
+
+def test_rows_of_a_batch_become_python_values_one_by_one():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"row_": [1, 2, 3], "ids": [[1, 2], [], [3]], "text": ["ab", "", "c"]})
+    rows = p.one_by_one(batch, "ids", "text")
+    assert iter(rows) is rows and [p.values_of(row) for row in rows] == [[[1, 2], "ab"], [[], ""], [[3], "c"]]
