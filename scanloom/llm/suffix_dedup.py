@@ -5,8 +5,8 @@ wherever they are. Consecutive strings with one anchor form a piece of text, and
 more than one document meet. Equal pieces are one before they are shuffled, with their smallest id. Where pieces of an
 anchor differ, their suffixes are put in order by linear grouping (``suffix_order``), many anchors at a time, with the
 anchor's bytes as one symbol; strings that pieces share stand next to each other in it, and the smallest id among their
-pieces tells who has them first. The ends of pieces whose strings are in no other piece by their hashes stay out of it. An anchor with too many different pieces is divided into its strings, each of which is
-a piece of its own.
+pieces tells who has them first. The ends of pieces whose strings are in no other piece by their hashes stay out of it. The pieces of an anchor with too many different ones are halved, and put in order among
+those that agree in more bytes around the anchor, until no group has too many.
 
 Of texts that are equal as a whole only those with the smallest id are cut into pieces; the others go as a whole. Null
 and empty texts, and those shorter than a string, stay as they are. Equal ids are not smaller than each other; a null id
@@ -17,7 +17,7 @@ A text of any length is cut in slices.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -242,14 +242,50 @@ def shared_range(anchors: tuple[int, ...], texts: tuple[bytes, ...], length: int
     return from_, until
 
 
-def divided(strings: DataFrame, length: int) -> DataFrame:
-    """The same for pieces (anchor, digest, doc_id, piece) of anchors that have too many: each string is its own key."""
-    each = strings.select(
-        "anchor", "digest", "doc_id", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - length)).alias("k")
-    ).select("anchor", "digest", "doc_id", "k", F.substring(F.col("piece"), F.col("k") + 1, F.lit(length)).alias("string"))
-    least = each.groupBy("anchor", "string").agg(F.min("doc_id").alias("least"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k"))
-    return each.join(least, ["anchor", "string"]).filter("least < doc_id").groupBy("anchor", "digest").agg(F.sum(bit).alias("bits"))
+def halved(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Pieces (anchor, digest, lead, doc_id, piece) of which the strings with ``low`` to ``high`` - 1 bytes before the anchor are
+    meant, cut in two by that number, with the bytes all strings of a half have around the anchor as ``key``, the ``part`` of
+    the piece that holds them, its ``mark``, its first string ``at``, number of strings ``n`` and bytes before the anchor ``into``."""
+    middle = F.expr("(low + high + 1) div 2").cast("int")
+    cut = parts.select(
+        "anchor", "digest", "lead", "doc_id", "piece",
+        F.explode(F.array(F.struct("low", middle.alias("high")), F.struct(middle.alias("low"), "high"))).alias("half"),
+    ).select("anchor", "digest", "lead", "doc_id", "piece", "half.low", "half.high")
+    last, first = F.least(F.col("high") - 1, "lead"), F.greatest("low", F.col("lead") - F.octet_length("piece") + length)
+    core = F.substring(F.col("piece"), F.col("lead") - F.col("low") + 1, F.col("low") - F.col("high") + 1 + length)
+    sized = cut.withColumns({"into": last, "n": last - first + 1}).filter("n > 0").withColumn("at", F.expr("lead - into"))
+    part = F.substring(F.col("piece"), F.col("at") + 1, F.col("n") + length - 1)
+    return sized.withColumns({"key": F.xxhash64("low", "high", core), "part": part}).withColumn("mark", F.xxhash64("into", "part"))
+
+
+def divided(strings: DataFrame, length: int, gram: int, together: int, few: int) -> DataFrame:
+    """The same for pieces (anchor, digest, lead, doc_id, piece) of anchors that have too many: the strings of a piece are
+    halved by their place around the anchor, and halves that agree in the bytes all their strings hold meet, equal ones as one.
+    Those that are still too many are halved again; a half of one string meets only its like."""
+    found = []
+    parts = strings.select("anchor", "digest", "lead", "doc_id", "piece", F.lit(0).alias("low"), F.lit(length - gram + 1).alias("high"))
+    while True:
+        parts = stage(halved(parts, length, gram), "parts", "zstd")
+        distinct = stage(parts.groupBy("key", "mark", "into", "part").agg(F.min("doc_id").alias("least")), "halves", "zstd")
+        sizes = stage(distinct.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        some, many = (few_or_all(sizes.filter(c).select("key"), few) for c in (F.col("n") <= together, F.col("n") > together))
+        groups = distinct.join(some, "key").groupBy(F.col("key").alias("anchor")).agg(
+            F.collect_list(F.struct(F.col("mark").alias("digest"), F.col("into").alias("lead"), F.col("least").alias("doc_id"), F.col("part").alias("piece"))).alias("pieces")
+        )
+        bits = stage(ordered(groups, length, gram).select(F.col("anchor").alias("key"), F.col("digest").alias("mark"), "bits"), "bits")
+        known = distinct.select("key", "mark", "least").join(bits, ["key", "mark"], "left")
+        bits = repeated_bits(parts.join(many, "key", "left_anti").join(known, ["key", "mark"]))
+        found.append(stage(bits.select("anchor", "digest", F.call_function("shiftleft", "bits", "at").alias("bits")).filter("bits != 0"), "bits"))
+        if many.isEmpty():
+            break
+        parts = parts.join(many, "key", "left_semi").select("anchor", "digest", "lead", "doc_id", "piece", "low", "high")
+    return reduce(DataFrame.union, found).groupBy("anchor", "digest").agg(F.bit_or("bits").alias("bits"))
+
+
+def repeated_bits(occurs: DataFrame) -> DataFrame:
+    """``occurs`` (doc_id, n, least, bits) with all strings in ``bits`` where an equal piece has a smaller id, ``least``."""
+    whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
+    return occurs.withColumn("bits", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.coalesce(F.col("bits"), F.lit(0))))
 
 
 def repeated_pieces(texts: DataFrame, length: int, gram: int, together: int, few: int) -> DataFrame:
@@ -269,14 +305,11 @@ def repeated_pieces(texts: DataFrame, length: int, gram: int, together: int, few
     groups = strings.join(few_or_all(some, few), "anchor").groupBy("anchor").agg(F.collect_list(F.struct("digest", "lead", "doc_id", "piece")).alias("pieces"))
     bits = ordered(groups, length, gram)
     if not many.isEmpty():
-        bits = bits.union(divided(strings.join(few_or_all(many, few), "anchor", "left_semi"), length))
+        bits = bits.union(divided(strings.join(few_or_all(many, few), "anchor", "left_semi"), length, gram, together, few))
     bits = stage(bits, "bits")
     known = stage(strings.select("anchor", "digest", F.col("doc_id").alias("least")).join(bits, ["anchor", "digest"], "left"), "known")
     occurs = held.select("row_", "doc_id", "anchor", "digest", "begin", "n").join(known, ["anchor", "digest"])
-    whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
-    return occurs.select(
-        "row_", "begin", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.coalesce(F.col("bits"), F.lit(0))).alias("bits")
-    ).filter("bits != 0")
+    return repeated_bits(occurs).select("row_", "begin", "bits").filter("bits != 0")
 
 
 def without_repeats(

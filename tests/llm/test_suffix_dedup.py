@@ -102,3 +102,19 @@ def test_one_notice_in_all_documents(docs_of, prose):
 def test_small_tables(docs_of):
     assert found(docs_of([])) == []
     assert found(docs_of([(1, "alone")])) == brute([(1, "alone")])
+
+
+def test_pieces_of_a_crowded_anchor_are_not_cut_into_all_their_strings(docs_of, prose, monkeypatch):
+    written = {}
+
+    def counted(rows, name, *codec, keep=s.stage):
+        kept = keep(rows, name, *codec)
+        written.setdefault(name, []).append(kept)
+        return kept
+
+    monkeypatch.setattr(s, "stage", counted)
+    notice = "A line of forty bytes stands in each one"
+    rows = [(k, f"{prose(k, 8)}{notice}{prose(k + 500, 8)}") for k in range(150)] + [(200, f"{prose(3, 8)}{notice}{prose(900, 8)}")]
+    assert found(docs_of(rows), together=20) == brute(rows)
+    strings = sum(len(r.piece) - 49 for r in written["strings"][0].collect())
+    assert 0 < sum(part.count() for part in written["parts"]) < strings / 2
