@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,8 @@ CHUNK, KNOWN, MARK = 32_768, 200_000, "▁"
 TOGETHER = 1 << 20
 #: Widths of the tables in which short words are encoded together, and characters from which a word is encoded as a path.
 SHORT, LONG = (6, 12, 24), 200
+#: Short words in a table.
+ROWS = 8192
 #: Words with their marks; a line end is never part of a longer piece.
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 START = re.compile(f"(?<![{MARK}]){MARK}|(?<=\n).|\n", re.S)
@@ -173,18 +175,18 @@ class Pieces:
         for high in SHORT:
             chosen = np.flatnonzero(plain & (sizes > low) & (sizes <= high))
             low = high
-            if not len(chosen):
-                continue
             columns = np.arange(high)
-            inside = columns < sizes[chosen][:, None]
-            rows = np.where(inside, letters[np.where(inside, first[chosen][:, None] + columns, 0)], -1)
-            rows = self.merged_rows(rows)
-            held = (rows >= 0).sum(axis=1)
-            base = len(self.coded)
-            self.coded.frombytes(rows[rows >= 0].astype(np.int32).tobytes())
-            count = len(self.begin) - 1
-            self.begin.frombytes((base + np.cumsum(held)).astype(np.int64).tobytes())
-            self.known.update(zip((words[i] for i in chosen.tolist()), range(count, count + len(chosen)), strict=True))
+            for start in range(0, len(chosen), ROWS):
+                some = chosen[start : start + ROWS]
+                inside = columns < sizes[some][:, None]
+                rows = np.where(inside, letters[np.where(inside, first[some][:, None] + columns, 0)], -1)
+                rows = self.merged_rows(rows)
+                held = (rows >= 0).sum(axis=1)
+                base = len(self.coded)
+                self.coded.frombytes(rows[rows >= 0].astype(np.int32).tobytes())
+                count = len(self.begin) - 1
+                self.begin.frombytes((base + np.cumsum(held)).astype(np.int64).tobytes())
+                self.known.update(zip((words[i] for i in some.tolist()), range(count, count + len(some)), strict=True))
         for i in np.flatnonzero(~plain | (sizes > low)).tolist():
             word = words[i]
             self.known[word] = len(self.begin) - 1
@@ -340,6 +342,16 @@ def values_of(row: pa.RecordBatch) -> list:
     return [column[0].as_py() for column in row.columns]
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task``, and what Arrow keeps of its batches goes back to the system at the end: a worker stays beside those of later tasks."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+
+    return done
+
+
 def encode(
     docs: DataFrame, model_path: str = TOKENIZER, chunk: int = CHUNK, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -364,7 +376,7 @@ def encode(
                 )
 
     result = f"doc_id {kind}, n_chunks int, ids array<int>, round_trip boolean"
-    short = rows.filter(~giant).select("doc_id", "text").mapInArrow(whole, result)
+    short = rows.filter(~giant).select("doc_id", "text").mapInArrow(tidy(whole), result)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = Pieces(model).longest - 1
@@ -377,7 +389,7 @@ def encode(
 
     long_rows = rows.filter(giant)
     parts = stage(
-        long_rows.select("row_", "text").mapInArrow(split, "row_ long, n int, text string, behind string, ahead string, cut_before boolean, cut_after boolean"),
+        long_rows.select("row_", "text").mapInArrow(tidy(split), "row_ long, n int, text string, behind string, ahead string, cut_before boolean, cut_after boolean"),
         "chunks",
     )
     cut = parts.filter("cut_before OR cut_after")
@@ -406,7 +418,7 @@ def encode(
         found.insert(0, "row_", group["row_"].iloc[0])
         return found
 
-    stepped = cut.repartition("row_", "n").mapInArrow(matrices, f"row_ long, n int, cut_after boolean, steps array<struct<entry:{STATE},end:{STATE}>>")
+    stepped = cut.repartition("row_", "n").mapInArrow(tidy(matrices), f"row_ long, n int, cut_after boolean, steps array<struct<entry:{STATE},end:{STATE}>>")
     states = stepped.groupBy("row_").applyInPandas(chosen, "row_ long, n int, eo int, ep string, xo int, xp string")
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +431,7 @@ def encode(
                     ids = pieces.encoded([p["text"]])[0].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array([p["row_"]]), pa.array([p["n"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], ["row_", "n", "ids"])
 
-    coded = parts.join(states, ["row_", "n"], "left").repartition("row_", "n").mapInArrow(traced, "row_ long, n int, ids array<int>")
+    coded = parts.join(states, ["row_", "n"], "left").repartition("row_", "n").mapInArrow(tidy(traced), "row_ long, n int, ids array<int>")
     joined = coded.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct("n", "ids"))).alias("all")).select(
         "row_", F.size("all").alias("n_chunks"), F.flatten("all.ids").alias("ids")
     )
@@ -430,7 +442,7 @@ def encode(
             same = [pieces.decoded(i) == t.replace(MARK, " ") for i, t in map(values_of, one_by_one(batch, "ids", "text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_chunks", "ids")), pa.array(same)], ["doc_id", "n_chunks", "ids", "round_trip"])
 
-    long = long_rows.join(joined, "row_").select("doc_id", "n_chunks", "ids", "text").mapInArrow(checked, result)
+    long = long_rows.join(joined, "row_").select("doc_id", "n_chunks", "ids", "text").mapInArrow(tidy(checked), result)
     return short.union(long)
 
 

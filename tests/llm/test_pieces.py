@@ -83,3 +83,27 @@ def test_rows_of_a_batch_become_python_values_one_by_one():
     batch = pa.RecordBatch.from_pydict({"row_": [1, 2, 3], "ids": [[1, 2], [], [3]], "text": ["ab", "", "c"]})
     rows = p.one_by_one(batch, "ids", "text")
     assert iter(rows) is rows and [p.values_of(row) for row in rows] == [[[1, 2], "ab"], [[], ""], [[3], "c"]]
+
+
+def test_memory_of_a_task(model, monkeypatch):
+    """Tables of words have a bounded height, and what Arrow keeps of the batches goes back after the last."""
+    import pyarrow as pa
+
+    rows = []
+    monkeypatch.setattr(p, "ROWS", 100, raising=False)
+    monkeypatch.setattr(model, "merged_rows", lambda ids, keep=model.merged_rows: (rows.append(len(ids)), keep(ids))[1])
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 20))) for _ in range(3000))
+    model.forget()
+    ids, _ = model.encoded([p.marked(text)])
+    assert ids.tolist() == LIBRARY.encode(text) and max(rows) <= 100 < sum(rows)
+
+    def task(batches):
+        for batch in batches:
+            yield batch.slice(0, 1)
+
+    freed = []
+    monkeypatch.setattr(p.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: freed.append(1)})())
+    out = p.tidy(task)(iter([pa.RecordBatch.from_pydict({"a": [1, 2]})] * 2))
+    assert [next(out).num_rows, next(out).num_rows] == [1, 1] and not freed
+    assert list(out) == [] and freed
