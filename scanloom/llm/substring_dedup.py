@@ -141,6 +141,60 @@ def run_hash(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def first_least(values: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the leftmost minimum of each stretch ``l`` to ``r`` (inclusive) of ``values``."""
+    size = r - l + 1
+    out = np.zeros(len(l), np.int64)
+    block = np.cumsum(size) // STEP
+    for k in np.unique(block):
+        some = np.flatnonzero(block == k)
+        begin = np.cumsum(size[some]) - size[some]
+        at = np.arange(size[some].sum()) + np.repeat(l[some] - begin, size[some])
+        own = values[at]
+        least = np.repeat(np.minimum.reduceat(own, begin), size[some])
+        out[some] = np.minimum.reduceat(np.where(own == least, at, len(values)), begin)
+    return out
+
+
+def cut_windows(
+    values: np.ndarray, keys: np.ndarray, fn: np.ndarray, l: np.ndarray, r: np.ndarray, width: int, hashes: int, used: int, further: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows ``l`` to ``r`` of shingles ``values`` as ``divided`` cuts them, all of a function at once: number of the window,
+    new key, first shingle and further shingles of each part."""
+    none = np.zeros(0, np.int64)
+    rows: list[tuple] = [(none, none.view(np.uint64), none, none)]
+    for f in np.unique(fn):
+        mine = np.flatnonzero(fn == f)
+        c = first_least(hashed(values, int(f)) >> np.uint64(24), l[mine], r[mine])
+        # the passages of the window, by their first shingle: those that hold its minimum
+        begin, last = np.maximum(l[mine], c - width + 1), np.minimum(c, r[mine] - width + 1)
+        count = last - begin + 1
+        start = np.cumsum(count) - count
+        passage = np.arange(count.sum()) + np.repeat(begin - start, count)
+        window = np.repeat(mine, count)
+        # only shingles of these passages are hashed again; all of a passage stay side by side
+        edges = np.bincount(begin, minlength=len(values) + 1) - np.bincount(last + width, minlength=len(values) + 1)
+        held = np.cumsum(edges[:-1]) > 0
+        shingles, place = values[held], (np.cumsum(held) - 1)[passage]
+        if further:
+            low = [sliding_minimum(hashed(shingles, hashes * (1 + used + j) + int(f)), width)[place] for j in range(further)]
+            changed = np.zeros(len(passage), bool)
+            changed[start] = True
+            for least in low:
+                changed[1:] |= least[1:] != least[:-1]
+            at = np.flatnonzero(changed)
+            until = np.append(at[1:], len(passage)) - 1
+            new = keys[window[at]].view(np.uint64)
+        else:
+            low = [run_hash(shingles, width)[place]]
+            at = until = np.arange(len(passage))
+            new = np.zeros(len(passage), np.uint64)
+        for j, least in enumerate(low):
+            new = mix(mix(least[at] ^ new) + np.uint64(j + 1))
+        rows.append((window[at], new, passage[at], until - at + width - 1))
+    return tuple(np.concatenate(column) for column in zip(*rows, strict=True))
+
+
 def divided(docs: DataFrame, open_windows: DataFrame, hashes: int, shingle: int, words: int, used: int, further: int) -> DataFrame:
     """``open_windows`` (key, node, place) cut where one of ``further`` new minima of the passages inside them changes,
     under the old key with those minima. ``used`` such functions have been taken before. Without ``further`` each passage
@@ -158,36 +212,11 @@ def divided(docs: DataFrame, open_windows: DataFrame, hashes: int, shingle: int,
                 keys, places = (np.asarray(lists.flatten().field(k)) for k in (0, 1))
                 owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
                 fn, l, r = parts_of(places)
-                l, r = l + first[owner], r + first[owner]
-                rows = ([np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
-                for f in np.unique(fn):
-                    own = hashed(values, int(f)) >> np.uint64(24)
-                    if further:
-                        low = np.stack([sliding_minimum(hashed(values, hashes * (1 + used + j) + int(f)), width) for j in range(further)])
-                    else:
-                        low = run_hash(values, width)[None]
-                    for i in np.flatnonzero(fn == f).tolist():
-                        c = l[i] + int(own[l[i] : r[i] + 1].argmin())
-                        # the passages of the window, by their first shingle: those that hold its minimum
-                        begin, last = max(l[i], c - width + 1), min(c, r[i] - width + 1)
-                        inside = low[:, begin : last + 1]
-                        if further:
-                            at = np.flatnonzero(np.append(True, (inside[:, 1:] != inside[:, :-1]).any(axis=0)))
-                            until = np.append(at[1:], inside.shape[1]) - 1
-                            new = np.full(len(at), keys[i], np.int64).view(np.uint64)
-                        else:
-                            at = until = np.arange(inside.shape[1])
-                            new = np.zeros(len(at), np.uint64)
-                        for j in range(len(low)):
-                            new = mix(mix(inside[j, at] ^ new) + np.uint64(j + 1))
-                        rows[0].append(np.full(len(at), i))
-                        rows[1].append(new)
-                        rows[2].append(begin + at - first[owner[i]])
-                        rows[3].append(until - at + width - 1)
-                at, new, begin, length = map(np.concatenate, rows)
-                place = begin << 30 | length | (fn[at] << 60 if further else np.int64(0))
+                at, new, begin, length = cut_windows(values, keys, fn, l + first[owner], r + first[owner], width, hashes, used, further)
+                owner = owner[at]
+                place = begin - first[owner] << 30 | length | (fn[at] << 60 if further else np.int64(0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(new.view(np.int64)), pa.array(node[owner[at]]), pa.array(standing[owner[at]]), pa.array(place)],
+                    [pa.array(new.view(np.int64)), pa.array(node[owner]), pa.array(standing[owner]), pa.array(place)],
                     ["key", "node", "standing", "place"],
                 )
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from scanloom.llm import substring_dedup as s
 
@@ -90,3 +91,33 @@ def test_segments():
     assert s.segments(match, 0.8, 5) == [(1, 9)]
     assert s.segments(match, 1.0, 4) == [(5, 9)]
     assert s.segments(np.zeros(4, bool), 0.8, 1) == []
+
+
+@pytest.mark.parametrize("further", [0, 1, 4])
+def test_windows_are_cut_all_at_once(further, monkeypatch):
+    rng, width, hashes, used = np.random.default_rng(4), 8, 3, 2
+    values = s.hashed(rng.integers(0, 60, 400).astype(np.uint64), 9)
+    l = rng.integers(0, 360, 120)
+    r, fn, keys = l + rng.integers(width - 1, 40, 120), rng.integers(0, hashes, 120), rng.integers(-(1 << 62), 1 << 62, 120)
+    want = []
+    for i in range(120):
+        own = s.hashed(values, int(fn[i])) >> np.uint64(24)
+        c = l[i] + int(own[l[i] : r[i] + 1].argmin())
+        named = []
+        for p in range(max(l[i], c - width + 1), min(c, r[i] - width + 1) + 1):
+            held = values[p : p + width]
+            low = [s.hashed(held, hashes * (1 + used + j) + int(fn[i])).min() for j in range(further)] or [s.run_hash(held, width)[0]]
+            if named and further and named[-1][0] == low:
+                named[-1][2] += 1
+            else:
+                named.append([low, p, width - 1])
+        for low, p, length in named:
+            new = keys[i : i + 1].view(np.uint64) if further else np.zeros(1, np.uint64)
+            for j, least in enumerate(low):
+                new = s.mix(s.mix(least ^ new) + np.uint64(j + 1))
+            want.append((i, int(new[0]), p, length))
+    calls = []
+    monkeypatch.setattr(s, "mix", lambda x, keep=s.mix: (calls.append(1), keep(x))[1])
+    found = s.cut_windows(values, keys, fn, l, r, width, hashes, used, further)
+    assert sorted(zip(*(x.tolist() for x in found), strict=True)) == sorted(want)
+    assert len(calls) < 120
